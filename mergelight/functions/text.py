@@ -117,7 +117,8 @@ def escape_html(text: Column) -> Column:
 
 def time_ago(moment: Column, now: Column) -> Column:
     """Age as text: just now, minutes, hours or days."""
-    seconds = (F.unix_micros(now) - F.unix_micros(moment)) / F.lit(1e6)
+    micros = [F.unix_micros(t.cast("timestamp")) for t in (now, moment)]
+    seconds = (micros[0] - micros[1]) / F.lit(1e6)
 
     def age(unit: int, suffix: str) -> Column:
         return F.concat(F.floor(seconds / unit).cast("string"), F.lit(suffix))
@@ -131,6 +132,25 @@ def time_ago(moment: Column, now: Column) -> Column:
     )
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal, rounded by the exact binary value and half to even.
+
+    ``format_string`` rounds halves up.  The distance to the nearest half of a tenth is
+    compared in whole numbers: value = m / 2**e and half = k / 20.  Not for negatives.
+    """
+    k = F.rint(value * 20).cast("bigint")
+    e = F.lit(53) - F.floor(F.log2(value)).cast("int")
+    m = (value * F.pow(F.lit(2.0), e)).cast("bigint")
+    side = F.signum(m * 20 - F.call_function("shiftleft", k, e))
+    lower = F.floor((k - 1) / 2).cast("bigint")
+    half = F.when(side > 0, lower + 1).when(side < 0, lower).otherwise(lower + lower % 2)
+    tenths = F.when(value < 0.01, F.lit(0).cast("bigint")).when(k % 2 == 0, k / 2).otherwise(half)
+    whole = tenths.cast("bigint")
+    return F.concat(
+        F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string")
+    )
+
+
 def json_field(body: Column, path: str, default: str | int) -> Column:
     """A field of a JSON text, with a default; the type follows the default."""
     raw = F.get_json_object(body, path)

@@ -114,7 +114,7 @@ def call_rate_check(
     Calls are counted per key and microsecond first.  Counts are then cut in minutes, each
     minute also seeing the one before, so a busy key is spread over many small windows.
     """
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     counted = calls.groupBy(key, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     own = F.floor(F.col("at") / CALL_WINDOW_MICROS)
     spread = counted.select(
