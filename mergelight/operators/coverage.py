@@ -6,36 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergelight import fixed
-from mergelight.functions.files import has_content
+from mergelight.functions.files import has_content, is_test_file
 from mergelight.functions.findings import finding_seq
 from mergelight.functions.text import capitalize, dirname, normalize_path, stem
-from mergelight.operators.files import coverage_source_files
 from mergelight.operators.findings import with_finding_defaults
-from mergelight.operators.text import extract_functions_lines
+from mergelight.operators.text import file_facts
+from mergelight.session import cut_lineage
 
 FILE = ["job_id", "ord"]
 
 
-def _pattern_paths(language: str) -> Column:
-    """Raw and normalised test paths of one language."""
-    paths = []
-    for pattern in fixed.TEST_FILE_PATTERNS[language]:
-        text = F.lit(pattern)
-        for slot in ("name", "dir"):
-            text = F.replace(text, F.lit("{" + slot + "}"), F.col(f"_{slot}"))
-        paths += [text, normalize_path(text)]
-    return F.array(*paths)
+def file_names(files: DataFrame) -> DataFrame:
+    """Narrow file table: what matching needs, without content."""
+    filled = F.col("has_content") if "has_content" in files.columns else has_content(F.col("content"))
+    return files.select(*FILE, "filename", "language", filled.alias("has_content"))
+
+
+def is_coverage_source() -> Column:
+    """Whether a row of a names table is code of a supported language, not a test."""
+    return (
+        F.col("has_content")
+        & F.coalesce(F.col("language").isin(fixed.SUPPORTED_LANGUAGES), F.lit(False))
+        & ~is_test_file(F.col("filename"))
+    )
+
+
+def source_names(names: DataFrame) -> DataFrame:
+    """Files with content in a supported language that are not tests."""
+    return names.filter(is_coverage_source())
 
 
 def _candidate_paths(sources: DataFrame) -> DataFrame:
-    named = sources.select(
-        *FILE, "language", stem(F.col("filename")).alias("_name"),
-        dirname(F.col("filename")).alias("_dir"),
+    """Test paths of every source file, as written and normalised."""
+    name, folder = stem(F.col("filename")), dirname(F.col("filename"))
+    patterns = F.when(F.lit(False), F.array().cast("array<string>"))
+    for language, texts in fixed.TEST_FILE_PATTERNS.items():
+        patterns = patterns.when(F.col("language") == language, F.array(*map(F.lit, texts)))
+    raw = sources.select(
+        *FILE, name.alias("name"), folder.alias("folder"), F.explode(patterns).alias("pattern")
+    )
+    filled = F.replace(
+        F.replace("pattern", F.lit("{name}"), F.col("name")), F.lit("{dir}"), F.col("folder")
     )
-    chain = F.when(F.col("language") == "python", _pattern_paths("python"))
-    for language in ("javascript", "typescript"):
-        chain = chain.when(F.col("language") == language, _pattern_paths(language))
-    return named.select(*FILE, F.explode(F.array_distinct(chain)).alias("path"))
+    paths = raw.select(*FILE, filled.alias("path"))
+    both = F.array_distinct(F.array(F.col("path"), normalize_path(F.col("path"))))
+    return paths.select(*FILE, F.explode(both).alias("path"))
 
 
 def _exact_matches(sources: DataFrame, names: DataFrame) -> DataFrame:
@@ -88,69 +103,95 @@ def _fallback_matches(sources: DataFrame, names: DataFrame) -> DataFrame:
 
 def match_test_files(files: DataFrame) -> DataFrame:
     """(job_id, ord, filename, test_ord, match) per source file that has a test file."""
-    names = files.select(*FILE, "filename")
-    sources = coverage_source_files(files).select(*FILE, "filename", "language")
-    joined = sources.join(_exact_matches(sources, names), FILE, "left").join(
-        _fallback_matches(sources, names), FILE, "left"
-    )
-    return joined.select(
+    names = file_names(files)
+    sources = source_names(names)
+    found = (
+        _exact_matches(sources, names).withColumn("loose_ord", F.lit(None).cast("bigint"))
+        .unionByName(
+            _fallback_matches(sources, names)
+            .withColumn("exact_ord", F.lit(None).cast("bigint"))
+        )
+        .groupBy(*FILE).agg(F.min("exact_ord").alias("exact"), F.min("loose_ord").alias("loose"))
+    )
+    return sources.select(*FILE, "filename").join(found, FILE).select(
         *FILE, "filename",
-        F.coalesce("exact_ord", "loose_ord").alias("test_ord"),
-        F.when(F.col("exact_ord").isNotNull(), "exact").otherwise("contains").alias("match"),
-    ).filter(F.col("test_ord").isNotNull())
+        F.coalesce("exact", "loose").alias("test_ord"),
+        F.when(F.col("exact").isNotNull(), "exact").otherwise("contains").alias("match"),
+    )
 
 
 def has_test_case(function: Column, test_content: Column) -> Column:
     """Whether a test text mentions the function, plainly or in a test name."""
     name = capitalize(function)
     return (function != "") & (
-        test_content.contains(F.concat(F.lit("test_"), function))
+        test_content.contains(function)
         | test_content.contains(F.concat(F.lit("test"), name))
         | test_content.contains(F.concat(F.lit("Test"), name))
-        | test_content.contains(function)
     )
 
 
-def _test_texts(files: DataFrame) -> DataFrame:
-    """(job_id, ord, test_content) per source file whose test file has content."""
-    matches = match_test_files(files).select(*FILE, "test_ord")
-    texts = files.filter(has_content(F.col("content"))).select(
-        "job_id", F.col("ord").alias("test_ord"), F.col("content").alias("test_content")
+def tested_files(names: DataFrame) -> DataFrame:
+    """(job_id, ord, test_filename): source files whose test file has content."""
+    filled = names.filter("has_content").select(
+        "job_id", F.col("ord").alias("test_ord"), F.col("filename").alias("test_filename")
+    )
+    return match_test_files(names).join(filled, ["job_id", "test_ord"]).select(
+        *FILE, "test_filename"
     )
-    return matches.join(texts, ["job_id", "test_ord"]).drop("test_ord")
 
 
-def untested_functions(files: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions of files with a test file that the test text never mentions.
+def test_texts(files: DataFrame) -> DataFrame:
+    """(job_id, test_filename, test_content) of files that can be a test file at all."""
+    name = F.col("filename")
+    likely = (name.contains("test") | name.contains(".spec.")) & has_content(F.col("content"))
+    return files.filter(likely).select(
+        "job_id", name.alias("test_filename"), F.col("content").alias("test_content")
+    )
 
-    A source file's functions travel as one short array, so each test text meets a file
-    once, not once per function.
-    """
-    sources = coverage_source_files(files).select(*FILE)
+
+def _functions_per_file(functions: DataFrame) -> DataFrame:
+    """One row per file; a facts table already has this form."""
+    if "functions" in functions.columns:
+        return functions.filter(F.size("functions") > 0).select(*FILE, "filename", "functions")
     record = F.struct("func_ord", "name", "start_line", "end_line")
-    per_file = functions.groupBy(*FILE, "filename").agg(F.collect_list(record).alias("functions"))
-    tested = per_file.join(sources, FILE, "left_semi").join(_test_texts(files), FILE)
-    missing = F.filter(
-        "functions", lambda f: ~has_test_case(f["name"], F.col("test_content"))
+    return functions.groupBy(*FILE, "filename").agg(F.collect_list(record).alias("functions"))
+
+
+def _flat_functions(per_file: DataFrame, functions: Column) -> DataFrame:
+    plain = F.transform(
+        functions,
+        lambda f: F.struct(*[f[c].alias(c) for c in ("func_ord", "name", "start_line", "end_line")]),
     )
-    return tested.select(*FILE, "filename", F.inline(missing))
+    return per_file.select(*FILE, "filename", F.inline(plain))
 
 
-def functions_without_test_file(files: DataFrame, functions: DataFrame) -> DataFrame:
-    """Functions of source files without a test file, or with an empty one."""
-    sources = coverage_source_files(files).select(*FILE)
-    alone = sources.join(_tested_files(files), FILE, "left_anti")
-    return functions.join(alone, FILE, "left_semi").select(
-        *FILE, "filename", "func_ord", "name", "start_line", "end_line"
+def untested_functions(
+    files: DataFrame, functions: DataFrame, texts: DataFrame | None = None,
+    tested: DataFrame | None = None,
+) -> DataFrame:
+    """Functions of files with a test file that the test text never mentions.
+
+    ``functions`` has one row per function, or is a facts table.  A file's functions travel
+    as one short array, so each test text meets a file once, not once per function.
+    """
+    tested = tested_files(file_names(files)) if tested is None else tested
+    texts = test_texts(files) if texts is None else texts
+    joined = (
+        _functions_per_file(functions).join(tested, FILE).join(texts, ["job_id", "test_filename"])
     )
+    missing = F.filter("functions", lambda f: ~has_test_case(f["name"], F.col("test_content")))
+    return _flat_functions(joined, missing)
 
 
-def _tested_files(files: DataFrame) -> DataFrame:
-    """Source files whose test file has content (keys only)."""
-    filled = files.select(
-        "job_id", F.col("ord").alias("test_ord"), has_content(F.col("content")).alias("filled")
-    ).filter("filled")
-    return match_test_files(files).join(filled, ["job_id", "test_ord"], "left_semi").select(*FILE)
+def functions_without_test_file(
+    files: DataFrame, functions: DataFrame, tested: DataFrame | None = None
+) -> DataFrame:
+    """Functions of source files without a test file, or with an empty one."""
+    names = file_names(files)
+    tested = tested_files(names) if tested is None else tested
+    alone = source_names(names).select(*FILE).join(tested, FILE, "left_anti")
+    per_file = _functions_per_file(functions).join(alone, FILE, "left_semi")
+    return _flat_functions(per_file, F.col("functions"))
 
 
 def basic_coverage_findings(
@@ -183,11 +224,15 @@ def basic_coverage_findings(
     return with_finding_defaults(found, agent)
 
 
-def coverage_findings(files: DataFrame, functions: DataFrame | None = None) -> DataFrame:
-    """Coverage detector without a model: untested functions of every source file."""
-    if functions is None:
-        functions = extract_functions_lines(coverage_source_files(files), with_body=False)
-    missing = untested_functions(files, functions).unionByName(
-        functions_without_test_file(files, functions)
+def coverage_gaps(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Untested functions of all source files: ``facts`` without, ``texts`` with content."""
+    tested = cut_lineage(tested_files(file_names(facts)))
+    return untested_functions(facts, facts, texts, tested).unionByName(
+        functions_without_test_file(facts, facts, tested)
     )
-    return basic_coverage_findings(missing)
+
+
+def coverage_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Coverage detector without a model: untested functions of every source file."""
+    facts = cut_lineage(file_facts(files)) if facts is None else facts
+    return basic_coverage_findings(coverage_gaps(facts, test_texts(files)))

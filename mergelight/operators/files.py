@@ -67,19 +67,10 @@ def attach_impact(files: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def review_priority(files: DataFrame, scores: DataFrame) -> DataFrame:
-    """Files renumbered per job by falling impact, equal impact in the old order.
+def review_priority(names: DataFrame, scores: DataFrame) -> DataFrame:
+    """Add ``review_ord`` per job: falling impact, equal impact in file order.
 
-    Only keys are ranked; wide columns join back by key afterwards.
+    ``names`` is a narrow table (no content): content never follows the order, findings do.
     """
-    keys = attach_impact(files.select("job_id", "filename", "ord"), scores)
-    keys = keys.withColumn("minus_impact", -F.col("impact_score"))
-    ranked = bounded_rank(keys, "job_id", ["minus_impact"], "ord", "new_ord").select(
-        "job_id", "ord", "impact_score", "new_ord"
-    )
-    return (
-        files.drop("impact_score")
-        .join(ranked, ["job_id", "ord"])
-        .drop("ord")
-        .withColumnRenamed("new_ord", "ord")
-    )
+    keys = attach_impact(names, scores).withColumn("_minus", -F.col("impact_score"))
+    return bounded_rank(keys, "job_id", ["_minus"], "ord", "review_ord").drop("_minus")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from mergelight import fixed, schemas
 from mergelight.functions.findings import (
+    POSITION_BITS,
     agent_tag,
     finding_id,
+    finding_seq,
     is_similar,
     meaningful_words,
     severity_rank,
@@ -59,6 +61,23 @@ def union_findings(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def resequence(findings: DataFrame, order: DataFrame) -> DataFrame:
+    """Renumber findings by the review order (job_id, filename, review_ord) of their files.
+
+    Detectors number by the order files come in, straight off the scan; the order that
+    impact gives is applied here, to findings only.
+    """
+    file_bits = POSITION_BITS + 32
+    agent = F.shiftright("seq", file_bits)
+    position = F.col("seq").bitwiseAND((1 << POSITION_BITS) - 1)
+    placed = order.select("job_id", F.col("filename").alias("file_path"), "review_ord")
+    return (
+        findings.join(placed, ["job_id", "file_path"])
+        .withColumn("seq", finding_seq(agent, F.col("review_ord"), position))
+        .select(*findings.columns)
+    )
+
+
 # --- clustering --------------------------------------------------------------
 
 

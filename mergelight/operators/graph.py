@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergelight import fixed
 from mergelight.functions.text import dirname, join_path, normalize_path
-from mergelight.operators.files import review_priority
-from mergelight.operators.text import js_imports, py_imports
+from mergelight.operators.text import imports_of
 from mergelight.session import cut_lineage
 
 
 def file_imports(files: DataFrame) -> DataFrame:
-    """Raw import targets of Python and script files."""
-    return py_imports(files).unionByName(js_imports(files))
+    """(job_id, filename, import_path) of Python and script files, or of a facts table."""
+    if "imports" in files.columns:
+        targets = F.col("imports")
+    else:
+        targets = imports_of(F.col("content"), F.col("language"))
+    return files.select("job_id", "filename", targets.alias("targets")).select(
+        "job_id", "filename", F.explode("targets").alias("import_path")
+    )
 
 
 def import_targets(files: DataFrame) -> DataFrame:
@@ -83,59 +88,74 @@ def graph_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges over short numeric keys, and the table that leads back to names.
+def _name_id(name: str) -> Column:
+    """Number of a (job, file) pair: 120 bits of a digest in two words."""
+    digest = F.md5(F.concat_ws("\0", "job_id", name))
+    words = [F.conv(F.substring(digest, first, 15), 16, 10).cast("bigint") for first in (1, 16)]
+    return F.struct(words[0].alias("hi"), words[1].alias("lo"))
 
-    Numbers are 128-bit digests cut in two words, so equal numbers mean equal names.
-    """
-    def key(job: str, name: str):
-        digest = F.md5(F.concat_ws("\0", job, name))
-        return F.struct(
-            F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("hi"),
-            F.conv(F.substring(digest, 16, 15), 16, 10).cast("bigint").alias("lo"),
-        )
 
-    keyed = edges.select("job_id", "src", "dst", key("job_id", "src").alias("s"),
-                         key("job_id", "dst").alias("d"))
-    names = keyed.select("job_id", F.col("src").alias("name"), F.col("s").alias("id")).union(
-        keyed.select("job_id", "dst", "d")
-    ).distinct()
-    return keyed.select("s", "d").distinct(), names
+def _numbered(edges: DataFrame) -> DataFrame:
+    """Distinct edges with numbers for both ends, kept on reliable storage."""
+    return cut_lineage(
+        edges.select("job_id", "src", "dst").distinct()
+        .withColumns({"dependent": _name_id("src"), "node": _name_id("dst")})
+    )
 
 
-def transitive_dependents(edges: DataFrame) -> DataFrame:
-    """(job_id, filename, dependent): files that import ``filename`` directly or not.
+def _names(numbered: DataFrame) -> DataFrame:
+    """(job_id, name, id) of every file that has an edge."""
+    ends = F.inline(F.array(
+        F.struct(F.col("src").alias("name"), F.col("dependent").alias("id")),
+        F.struct(F.col("dst").alias("name"), F.col("node").alias("id")),
+    ))
+    return numbered.select("job_id", ends).distinct()
+
+
+def _closure(numbered: DataFrame) -> DataFrame:
+    """All (dependent, node) pairs with a path, over short numbers instead of names.
 
-    Semi-naive rounds: only pairs found in the last round are extended, pairs seen before
-    are dropped, and every round is cut from its lineage.  Cycles end by themselves; a
-    file is never its own dependent.
+    Path lengths double per round: pairs found in the last round are joined with all pairs
+    so far, so a chain of n imports takes about log2(n) rounds.  Pairs seen before are
+    dropped and every round is cut from its lineage; cycles end by themselves.
     """
-    keyed, names = _numbered(edges.distinct())
-    step = cut_lineage(keyed.select(F.col("s").alias("dependent"), F.col("d").alias("node")))
-    frontier = step
-    closure = step
-    while not frontier.isEmpty():
+    closure = numbered.select("dependent", "node")
+    newest = closure
+    while not newest.isEmpty():
+        tail = closure.select(F.col("dependent").alias("via"), "node")
         longer = (
-            frontier.select(F.col("dependent").alias("via"), "node")
-            .join(step.select("dependent", F.col("node").alias("via")), "via")
-            .select("dependent", "node")
+            newest.select("dependent", F.col("node").alias("via")).join(tail, "via")
             .filter(F.col("dependent") != F.col("node"))
-            .distinct()
+            .select("dependent", "node").distinct()
         )
-        frontier = cut_lineage(longer.join(closure, ["dependent", "node"], "left_anti"))
-        closure = closure.unionByName(frontier)
+        newest = cut_lineage(longer.join(closure, ["dependent", "node"], "left_anti"))
+        closure = closure.unionByName(newest)
+    return closure
+
+
+def transitive_dependents(edges: DataFrame) -> DataFrame:
+    """(job_id, filename, dependent): files that import ``filename`` directly or not.
+
+    A file is never its own dependent.
+    """
+    numbered = _numbered(edges)
+    names = _names(numbered)
     target = names.select("job_id", F.col("name").alias("filename"), F.col("id").alias("node"))
-    importer = names.select(F.col("name").alias("dependent_name"), F.col("id").alias("dependent"))
-    return closure.join(target, "node").join(importer, "dependent").select(
-        "job_id", "filename", F.col("dependent_name").alias("dependent")
+    importer = names.select(F.col("name").alias("importer"), F.col("id").alias("dependent"))
+    return _closure(numbered).join(target, "node").join(importer, "dependent").select(
+        "job_id", "filename", F.col("importer").alias("dependent")
     )
 
 
 def dependent_counts(edges: DataFrame) -> DataFrame:
-    """Number of transitive dependents per file (files with at least one)."""
-    return transitive_dependents(edges).groupBy("job_id", "filename").agg(
-        F.count(F.lit(1)).alias("dependents")
-    )
+    """Number of transitive dependents per file (files with at least one).
+
+    Pairs are counted by number before any name comes back.
+    """
+    numbered = _numbered(edges)
+    counts = _closure(numbered).groupBy("node").agg(F.count(F.lit(1)).alias("dependents"))
+    names = numbered.select("job_id", F.col("dst").alias("filename"), "node").distinct()
+    return counts.join(names, "node").select("job_id", "filename", "dependents")
 
 
 def impact_scores(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -152,8 +172,3 @@ def impact_scores(files: DataFrame, edges: DataFrame) -> DataFrame:
             ),
         )
     )
-
-
-def prioritized_files(files: DataFrame) -> DataFrame:
-    """Files in review order: import graph, impact, then renumbered."""
-    return review_priority(files, impact_scores(files, build_graph(files)))

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mergelight import fixed
+from mergelight.functions.files import has_content
 from mergelight.functions.findings import finding_seq
 from mergelight.functions.text import let, split_lines, starts_with_any, strip
 from mergelight.operators.findings import with_finding_defaults
-from mergelight.workers import UNREADABLE, python_functions, python_import_targets
+from mergelight.workers import UNREADABLE, import_targets, python_functions
 
 Rule = tuple[int, str, str, str, str]
 
@@ -300,33 +302,42 @@ def chunk_files(files: DataFrame, max_lines: int = 300, overlap: int = 50) -> Da
 # --- imports -----------------------------------------------------------------
 
 
-def js_imports(files: DataFrame) -> DataFrame:
+def _script_targets(content: Column) -> Column:
     """Targets of ``import ... from`` / ``import`` statements, then of ``require`` calls."""
-    targets = F.concat(
-        F.regexp_extract_all("content", F.lit("(?dU)" + fixed.ES6_IMPORT), 1),
-        F.regexp_extract_all("content", F.lit("(?dU)" + fixed.REQUIRE_CALL), 1),
+    return F.concat(
+        F.regexp_extract_all(content, F.lit("(?dU)" + fixed.ES6_IMPORT), 1),
+        F.regexp_extract_all(content, F.lit("(?dU)" + fixed.REQUIRE_CALL), 1),
     )
+
+
+def js_imports(files: DataFrame) -> DataFrame:
+    """Import targets of script files, in text order."""
     scripts = files.filter(F.col("language").isin("javascript", "typescript"))
-    return scripts.select("job_id", "filename", F.explode(targets).alias("import_path"))
+    return scripts.select(
+        "job_id", "filename", F.explode(_script_targets(F.col("content"))).alias("import_path")
+    )
 
 
-def py_imports(files: DataFrame) -> DataFrame:
-    """Import targets of Python files by syntax tree.
+_syntax_tree_targets = F.pandas_udf(import_targets, T.ArrayType(T.StringType()))
+
+
+def imports_of(content: Column, language: Column) -> Column:
+    """Array of import targets of one file, null where there can be none.
 
-    Files without the word ``import`` never travel to a Python worker.
+    Only Python text with the word ``import`` travels to a Python worker; the other
+    columns of the row stay in the JVM.
     """
+    is_script = language.isin("javascript", "typescript")
+    wanted = F.when((language == "python") & content.contains("import"), content)
+    return F.when(is_script, _script_targets(content)).otherwise(_syntax_tree_targets(wanted))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            targets = batch["content"].map(python_import_targets)
-            found = batch[["job_id", "filename"]].assign(import_path=targets)
-            yield found.explode("import_path").dropna(subset=["import_path"])
 
-    candidates = files.filter(
-        (F.col("language") == "python") & F.col("content").contains("import")
-    )
-    return candidates.select("job_id", "filename", "content").mapInPandas(
-        parse, "job_id STRING, filename STRING, import_path STRING"
+def py_imports(files: DataFrame) -> DataFrame:
+    """Import targets of Python files by syntax tree."""
+    python_files = files.filter(F.col("language") == "python")
+    targets = imports_of(F.col("content"), F.lit("python"))
+    return python_files.select("job_id", "filename", targets.alias("targets")).select(
+        "job_id", "filename", F.explode("targets").alias("import_path")
     )
 
 
@@ -345,3 +356,20 @@ def py_imports_lines(files: DataFrame) -> DataFrame:
     return python_files.select(
         "job_id", "filename", F.explode(F.concat(plain, origin)).alias("import_path")
     )
+
+
+# --- one pass ----------------------------------------------------------------
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Everything later steps need from the text of a file, read in one pass.
+
+    job_id, ord, filename, language, has_content, functions (without bodies) and imports:
+    a narrow table, so that file content itself is never shuffled or stored again.
+    """
+    content, language = F.col("content"), F.col("language")
+    return files.select(
+        "job_id", "ord", "filename", "language", has_content(content).alias("has_content"),
+        functions_of(content, language, with_body=False).alias("functions"),
+        imports_of(content, language).alias("imports"),
+    )

@@ -100,9 +100,11 @@ FROM ordered o JOIN impact i ON i.job_id = o.job_id AND i.filename = o.filename"
 def review_priority(spark: SparkSession, d: str) -> DataFrame:
     files, scores = python_scores(spark, d)
     spread = F.when(F.col("language") == "python", F.col("ord")).otherwise(F.col("ord") + 1000000)
-    ranked = of.review_priority(files.withColumn("ord", spread).drop("content"), scores)
+    names = files.select("job_id", spread.alias("ord"), "filename")
+    ranked = of.review_priority(names, scores)
     return ranked.select(
-        "job_id", "filename", F.round("impact_score", 9).alias("impact_score"), "ord"
+        "job_id", "filename", F.round("impact_score", 9).alias("impact_score"),
+        F.col("review_ord").alias("ord"),
     )
 
 

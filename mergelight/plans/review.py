@@ -1,4 +1,10 @@
-"""From changed files to decisions, comments, summaries and payloads."""
+"""From changed files to decisions, comments, summaries and payloads.
+
+File content is read where it lies and never shuffled: one pass gives a narrow facts
+table (names, functions, imports), one pass runs the rules, and only the text of files
+that can be tests meets the functions it may mention.  Order, impact and merging work on
+names and findings.
+"""
 
 from __future__ import annotations
 
@@ -14,24 +20,21 @@ from mergelight.functions.text import dirname
 from mergelight.operators.conventions import files_with_conventions
 from mergelight.operators.coverage import (
     basic_coverage_findings,
-    coverage_findings,
-    functions_without_test_file,
-    match_test_files,
-    untested_functions,
+    coverage_gaps,
+    is_coverage_source,
+    test_texts,
+    tested_files,
 )
 from mergelight.operators.diffs import map_comments, parse_diff
-from mergelight.operators.files import (
-    analyzable_files,
-    coverage_source_files,
-    reviewable_files,
-)
+from mergelight.operators.files import analyzable_files, review_priority, reviewable_files
 from mergelight.operators.findings import (
     cluster_findings,
     merge_findings,
     rank_findings,
+    resequence,
     union_findings,
 )
-from mergelight.operators.graph import prioritized_files
+from mergelight.operators.graph import build_graph, impact_scores
 from mergelight.operators.reports import review_comments, review_payload, review_summary
 from mergelight.operators.responses import (
     bug_prompts,
@@ -42,24 +45,34 @@ from mergelight.operators.responses import (
     split_errors,
     style_prompts,
 )
-from mergelight.operators.text import (
-    chunk_files,
-    extract_functions_lines,
-    scan_security_rules,
-)
+from mergelight.operators.text import chunk_files, file_facts, scan_security_rules
 from mergelight.session import cut_lineage
 from mergelight.sources.readers import scan_code_files
 
 Model = Callable[[list[str]], list[str]]
-# (files with conventions, edges or None) -> findings
-Detector = Callable[[DataFrame, DataFrame | None], DataFrame]
+
+
+@dataclass(frozen=True)
+class ReviewInput:
+    """What a detector sees: files with content, their facts, conventions per repo."""
+
+    files: DataFrame
+    facts: DataFrame
+    order: DataFrame
+    edges: DataFrame
+    jobs: DataFrame
+    conventions: DataFrame | None = None
+
+
+# A detector turns the input into findings.
+Detector = Callable[[ReviewInput], DataFrame]
 
 
 @dataclass(frozen=True)
 class Review:
     """Tables of finished reviews, all keyed by job."""
 
-    files: DataFrame
+    order: DataFrame
     raw_findings: DataFrame
     findings: DataFrame
     comments: DataFrame
@@ -67,34 +80,48 @@ class Review:
     summary: DataFrame
 
 
-def rule_detector(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    return scan_security_rules(analyzable_files(files))
+def rule_detector(seen: ReviewInput) -> DataFrame:
+    return scan_security_rules(analyzable_files(seen.files))
+
+
+def _ordered_facts(seen: ReviewInput) -> DataFrame:
+    """Facts numbered by review order, since the first test file in that order counts."""
+    order = seen.order.select("job_id", "filename", "review_ord")
+    return seen.facts.join(order, ["job_id", "filename"]).drop("ord").withColumnRenamed(
+        "review_ord", "ord"
+    )
 
 
-def coverage_detector(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    return coverage_findings(files)
+def coverage_detector(seen: ReviewInput) -> DataFrame:
+    gaps = coverage_gaps(_ordered_facts(seen), test_texts(seen.files))
+    return basic_coverage_findings(gaps)
 
 
-def _answers(prompts: DataFrame, model: Model, agent: str, **extra: Column) -> DataFrame:
+def _answers(prompts: DataFrame, model: Model, agent: str) -> DataFrame:
     """Ask the model and shape its answers as the responses table."""
-    asked = score_with_model(prompts, model)
-    good, _ = split_errors(asked)
+    good, _ = split_errors(score_with_model(prompts, model))
     columns = {
         "agent": F.lit(agent), "file_path": F.col("filename"), "file_ord": F.col("ord"),
         "chunk_index": F.lit(0), "chunk_start": F.lit(1), "has_test_file": F.lit(True),
     }
     present = {n: F.col(n) for n in columns if n in good.columns}
-    return good.withColumns({**columns, **present, **extra})
+    return good.withColumns({**columns, **present})
+
+
+def _flat_functions(facts: DataFrame) -> DataFrame:
+    return facts.select("job_id", "ord", F.inline("functions")).select(
+        "job_id", "ord", "func_ord", "name"
+    )
 
 
 def bug_detector(model: Model) -> Detector:
     """Model findings per chunk."""
 
-    def detect(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        sources = analyzable_files(files)
-        functions = extract_functions_lines(sources, with_body=False)
-        prompts = bug_prompts(chunk_files(sources), functions)
-        return response_findings(_answers(prompts, model, "BugDetector"))
+    def detect(seen: ReviewInput) -> DataFrame:
+        chunks = chunk_files(analyzable_files(seen.files))
+        return response_findings(
+            _answers(bug_prompts(chunks, _flat_functions(seen.facts)), model, "BugDetector")
+        )
 
     return detect
 
@@ -102,8 +129,8 @@ def bug_detector(model: Model) -> Detector:
 def security_detector(model: Model) -> Detector:
     """Rule hits of every file, model findings of sensitive files."""
 
-    def detect(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        sources = analyzable_files(files)
+    def detect(seen: ReviewInput) -> DataFrame:
+        sources = analyzable_files(seen.files)
         sensitive = sources.filter(is_security_sensitive(F.col("filename"), F.col("content")))
         answers = _answers(security_prompts(sensitive), model, "SecurityScanner")
         return scan_security_rules(sources).unionByName(response_findings(answers))
@@ -112,11 +139,19 @@ def security_detector(model: Model) -> Detector:
 
 
 def style_detector(model: Model) -> Detector:
-    """Model findings against the conventions that ride on the files."""
-
-    def detect(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        answers = _answers(style_prompts(analyzable_files(files)), model, "StyleAdvisor")
-        return response_findings(answers)
+    """Model findings against the conventions of the repository."""
+
+    def detect(seen: ReviewInput) -> DataFrame:
+        conventions = seen.conventions
+        if conventions is None:
+            conventions = seen.jobs.select("repo").distinct().withColumns({
+                **{n: F.lit(v) for n, v in fixed.CONVENTION_DEFAULTS.items()},
+                "common_patterns": F.array().cast("array<string>"),
+                "anti_patterns": F.array().cast("array<string>"),
+            })
+        sources = analyzable_files(seen.files).join(seen.jobs.select("job_id", "repo"), "job_id")
+        prompts = style_prompts(files_with_conventions(sources, conventions))
+        return response_findings(_answers(prompts, model, "StyleAdvisor"))
 
     return detect
 
@@ -124,29 +159,21 @@ def style_detector(model: Model) -> Detector:
 def model_coverage_detector(model: Model) -> Detector:
     """Model findings for files with something untested; plain findings where it fails."""
 
-    def detect(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        sources = coverage_source_files(files)
-        functions = extract_functions_lines(sources, with_body=False)
-        missing = untested_functions(files, functions).unionByName(
-            functions_without_test_file(files, functions)
-        )
-        open_files = missing.select("job_id", "ord").distinct()
-        texts = files.select(
-            "job_id", F.col("ord").alias("test_ord"), F.col("filename").alias("test_filename"),
-            F.col("content").alias("test_content"),
-        )
-        tests = match_test_files(files).select("job_id", "ord", "test_ord").join(
-            texts, ["job_id", "test_ord"]
-        ).drop("test_ord")
-        wanted = sources.join(open_files, ["job_id", "ord"], "left_semi")
-        prompts = coverage_prompts(wanted, functions, tests)
+    def detect(seen: ReviewInput) -> DataFrame:
+        facts = cut_lineage(_ordered_facts(seen))
+        texts = test_texts(seen.files)
+        gaps = cut_lineage(coverage_gaps(facts, texts))
+        tests = tested_files(facts).join(texts, ["job_id", "test_filename"])
+        wanted = gaps.select("job_id", "ord", "filename").distinct()
+        sources = seen.files.drop("ord").join(wanted, ["job_id", "filename"])
+        prompts = coverage_prompts(sources, _flat_functions(facts), tests)
         asked = cut_lineage(score_with_model(prompts, model))
         good, bad = split_errors(asked)
         answers = good.withColumns({
             "agent": F.lit("TestCoverage"), "file_path": F.col("filename"),
             "file_ord": F.col("ord"), "chunk_index": F.lit(0), "chunk_start": F.lit(1),
         })
-        plain = missing.join(bad.select("job_id", "ord"), ["job_id", "ord"], "left_semi")
+        plain = gaps.join(bad.select("job_id", "ord"), ["job_id", "ord"], "left_semi")
         return response_findings(answers).unionByName(basic_coverage_findings(plain))
 
     return detect
@@ -156,25 +183,22 @@ def default_detectors(model: Model | None = None) -> dict[str, Detector]:
     """Detectors by agent name, in agent order; without a model, rules and coverage only."""
     if model is None:
         return {"SecurityScanner": rule_detector, "TestCoverage": coverage_detector}
-    return dict(zip(
-        fixed.AGENTS,
-        [bug_detector(model), security_detector(model), style_detector(model),
-         model_coverage_detector(model)],
-    ))
+    return {
+        "BugDetector": bug_detector(model),
+        "SecurityScanner": security_detector(model),
+        "StyleAdvisor": style_detector(model),
+        "TestCoverage": model_coverage_detector(model),
+    }
 
 
-def agent_runs(files: DataFrame, agents: list[str] | None = None) -> DataFrame:
+def agent_runs(facts: DataFrame, agents: list[str] | None = None) -> DataFrame:
     """One run per job and agent with the number of files it looks at.
 
     Spark runs agents as branches of one job, so there is no time per agent: it is 0.
     """
-    names = agents or fixed.AGENTS
-    sources = coverage_source_files(files).select("job_id", "ord").withColumn("n", F.lit(1))
-    flags = analyzable_files(files).select("job_id", "ord").join(
-        sources, ["job_id", "ord"], "left"
-    )
-    counted = flags.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("all_files"), F.count("n").alias("source_files")
+    counted = facts.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("all_files"),
+        F.count_if(is_coverage_source()).alias("source_files"),
     )
     rows = [
         F.struct(
@@ -182,20 +206,13 @@ def agent_runs(files: DataFrame, agents: list[str] | None = None) -> DataFrame:
             F.col("source_files" if name == "TestCoverage" else "all_files")
             .alias("files_analyzed"),
         )
-        for n, name in enumerate(names)
+        for n, name in enumerate(agents or fixed.AGENTS)
     ]
     return counted.select("job_id", F.inline(F.array(*rows))).withColumns({
         "processing_time_seconds": F.lit(0.0), "error": F.lit(None).cast("string"),
     })
 
 
-def run_detectors(
-    files: DataFrame, edges: DataFrame | None, detectors: dict[str, Detector]
-) -> DataFrame:
-    """All agents' findings as branches of one plan."""
-    return union_findings([detect(files, edges) for detect in detectors.values()])
-
-
 def merged_review_findings(raw_findings: DataFrame) -> DataFrame:
     """Cluster, merge and rank."""
     return rank_findings(merge_findings(cluster_findings(raw_findings)))
@@ -207,18 +224,19 @@ def review(
 ) -> Review:
     """Review every job: ``jobs`` (schemas.JOBS) and their changed ``files`` (schemas.FILES)."""
     detectors = detectors or default_detectors()
-    ordered = cut_lineage(prioritized_files(reviewable_files(files)))
-    seen = ordered
-    if conventions is not None:
-        seen = files_with_conventions(
-            ordered.join(jobs.select("job_id", "repo"), "job_id"), conventions
-        )
-    raw = cut_lineage(run_detectors(seen, None, detectors))
+    kept = reviewable_files(files)
+    facts = cut_lineage(file_facts(kept))
+    edges = cut_lineage(build_graph(facts))
+    names = facts.select("job_id", "ord", "filename")
+    order = cut_lineage(review_priority(names, impact_scores(names, edges)))
+    seen = ReviewInput(kept, facts, order, edges, jobs, conventions)
+    found = union_findings([detect(seen) for detect in detectors.values()])
+    raw = cut_lineage(resequence(found, order))
     merged = cut_lineage(merged_review_findings(raw))
-    runs = agent_runs(ordered)
+    runs = agent_runs(facts)
     return Review(
-        files=ordered, raw_findings=raw, findings=merged, comments=review_comments(merged),
-        agent_runs=runs, summary=review_summary(jobs, ordered, raw, merged, runs),
+        order=order, raw_findings=raw, findings=merged, comments=review_comments(merged),
+        agent_runs=runs, summary=review_summary(jobs, names, raw, merged, runs),
     )
 
 
@@ -249,8 +267,7 @@ def number_files(files: DataFrame) -> DataFrame:
 
 def review_directory(spark: SparkSession, root: str, job_id: str = "local") -> Review:
     """Review a code tree on disk as one job, files in path order."""
-    found = scan_code_files(spark, root, job_id)
-    files = number_files(found)
+    files = number_files(scan_code_files(spark, root, job_id))
     jobs = spark.range(1).select(
         F.lit(job_id).alias("job_id"), F.lit(root).alias("repo"), F.lit(0).alias("pr_number"),
         F.lit("").alias("pr_title"), F.lit("").alias("head_sha"),

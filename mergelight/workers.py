@@ -53,6 +53,11 @@ def python_import_targets(content: str) -> list[str]:
     return targets
 
 
+def import_targets(content: pd.Series) -> pd.Series:
+    """Import targets of a batch of Python texts; nulls stay null."""
+    return content.map(python_import_targets, na_action="ignore")
+
+
 def sample_functions(sample: str) -> list[tuple]:
     """Name, async flag, return hint, docstring and length of each function of a sample."""
     try:
