@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from mergelight.functions.findings import (
     agent_tag,
     finding_id,
     finding_seq,
-    is_similar,
     meaningful_words,
     severity_rank,
     shared_title_words,
@@ -21,9 +22,10 @@ from mergelight.functions.findings import (
 from mergelight.operators.clustering import crowded_seeds
 from mergelight.operators.ranking import bounded_rank, line_islands
 from mergelight.session import cut_lineage
+from mergelight.workers import fold_sorted
 
-# Distinct findings that one task may fold; larger islands take the round-based way.
-FOLD_LIMIT = 1_000
+# Distinct findings that one pass may fold; larger islands take the round-based way.
+FOLD_LIMIT = 20_000
 
 FINDING_FIELDS = [tuple(field.split(" ", 1)) for field in schemas.FINDINGS.split(", ")]
 
@@ -98,52 +100,24 @@ SEED_COLUMNS = [
 ]
 
 
-def _fold(members: Column) -> Column:
-    """Greedy pass in ``seq`` order: each entry joins its first similar seed or becomes one."""
-    entry = "struct<seq:bigint,line:bigint,category:string,words:array<string>>"
-    begin = F.struct(
-        F.array().cast(f"array<{entry}>").alias("seeds"),
-        F.array().cast("array<bigint>").alias("chosen"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(
-            acc["seeds"],
-            lambda s: (F.abs(s["line"] - x["line"]) <= fixed.LINE_PROXIMITY)
-            & is_similar(s["category"], s["words"], x["category"], x["words"]),
-        )
-        return F.transform(
-            F.array(near),
-            lambda hit: F.struct(
-                F.when(F.size(hit) > 0, acc["seeds"])
-                .otherwise(F.concat(acc["seeds"], F.array(x))).alias("seeds"),
-                F.concat(
-                    acc["chosen"], F.array(F.coalesce(F.get(hit, F.lit(0))["seq"], x["seq"]))
-                ).alias("chosen"),
-            ),
-        )[0]
+def _folded(islands: DataFrame) -> DataFrame:
+    """Seed per distinct finding: a greedy pass in ``seq`` order over each island.
 
-    return F.aggregate(members, begin, step, lambda acc: acc["chosen"])
+    Whole islands lie sorted in a partition and stream through; the pass depends on the
+    choices made before, and a look-up per similarity key keeps it linear.
+    """
+    reach = fixed.LINE_PROXIMITY
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return fold_sorted(batches, reach)
 
-def _folded(islands: DataFrame) -> DataFrame:
-    """Seed per signature for islands small enough for one fold."""
-    words = F.filter(F.split("title_words", " "), lambda w: w != "")
-    entry = F.struct(
-        F.col("seq"), F.col("line_number").cast("bigint").alias("line"), "category",
-        words.alias("words"),
-    )
-    grouped = islands.groupBy("job_id", "file_path", "island").agg(
-        F.array_sort(F.collect_list(entry)).alias("members")
+    placed = islands.select(*SEED_COLUMNS[:-1], "island", "seq").repartition(
+        "job_id", "file_path", "island"
     )
-    pairs = grouped.select(
-        "job_id", "file_path",
-        F.inline(F.arrays_zip(F.col("members"), _fold(F.col("members")).alias("chosen"))),
-    ).toDF("job_id", "file_path", "member", "cluster_seq")
-    return pairs.select(
-        "job_id", "file_path", F.col("member.line").alias("line_number"),
-        F.col("member.category").alias("category"),
-        F.array_join("member.words", " ").alias("title_words"), "cluster_seq",
+    kinds = dict(islands.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in SEED_COLUMNS[:-1]) + ", cluster_seq bigint"
+    return placed.sortWithinPartitions("job_id", "file_path", "island", "seq").mapInPandas(
+        fold, schema
     )
 
 
@@ -155,8 +129,8 @@ def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataF
 
     Findings with equal place, category and title words always share a seed, so they are
     collapsed first (map-side).  The rest splits exactly at gaps of more than three lines.
-    Islands of up to ``fold_limit`` distinct entries are folded inside one row; larger
-    ones go through bounded rounds (``crowded_seeds``) with the same result.
+    Islands of up to ``fold_limit`` distinct entries are folded in one pass; larger ones go
+    through bounded rounds (``crowded_seeds``) with the same result.
     """
     rows = _with_signature(findings)
     distinct = rows.groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
@@ -166,14 +140,13 @@ def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataF
         line_islands(distinct, ["job_id", "file_path"], "line_number", fixed.LINE_PROXIMITY)
     )
     island = ["job_id", "file_path", "island"]
-    crowded = (
+    crowded = cut_lineage(
         islands.groupBy(*island).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > fold_limit).drop("n")
     )
     if crowded.isEmpty():
         seeds = _folded(islands)
     else:
-        crowded = cut_lineage(crowded)
         small = islands.join(crowded, island, "left_anti")
         large = islands.join(crowded, island, "left_semi")
         seeds = _folded(small).unionByName(crowded_seeds(large.drop("island")))

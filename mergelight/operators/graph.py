@@ -17,9 +17,7 @@ def file_imports(files: DataFrame) -> DataFrame:
         targets = F.col("imports")
     else:
         targets = imports_of(F.col("content"), F.col("language"))
-    return files.select("job_id", "filename", targets.alias("targets")).select(
-        "job_id", "filename", F.explode("targets").alias("import_path")
-    )
+    return files.select("job_id", "filename", F.explode(targets).alias("import_path"))
 
 
 def import_targets(files: DataFrame) -> DataFrame:

@@ -16,18 +16,25 @@ from pyspark.sql import types as T
 from mergelight import fixed
 from mergelight.functions.files import has_content
 from mergelight.functions.findings import finding_seq
-from mergelight.functions.text import let, split_lines, starts_with_any, strip
+from mergelight.functions.text import contains_any, let, split_lines, starts_with_any, strip
 from mergelight.operators.findings import with_finding_defaults
 from mergelight.workers import UNREADABLE, import_targets, python_functions
 
 Rule = tuple[int, str, str, str, str]
 
-# Any line that one of the built-in rules hits contains one of these.
-RULE_HINT = (
-    r"(?iU)password\s*=|secret\s*=|api_key\s*=|token\s*=|private_key\s*=|subprocess\.|os\.system"
-    r"|eval\s*\(|exec|md5|sha1|pickle\.load|yaml\.load|random\.|innerHTML|document\.write"
-    r"|dangerouslySetInnerHTML"
-)
+# Any text that a built-in rule hits contains one of these once it is in lower case, ...
+RULE_HINTS = [
+    "password", "secret", "api_key", "token", "private_key", "subprocess.", "os.system", "eval",
+    "exec", "md5", "sha1", "pickle.load", "yaml.load", "random.", "innerhtml", "document.write",
+]
+# ... or has a letter that equals s or i only when case is ignored.
+FOLDED_LETTERS = ["\u017f", "\u0130", "\u0131"]
+
+
+def may_hit_rules(text: Column) -> Column:
+    """Cheap substring test that no text with a rule hit fails."""
+    hinted = let(F.lower(text), lambda lowered: contains_any(lowered, RULE_HINTS))
+    return hinted | contains_any(text, FOLDED_LETTERS)
 
 
 def java_rule(pattern: str) -> str:
@@ -60,10 +67,10 @@ def matching_rules(
     """
     source = table.select(*keys, text)
     if rules is None:
-        source = source.filter(F.col(text).rlike(RULE_HINT))
+        source = source.filter(may_hit_rules(F.col(text)))
     lines = explode_lines(source, text, keys)
     if rules is None:
-        lines = lines.filter(F.col("line").rlike(RULE_HINT))
+        lines = lines.filter(may_hit_rules(F.col("line")))
     hits = [
         F.when(
             F.col("line").rlike(java_rule(pattern)),
@@ -336,9 +343,7 @@ def py_imports(files: DataFrame) -> DataFrame:
     """Import targets of Python files by syntax tree."""
     python_files = files.filter(F.col("language") == "python")
     targets = imports_of(F.col("content"), F.lit("python"))
-    return python_files.select("job_id", "filename", targets.alias("targets")).select(
-        "job_id", "filename", F.explode("targets").alias("import_path")
-    )
+    return python_files.select("job_id", "filename", F.explode(targets).alias("import_path"))
 
 
 def py_imports_lines(files: DataFrame) -> DataFrame:

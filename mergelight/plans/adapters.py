@@ -158,11 +158,21 @@ SELECT o_orderkey AS number, 'pr' || CAST(o_orderkey AS STRING) AS job_id,
        CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE CAST(o_orderkey % 90 AS DOUBLE) END AS processing_time_seconds
 FROM {orders}""",
 }
+# Small tables that grow into much text or work per row.
+SPREAD = {"part", "documents", "pages"}
 BASE_TABLE = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table, spread over all cores when it lies in fewer pieces than there are cores.
+
+    Tables of real size come in more pieces than that and are left as they are.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.sparkContext.defaultParallelism
+    if name in SPREAD and rows.rdd.getNumPartitions() < wanted:
+        return rows.repartition(wanted)
+    return rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

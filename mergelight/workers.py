@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import sys
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -73,19 +74,70 @@ def sample_functions(sample: str) -> list[tuple]:
     ]
 
 
+class SeenKeys:
+    """Sequence numbers by key and line: two findings are similar when they share a key.
+
+    Keys are the category and every pair of meaningful title words.
+    """
+
+    def __init__(self, reach: int) -> None:
+        self.reach = reach
+        self.by_key: dict[object, dict[int, int]] = {}
+
+    def earliest(self, line: int, keys: list) -> int | None:
+        """Smallest number added so far under one of the keys on a near line."""
+        found = None
+        for key in keys:
+            lines = self.by_key.get(key)
+            if lines:
+                for near in range(line - self.reach, line + self.reach + 1):
+                    seq = lines.get(near)
+                    if seq is not None and (found is None or seq < found):
+                        found = seq
+        return found
+
+    def add(self, line: int, keys: list, seq: int) -> None:
+        """Numbers come in rising order, so the first one per key and line stays."""
+        for key in keys:
+            self.by_key.setdefault(key, {}).setdefault(line, seq)
+
+
+def similarity_keys(category: str, title_words: str) -> list:
+    return [category, *combinations(title_words.split(" "), 2)]
+
+
+def fold_sorted(batches: Iterator[pd.DataFrame], reach: int) -> Iterator[pd.DataFrame]:
+    """Seed of every finding; rows come sorted by island and ``seq``.
+
+    Only the keys of the current island are held.
+    """
+    current, seeds = None, SeenKeys(reach)
+    for batch in batches:
+        chosen = []
+        columns = ["job_id", "file_path", "island", "line_number", "category", "title_words", "seq"]
+        for job, path, island, line, category, words, seq in zip(*(batch[c] for c in columns)):
+            if current != (job, path, island):
+                current, seeds = (job, path, island), SeenKeys(reach)
+            keys = similarity_keys(category, words)
+            seed = seeds.earliest(line, keys)
+            if seed is None:
+                seed = seq
+                seeds.add(line, keys, seq)
+            chosen.append(seed)
+        yield batch.drop(columns=["island", "seq"]).assign(cluster_seq=chosen)
+
+
 def fold_block(block: pd.DataFrame, reach: int) -> pd.DataFrame:
     """Seeds of one block of findings; entries that hang on something open stay open."""
-    around_line = range(-reach, reach + 1)
-    seed_keys, open_keys, new_seeds = set(), set(), []
+    seeds, waiting, new_seeds = SeenKeys(reach), SeenKeys(reach), []
     for row in block.sort_values("seq").itertuples(index=False):
-        own = [("c", row.category), *combinations(row.title_words.split(), 2)]
-        around = [(row.line_number + d, key) for d in around_line for key in own]
-        if not seed_keys.isdisjoint(around):
+        keys = similarity_keys(row.category, row.title_words)
+        if seeds.earliest(row.line_number, keys) is not None:
             continue
-        if row.blocked or not open_keys.isdisjoint(around):
-            open_keys.update((row.line_number, key) for key in own)
+        if row.blocked or waiting.earliest(row.line_number, keys) is not None:
+            waiting.add(row.line_number, keys, row.seq)
         else:
-            seed_keys.update((row.line_number, key) for key in own)
+            seeds.add(row.line_number, keys, row.seq)
             new_seeds.append(row.seq)
     return block[block["seq"].isin(new_seeds)].drop(columns=["block", "blocked"])
 
