@@ -16,15 +16,16 @@ def scan_code_files(spark: SparkSession, root: str, job_id: str = "local") -> Da
     Name and folder are filtered on metadata columns before any content is read; texts
     that are not UTF-8 or too long are left out.  Line ends are unified as text mode does.
     """
-    base = root.rstrip("/") + "/"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(place).toString().rstrip("/") + "/"
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{py,js,ts}")
         .load(root)
     )
-    path = F.try_url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B"))
-    relative = F.substring_index(path, base, -1)
+    relative = F.substring("path", len(base) + 1, 2**31 - 1)
     pruned = "|".join(name.replace(".", r"\.") for name in fixed.SCAN_PRUNED_DIRS)
     extension = F.substring(
         basename(F.col("filename")), F.length(stem(F.col("filename"))) + 1, F.lit(2**31 - 1)
@@ -35,12 +36,12 @@ def scan_code_files(spark: SparkSession, root: str, job_id: str = "local") -> Da
     kept = named.filter(
         F.col("language").isNotNull() & ~F.col("filename").rlike(rf"(\A|/)({pruned})/")
     )
-    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    texts = kept.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
+    texts = kept.select(
         F.lit(job_id).alias("job_id"), "filename", F.lit("modified").alias("status"),
         text.alias("content"), "language",
     )
-    short = texts.filter(F.length("content") <= fixed.MAX_FILE_CHARS)
+    short = texts.filter(F.length("content") <= fixed.MAX_FILE_CHARS)  # null when not UTF-8
     return short.withColumns({
         "additions": F.size(split_lines(F.col("content"))), "deletions": F.lit(0),
     })
@@ -85,7 +86,7 @@ def decode_content(content: Column, encoding: Column, size: Column) -> Column:
 
 def read_pr_diffs(spark: SparkSession, path: str) -> DataFrame:
     """One row per diff file: name without ending as ``job_id``, whole text as ``diff``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     name = F.substring_index(F.col("_metadata.file_name"), ".", 1)
     return whole.select(name.alias("job_id"), F.col("value").alias("diff"))
 
