@@ -121,6 +121,11 @@ def _folded(islands: DataFrame) -> DataFrame:
     )
 
 
+def _larger_than(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).drop("n")
+
+
 def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Add ``cluster_seq``: the ``seq`` of the seed that a finding joins.
 
@@ -133,20 +138,18 @@ def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataF
     through bounded rounds (``crowded_seeds``) with the same result.
     """
     rows = _with_signature(findings)
-    distinct = rows.groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
-        "job_id", "file_path", "line_number", "category", "title_words", "seq"
-    )
-    islands = cut_lineage(
-        line_islands(distinct, ["job_id", "file_path"], "line_number", fixed.LINE_PROXIMITY)
-    )
-    island = ["job_id", "file_path", "island"]
-    crowded = cut_lineage(
-        islands.groupBy(*island).agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > fold_limit).drop("n")
+    distinct = cut_lineage(
+        rows.groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
+            "job_id", "file_path", "line_number", "category", "title_words", "seq"
+        )
     )
-    if crowded.isEmpty():
+    file, island = ["job_id", "file_path"], ["job_id", "file_path", "island"]
+    islands = line_islands(distinct, file, "line_number", fixed.LINE_PROXIMITY)
+    if _larger_than(distinct, file, fold_limit).isEmpty():
         seeds = _folded(islands)
     else:
+        islands = cut_lineage(islands)
+        crowded = cut_lineage(_larger_than(islands, island, fold_limit))
         small = islands.join(crowded, island, "left_anti")
         large = islands.join(crowded, island, "left_semi")
         seeds = _folded(small).unionByName(crowded_seeds(large.drop("island")))
