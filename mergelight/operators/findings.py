@@ -176,12 +176,16 @@ def seed_member_pairs(clustered: DataFrame) -> DataFrame:
 # --- merge, rank, decide -----------------------------------------------------
 
 
+MERGE_BITS = 16
+
+
 def merge_findings(clustered: DataFrame) -> DataFrame:
     """One finding per cluster.
 
     Best severity (first on ties) gives identity and place; text of all members is joined
-    in order.  Everything but that joined text is a partial aggregate; the text itself is
-    the feature and holds every member.
+    in order.  Members are merged in two steps: stretches of at most 65,536 numbers first,
+    stretches of a cluster then.  So a cluster with very many members is spread over
+    tasks, and only the finished text, which is the feature, comes together in one row.
     """
     order = F.struct(severity_rank(F.col("severity")).alias("rank"), F.col("seq"))
     best = F.struct(
@@ -193,31 +197,50 @@ def merge_findings(clustered: DataFrame) -> DataFrame:
         F.concat(F.lit("**"), F.col("agent"), F.lit("**: "), F.col("description")).alias("text"),
         F.col("suggestion"),
     )
+    key = ["job_id", "cluster_seq"]
 
     def first_filled(name: str) -> Column:
         keep = F.coalesce(F.col(name) != "", F.lit(False))
-        return F.min_by(F.when(keep, F.col(name)), F.when(keep, F.col("seq")))
+        found = F.when(keep, F.struct(F.col("seq"), F.col(name).alias("value")))
+        return F.min_by(found, F.when(keep, F.col("seq")))
 
-    grouped = clustered.groupBy("job_id", "cluster_seq").agg(
+    stretches = clustered.groupBy(*key, F.shiftright("seq", MERGE_BITS).alias("stretch")).agg(
         F.min_by(best, order).alias("best"),
+        F.min(order).alias("best_order"),
         F.count(F.lit(1)).alias("members"),
-        F.array_sort(F.collect_set("agent")).alias("contributing_agents"),
+        F.collect_set("agent").alias("agents"),
         F.array_sort(F.collect_list(said)).alias("said"),
         F.max("confidence").alias("confidence"),
         first_filled("fix_example").alias("fix_example"),
         first_filled("code_snippet").alias("code_snippet"),
     )
+    part = F.struct(
+        "stretch",
+        F.array_join(F.transform("said", lambda s: s["text"]), "\n\n").alias("text"),
+        F.array_distinct(F.transform("said", lambda s: s["suggestion"])).alias("advice"),
+    )
+    grouped = stretches.groupBy(*key).agg(
+        F.min_by("best", "best_order").alias("best"),
+        F.sum("members").alias("members"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("agents"))))
+        .alias("contributing_agents"),
+        F.array_sort(F.collect_list(part)).alias("parts"),
+        F.max("confidence").alias("confidence"),
+        F.min("fix_example")["value"].alias("fix_example"),
+        F.min("code_snippet")["value"].alias("code_snippet"),
+    )
     many = F.col("members") > 1
     tags = F.array_join(F.transform("contributing_agents", agent_tag), "")
-    texts = F.array_join(F.transform("said", lambda s: s["text"]), "\n\n")
-    advice = F.array_join(F.array_distinct(F.transform("said", lambda s: s["suggestion"])), " | ")
+    texts = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
+    advice = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["advice"])))
     return grouped.select(
         "job_id", F.col("cluster_seq").alias("seq"), "best.id",
         F.when(many, tags).otherwise(F.col("best.agent")).alias("agent"),
         "best.file_path", "best.line_number", "best.end_line", "best.severity",
         "best.category", "best.title",
         F.when(many, texts).otherwise(F.col("best.description")).alias("description"),
-        F.when(many, advice).otherwise(F.col("best.suggestion")).alias("suggestion"),
+        F.when(many, F.array_join(advice, " | ")).otherwise(F.col("best.suggestion"))
+        .alias("suggestion"),
         "code_snippet", "fix_example", "confidence", "contributing_agents", "members",
     )
 

@@ -18,6 +18,7 @@ from mergelight.functions.findings import (
 )
 from mergelight.functions.text import strip
 from mergelight.operators.findings import with_finding_defaults
+from mergelight.operators.text import chunks_of, functions_of
 
 FENCE = "```"
 TEXT_FIELDS = ["severity", "category", "title", "description", "suggestion"]
@@ -51,16 +52,24 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def bug_prompts(chunks: DataFrame, functions: DataFrame) -> DataFrame:
-    """One prompt per chunk: code and the names of the functions in its file."""
-    language = F.coalesce("language", F.lit("python"))
-    joined = chunks.join(_function_names(functions), ["job_id", "ord"], "left")
+def bug_prompts(files: DataFrame) -> DataFrame:
+    """One prompt per chunk: code and the names of the functions in its file.
+
+    Names and chunks come out of the same row, so no text is shuffled to meet its names.
+    """
+    content, language = F.col("content"), F.coalesce("language", F.lit("python"))
+    functions = functions_of(content, language, with_body=False)
+    chunks = files.select(
+        "job_id", "ord", "filename", language.alias("language"),
+        F.to_json(F.transform(functions, lambda f: f["name"])).alias("names"),
+        F.inline(chunks_of(content)),
+    )
     prompt = _text(
-        "Find logic errors in this ", language, " file.\nFile: ", F.col("filename"),
-        "\nFunctions: ", F.coalesce("names", F.lit("[]")), "\n\n",
-        _code(F.col("chunk"), language, fixed.PROMPT_CHARS["bug"]), "\n\n", ANSWER_SHAPE,
+        "Find logic errors in this ", F.col("language"), " file.\nFile: ", F.col("filename"),
+        "\nFunctions: ", F.col("names"), "\n\n",
+        _code(F.col("chunk"), F.col("language"), fixed.PROMPT_CHARS["bug"]), "\n\n", ANSWER_SHAPE,
     )
-    return joined.select("job_id", "ord", "filename", "chunk_index", "chunk_start",
+    return chunks.select("job_id", "ord", "filename", "chunk_index", "chunk_start",
                          prompt.alias("prompt"))
 
 

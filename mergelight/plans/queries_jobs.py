@@ -133,9 +133,7 @@ SELECT job_id, ord, md5('Find logic errors in this python file.' || chr(10) || '
   || {FENCED.format(text='content', n=8000)} || chr(10) || chr(10) || {SHAPE}) AS prompt_md5 FROM src""",
 )
 def build_prompt_bug(spark: SparkSession, d: str) -> DataFrame:
-    files = view(spark, d, "code_v")
-    functions = ot.extract_functions_lines(files, with_body=False)
-    prompts = rs.bug_prompts(ot.chunk_files(files), functions)
+    prompts = rs.bug_prompts(view(spark, d, "code_v"))
     return prompts.select("job_id", "ord", F.md5("prompt").alias("prompt_md5"))
 
 

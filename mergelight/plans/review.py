@@ -45,7 +45,7 @@ from mergelight.operators.responses import (
     split_errors,
     style_prompts,
 )
-from mergelight.operators.text import chunk_files, file_facts, scan_security_rules
+from mergelight.operators.text import file_facts, scan_security_rules
 from mergelight.session import cut_lineage
 from mergelight.sources.readers import scan_code_files
 
@@ -118,10 +118,8 @@ def bug_detector(model: Model) -> Detector:
     """Model findings per chunk."""
 
     def detect(seen: ReviewInput) -> DataFrame:
-        chunks = chunk_files(analyzable_files(seen.files))
-        return response_findings(
-            _answers(bug_prompts(chunks, _flat_functions(seen.facts)), model, "BugDetector")
-        )
+        prompts = bug_prompts(analyzable_files(seen.files))
+        return response_findings(_answers(prompts, model, "BugDetector"))
 
     return detect
 

@@ -121,6 +121,17 @@ def test_merge_takes_best_and_keeps_all_text(spark):
     assert (one["rank"], solo["rank"]) == (1, 2)
 
 
+def test_one_place_holding_most_findings(spark):
+    """Copies of one finding over several stretches of numbers become one whole finding."""
+    step = 1 << 14
+    rows = [finding(n * step, 7, agent=f"A{n % 3}", suggestion=f"s{n % 4}") for n in range(40)]
+    rows += [finding(41 * step + n, 100 + 9 * n) for n in range(10)]
+    merged = of.merge_findings(of.cluster_findings(table(spark, rows))).orderBy("seq").collect()
+    assert [r.members for r in merged] == [40] + [1] * 10
+    assert merged[0].description == "\n\n".join(f"**A{n % 3}**: d{n * step}" for n in range(40))
+    assert merged[0].suggestion == "s0 | s1 | s2 | s3" and merged[0].contributing_agents == ["A0", "A1", "A2"]
+
+
 def test_decisions(spark):
     jobs = spark.createDataFrame([(j,) for j in "abcd"], "job_id string")
     rows = [finding(1, 1, job_id="b", severity="LOW"), finding(2, 1, job_id="c", severity="CRITICAL"),
