@@ -376,3 +376,45 @@ def validate_findings(spark: SparkSession, d: str) -> DataFrame:
     return good.select("seq", F.lit(True).alias("sound")).unionByName(
         bad.select("seq", F.lit(False).alias("sound"))
     )
+
+
+@query(
+    "review_summary_row",
+    f"""WITH {RUNS_SQL},
+jobs AS (SELECT DISTINCT job_id FROM findings_v UNION ALL SELECT DISTINCT 'idle-' || job_id FROM findings_v),
+files AS (SELECT job_id, count(DISTINCT file_path) AS files_reviewed FROM findings_v GROUP BY job_id),
+counts AS (SELECT job_id, count(*) AS total_findings, {", ".join(
+    f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}_count" for s in fixed.SEVERITIES[:4])}
+  FROM findings_v WHERE seq % 3 = 0 AND (job_id <> 'pr3' OR severity NOT IN ('CRITICAL', 'HIGH')) GROUP BY job_id),
+agents AS (SELECT r.job_id, string_agg(r.agent || ':' || n, ',' ORDER BY r.ord) AS agent_counts, sum(r.processing_time_seconds) AS seconds
+  FROM (SELECT r.job_id, r.agent, r.ord, r.processing_time_seconds, count(f.seq) AS n FROM runs r
+    LEFT JOIN findings_v f ON r.job_id = f.job_id AND r.agent = f.agent GROUP BY 1, 2, 3, 4) r GROUP BY r.job_id)
+SELECT job_id, coalesce(total_findings, 0) AS total_findings, {", ".join(
+    f"coalesce({s.lower()}_count, 0) AS {s.lower()}_count" for s in fixed.SEVERITIES[:4])},
+  coalesce(files_reviewed, 0) AS files_reviewed,
+  CASE WHEN total_findings IS NULL THEN 'APPROVE' WHEN critical_count + high_count > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS review_decision,
+  files_reviewed IS NULL AS nothing_to_review, coalesce(agent_counts, '') AS agent_counts,
+  round(coalesce(seconds, 0), 6) AS processing_time_seconds
+FROM jobs LEFT JOIN files USING (job_id) LEFT JOIN counts USING (job_id) LEFT JOIN agents USING (job_id)""",
+)
+def review_summary_row(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "findings_v")
+    mild = ~F.col("severity").isin("CRITICAL", "HIGH")
+    kept = rows.filter((F.col("seq") % 3 == 0) & ((F.col("job_id") != "pr3") | mild))
+    names = rows.select("job_id").distinct()
+    jobs = names.unionByName(names.withColumn("job_id", F.concat(F.lit("idle-"), "job_id")))
+    jobs = jobs.withColumns({
+        "repo": F.lit("o/r"), "pr_number": F.lit(1), "pr_title": F.lit("t"),
+    })
+    files = rows.select("job_id", "file_path").distinct()
+    summary = rp.review_summary(jobs, files, rows, kept, runs(spark, d))
+    counted = F.transform(
+        "agent_results", lambda r: F.concat(r["agent"], F.lit(":"), r["findings"].cast("string"))
+    )
+    return summary.select(
+        "job_id", "total_findings", "critical_count", "high_count", "medium_count", "low_count",
+        "files_reviewed", "review_decision",
+        (F.col("executive_summary") == fixed.NO_FILES_SUMMARY).alias("nothing_to_review"),
+        F.coalesce(F.array_join(counted, ","), F.lit("")).alias("agent_counts"),
+        F.round("processing_time_seconds", 6).alias("processing_time_seconds"),
+    )

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from mergelight import fixed
 from mergelight.operators import diffs as od
+from mergelight.operators import files as of
+from mergelight.operators import responses as rs
 from mergelight.operators import text as ot
 from mergelight.plans.adapters import table, view
 from mergelight.plans.catalog import query
-from mergelight.plans.queries_files import WS
+from mergelight.plans.queries_files import REASON, WS
 
 SPACE = r"[\s\x0b\x{85}\p{Z}]"
 
@@ -91,6 +93,35 @@ def scan_security_rules_all(spark: SparkSession, d: str) -> DataFrame:
     return ot.scan_security_rules(scanned_files(spark, d), parity=False).select(SCAN_COLUMNS)
 
 
+STREAMED = f"""scanned AS (SELECT job_id, ord, filename, content FROM files_v WHERE {REASON} IS NULL),
+{SCANNED[SCANNED.index("line_lists AS"):]}"""
+
+
+@query(
+    "stream_findings",
+    _scan_sql(ot.rules_for(parity=True)).replace(SCANNED, STREAMED),
+)
+def stream_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Batch twin of the stream of rule findings: filter, then scan."""
+    files = of.analyzable_files(of.reviewable_files(view(spark, d, "files_v")))
+    return ot.scan_security_rules(files).select(SCAN_COLUMNS)
+
+
+@query("error_isolation")
+def error_isolation(spark: SparkSession, d: str) -> DataFrame:
+    """Files that do not parse give one error row each; all others give their functions."""
+    docs = table(spark, d, "documents").select(
+        F.lit("docs").alias("job_id"), F.col("doc_id").alias("ord"),
+        F.col("doc_id").cast("string").alias("filename"), F.lit("python").alias("language"),
+        F.col("text").alias("content"),
+    )
+    code = view(spark, d, "code_v").select(docs.columns)
+    good, bad = rs.split_errors(ot.extract_functions_ast(docs.unionByName(code)))
+    failed = bad.groupBy("job_id").agg(F.count(F.lit(1)).alias("failed_files"))
+    found = good.groupBy("job_id").agg(F.count(F.lit(1)).alias("functions"))
+    return failed.join(found, "job_id", "full")
+
+
 USER_RULES = [
     (1, r"return\s+\w+\(", "Call result returned", "INFO", "house-rule"),
     (2, r"\bthe\b.*\bof\b", "Wordy line", "LOW", "house-style"),
