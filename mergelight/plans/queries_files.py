@@ -94,7 +94,7 @@ def is_generated_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "reviewable_files",
-    f"""SELECT job_id, ord, filename, ({LANGUAGE}) AS language, length(content) AS n_chars
+    f"""SELECT job_id, ord, filename, ({LANGUAGE}) AS language, CAST(length(content) AS INTEGER) AS n_chars
 FROM files_v WHERE {REASON} IS NULL""",
 )
 def reviewable_files(spark: SparkSession, d: str) -> DataFrame:

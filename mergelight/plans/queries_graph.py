@@ -210,7 +210,7 @@ recent AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY updated_at DE
 merged AS (SELECT * FROM recent WHERE pr_rank <= 3)"""
 
 
-@query("recent_merged_prs", f"WITH {RECENT} SELECT repo, number, pr_rank, title FROM merged")
+@query("recent_merged_prs", f"WITH {RECENT} SELECT repo, number, CAST(pr_rank AS INTEGER) AS pr_rank, title FROM merged")
 def recent_merged_prs(spark: SparkSession, d: str) -> DataFrame:
     return oc.recent_merged_prs(view(spark, d, "merged_prs_v")).select(
         "repo", "number", "pr_rank", "title"
@@ -230,7 +230,7 @@ samples AS (SELECT repo, sample, row_number() OVER (PARTITION BY repo ORDER BY p
 
 @query(
     "added_code_blocks",
-    f"WITH {BLOCKS} SELECT repo, sample_ord, left(sample, 2000) AS sample FROM samples WHERE sample_ord <= 20",
+    f"WITH {BLOCKS} SELECT repo, CAST(sample_ord AS INTEGER) AS sample_ord, left(sample, 2000) AS sample FROM samples WHERE sample_ord <= 20",
 )
 def added_code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return oc.added_code_blocks(oc.recent_merged_prs(view(spark, d, "merged_prs_v")))

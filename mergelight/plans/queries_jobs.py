@@ -239,7 +239,7 @@ def classify_event(spark: SparkSession, d: str) -> DataFrame:
 PROJECTED = """SELECT sha256(event_id || '|' || body) AS job_id, json_extract_string(body, '$.repository.full_name') AS repo,
   CAST(json_extract_string(body, '$.pull_request.number') AS INTEGER) AS pr_number,
   coalesce(json_extract_string(body, '$.pull_request.title'), '') AS pr_title,
-  json_extract_string(body, '$.pull_request.head.sha') AS head_sha, '' AS base_sha, 0 AS installation_id,
+  json_extract_string(body, '$.pull_request.head.sha') AS head_sha, '' AS base_sha, 0::BIGINT AS installation_id,
   epoch_us(ts) AS created_us, 'queued' AS status"""
 
 
@@ -318,7 +318,7 @@ def dashboard_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "call_rate_check",
-    """SELECT event_id, coalesce(sum(1) OVER w, 0) AS calls_before, coalesce(sum(1) OVER w, 0) >= 30 AS limited
+    """SELECT event_id, CAST(coalesce(sum(1) OVER w, 0) AS BIGINT) AS calls_before, coalesce(sum(1) OVER w, 0) >= 30 AS limited
 FROM (SELECT event_id, user_id % 3 AS k, CAST(epoch_us(ts) / 100 AS BIGINT) AS moment FROM events)
 WINDOW w AS (PARTITION BY k ORDER BY moment RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING)""",
 )

@@ -186,10 +186,10 @@ def extract_functions_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "extract_functions_ast",
-    """SELECT job_id, filename, 0 AS func_ord, 'load_' || ord AS name, 4 AS start_line, 5 AS end_line,
+    """SELECT job_id, filename, 0::BIGINT AS func_ord, 'load_' || ord AS name, 4::BIGINT AS start_line, 5::BIGINT AS end_line,
   '(a, b)' AS parameters FROM code_v
 UNION ALL
-SELECT job_id, filename, 1, regexp_extract(content, 'async def (\\w+)', 1), 7, 10, '(p)' FROM code_v""",
+SELECT job_id, filename, 1::BIGINT, regexp_extract(content, 'async def (\\w+)', 1), 7::BIGINT, 10::BIGINT, '(p)' FROM code_v""",
 )
 def extract_functions_ast(spark: SparkSession, d: str) -> DataFrame:
     return ot.extract_functions_ast(view(spark, d, "code_v")).select(
@@ -216,7 +216,7 @@ walk(doc_id, chunk_index, first, past) AS (
     CASE WHEN w.past + 30 >= f.n THEN f.n
          ELSE coalesce(list_filter(range(w.past + 30, w.past + 10, -1), lambda j: f.fl[j + 1])[1], w.past + 30) END
   FROM walk w JOIN flags f ON w.doc_id = f.doc_id WHERE w.past < f.n)
-SELECT w.doc_id AS ord, w.chunk_index, w.first + 1 AS chunk_start, w.past AS chunk_end,
+SELECT w.doc_id AS ord, w.chunk_index, CAST(w.first + 1 AS INTEGER) AS chunk_start, CAST(w.past AS INTEGER) AS chunk_end,
   md5(array_to_string(f.ls[w.first + 1:w.past], chr(10))) AS chunk_md5
 FROM walk w JOIN flags f ON w.doc_id = f.doc_id""",
 )
