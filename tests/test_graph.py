@@ -4,7 +4,6 @@ import posixpath
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from mergelight.fixed import IMPORT_EXTENSIONS, TEST_FILE_PATTERNS
 from mergelight.operators import coverage as ov
