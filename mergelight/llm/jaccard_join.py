@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         ends = found.join(of.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
         ends = ends.join(of.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
         joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        more = joined.withColumnsRenamed({"id": "component", "component": "joined"})
+        more = joined.select(F.col("id").alias("component"), F.col("component").alias("joined"))
         groups = groups.join(more, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
         alone = joined.join(groups.select("id"), "id", "left_anti")
         groups = cut_lineage(groups.unionByName(alone))
