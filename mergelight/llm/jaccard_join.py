@@ -8,17 +8,19 @@ their sets have a Jaccard similarity of ``num / den`` or more; the result is the
    two sets that link share ``1 + EXTRA`` of them (or all that a small set can).  Rarity comes from
    counts of all documents' tokens in ``2**COUNT_BITS`` slots: of fixed size, and only the order
    depends on it, not the result.
-3. Groups of similar documents: every token's least class is its leader; classes that share part
-   of their head with a leader are compared with it, and verified links are joined to components.
-   These are the groups.  No pairs within a group are listed.
+3. Groups of similar documents: every token's leader is the most central class that has it, whose
+   head is shared with most others; classes that share part of their head with a leader are
+   compared with it, and verified links are joined to components.  These are the groups.  No
+   pairs within a group are listed.
 4. The matrix has a row for each (token, size band, group): the union of the heads of a group's
-   members.  A document meets the groups other than its own on its head's tokens; the number of
-   tokens met bounds what it can share with any member, and only groups that reach the bound are
-   opened: the document is compared with the members of a fitting size.
+   members.  Only tokens of several groups matter.  A document meets the groups other than its
+   own on its head's tokens; the number of tokens met bounds what it can share with any member,
+   and only groups that reach the bound are opened: the document is compared with its members.
 5. Verified links join groups.
 
-Comparisons run in streams: the rows of a compared document come behind its own set, sorted; a
-document that very many are compared with is repeated over many streams.
+An opened group's members lie in blocks of ``BLOCK``; the documents that ask stream past each
+block, which counts the tokens shared with all its members at once and stops at the first link.
+Blocks that very many documents ask are repeated.
 
 Whole sets are only built for documents that are compared (found by a bitmap of fixed size, then
 exactly).  Defined results: null or empty texts, or texts of white space, have no shingles and
@@ -46,7 +48,8 @@ WIDTH = 5
 NUM, DEN = 75, 100
 EXTRA = 2
 COUNT_BITS = 18
-STREAMS = 64
+BLOCK = 256
+ASKS = 2048
 _CHUNK = 1 << 12
 NO_ID = -(1 << 63)
 
@@ -131,7 +134,7 @@ def digests_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
 
 
 def shared_heads(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """(token, rep, n, leader, leader_n) of each class's head tokens that another class has too."""
+    """(token, rep, n, classes) of each class's head tokens that another class has too."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def scan(batches):
@@ -149,18 +152,17 @@ def shared_heads(docs: DataFrame, counts: np.ndarray, width: int, num: int, den:
     rows = _texts(docs).mapInArrow(scan, "id long, n int, digest binary, head array<long>").where("n > 0")
     classes = rows.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("head").alias("head"))
     tokens = classes.select(F.explode("head").alias("token"), "rep", "n")
-    by = W.partitionBy("token").orderBy("rep")
-    first = F.first(F.struct("rep", "n")).over(by)
-    seen = tokens.select("token", "rep", "n", first.alias("f"), F.lead("rep").over(by).alias("later"))
-    return cut_lineage(seen.where("rep <> f.rep or later is not null").select(
-        "token", "rep", "n", F.col("f.rep").alias("leader"), F.col("f.n").alias("leader_n")
-    ))
+    seen = tokens.withColumn("classes", F.count("*").over(W.partitionBy("token")))
+    return cut_lineage(seen.where("classes > 1"))
+
 
+def linked(asks: DataFrame, members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of asking documents b with members a of the groups asked, one a block at most.
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those distinct pairs (a, b) of ids whose sets are similar enough."""
-    pairs = cut_lineage(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ``asks`` has distinct (b, group) and ``members`` distinct (a, group).
+    """
+    asks, members = cut_lineage(asks), cut_lineage(members)
+    ids = asks.select(F.col("b").alias("id")).union(members.select(F.col("a").alias("id"))).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(filter_bitmap(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def build(batches):
@@ -172,42 +174,76 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     sets = _texts(docs).select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(build, "id long, tokens binary")
-    sets = cut_lineage(sets.join(ids, "id", "left_semi"))
-    often = heavy_keys(pairs.groupBy("b").agg(F.count("*").alias("n_rows")), "b").withColumn("often", F.lit(True))
-    often = F.broadcast(often)
-    stream = F.when(F.col("often"), F.pmod(F.xxhash64("a"), F.lit(STREAMS))).otherwise(0).cast("int")
-    members = pairs.join(often, "b", "left").withColumn("stream", stream).drop("often")
-    members = members.join(sets.withColumnRenamed("id", "a"), "a").select("b", "stream", "a", "tokens")
-    all_streams = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(STREAMS - 1))).otherwise(F.array(F.lit(0)))
-    bases = pairs.select("b").distinct().join(often, "b", "left").select("b", F.explode(all_streams).alias("stream"))
-    bases = bases.join(sets.withColumnRenamed("id", "b"), "b").select(
-        "b", "stream", F.lit(None).cast("long").alias("a"), "tokens"
+    sets = sets.join(ids, "id", "left_semi")
+    asked = asks.groupBy("group").agg(F.count("*").alias("n_rows"))
+    held = members.groupBy("group").agg(F.count("*").alias("n_members"))
+    shape = cut_lineage(asked.join(held, "group").select(
+        "group", "n_rows", "n_members", F.ceil(F.col("n_members") / BLOCK).alias("blocks"),
+        F.ceil(F.col("n_rows") / ASKS).alias("repeats"),
+    ))
+    sizes = shape.select("group", "blocks", "repeats")
+    own_repeat = F.pmod(F.xxhash64("b"), F.col("repeats"))
+    asks = attach(asks, sizes, "group", heavy_keys(shape, "group")).where("blocks is not null").select(
+        F.col("b").alias("id"), "group", own_repeat.alias("repeat"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.lit(True).alias("asks"),
     )
-    rows = members.unionByName(bases).repartition("b", "stream").sortWithinPartitions(
-        "b", "stream", F.col("a").asc_nulls_first()
+    own_block = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    members = attach(members, sizes, "group", heavy_keys(shape, "group", "n_members")).where("blocks is not null").select(
+        F.col("a").alias("id"), "group", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("repeat"), own_block.alias("block"),
+        F.lit(False).alias("asks"),
+    )
+    rows = asks.unionByName(members).join(sets, "id")
+    rows = rows.repartition("group", "block", "repeat").sortWithinPartitions("group", "block", "repeat", "asks", "id")
+    return rows.select("group", "block", "repeat", "asks", "id", "tokens").mapInArrow(
+        lambda batches: _compare(batches, num, den), "a long, b long"
     )
 
-    def compare(batches):
-        key, bases = None, []
-        for batch in batches:
-            a_out, b_out = [], []
-            columns = (batch[c].to_pylist() for c in ("b", "stream", "a", "tokens"))
-            for b, stream, a, raw in zip(*columns, strict=True):
-                tokens = np.frombuffer(raw, dtype=np.uint64)
-                if (b, stream) != key:
-                    key, bases = (b, stream), []
-                if a is None:
-                    bases.append(tokens)
-                    continue
-                for base in bases:
-                    shared = len(np.intersect1d(base, tokens, assume_unique=True))
-                    if shared and den * shared >= num * (len(base) + len(tokens) - shared):
-                        a_out.append(a)
-                        b_out.append(b)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
+
+def _compare(batches, num: int, den: int):
+    """Members of a block come first, then the documents that ask; rows are sorted so."""
+    key, held, block = None, [], None
+    for batch in batches:
+        a_out, b_out = [], []
+        columns = (batch[c].to_pylist() for c in ("group", "block", "repeat", "asks", "id", "tokens"))
+        for *now, asks, ident, raw in zip(*columns, strict=True):
+            tokens = np.frombuffer(raw, dtype=np.uint64)
+            if now != key:
+                key, held, block = now, [], None
+            if not asks:
+                held.append((ident, tokens))
+                continue
+            if block is None:
+                block = Block(held)
+            partner = block.first_link(tokens, num, den, ident)
+            if partner is not None:
+                a_out.append(partner)
+                b_out.append(ident)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+class Block:
+    """Sets of some documents, their tokens sorted with their owners."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        self.ids = [ident for ident, _ in sets]
+        self.sizes = np.array([len(t) for _, t in sets], dtype=np.int64)
+        tokens = np.concatenate([t for _, t in sets]) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of these distinct tokens each set has."""
+        low, high = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        many = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        return np.bincount(self.owners[at], minlength=len(self.ids))
+
+    def first_link(self, tokens: np.ndarray, num: int, den: int, ident: int) -> int | None:
+        if not len(tokens) or not self.ids:
+            return None
+        shared = self.shared(tokens)
+        good = (shared > 0) & (den * shared >= num * (len(tokens) + self.sizes - shared))
+        return next((self.ids[i] for i in np.flatnonzero(good) if self.ids[i] != ident), None)
 
 
 def _fits(n: str, m: str, num: int, den: int):
@@ -222,31 +258,41 @@ def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: i
     Only leaders that share a good part of the head are tried: what is left out here is found by
     the matrix.
     """
-    tries = heads.where("rep <> leader").where(_fits("n", "leader_n", num, den))
-    tries = tries.groupBy("rep", "leader").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    central = heads.groupBy("rep").agg((F.sum("classes") / F.first("n")).alias("weight"))
+    rows = heads.join(central, "rep")
+    lead = F.first(F.struct("rep", "n")).over(W.partitionBy("token").orderBy(F.desc("weight"), "rep"))
+    tries = rows.select("token", "rep", "n", lead.alias("lead")).where("rep <> lead.rep")
+    tries = tries.where(_fits("n", "lead.n", num, den)).groupBy("rep", F.col("lead.rep").alias("leader")).agg(
+        F.count("*").alias("met"), F.first("n").alias("n")
+    )
     tries = tries.where(5 * F.col("met") * den >= F.col("n") * (den - num))
-    return verified(tries.select(F.col("rep").alias("a"), F.col("leader").alias("b")), docs, width, num, den)
+    asks = cut_lineage(tries.select(F.col("rep").alias("b"), F.col("leader").alias("group")))
+    members = asks.select(F.col("group").alias("a"), "group").distinct()
+    return linked(asks, members, docs, width, num, den)
 
 
-def opened_groups(heads: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b): documents b with the members a of groups that their bound doesn't rule out."""
+def open_groups(heads: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(b, group) that the bound doesn't rule out, and (a, group) of the members of these groups."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
     rows = heads.select("token", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     rows = rows.withColumns({"component": F.coalesce("component", "rep"), "band": band})
-    matrix = rows.groupBy("token", "band", F.col("component").alias("group")).agg(
+    of = W.partitionBy("token")
+    several = rows.withColumns({"lo": F.min("component").over(of), "hi": F.max("component").over(of)})
+    several = cut_lineage(several.where("lo <> hi").drop("lo", "hi"))
+    matrix = several.groupBy("token", "band", F.col("component").alias("group")).agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n")
     )
     bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    asks = rows.select("token", "rep", "n", "component", bands.alias("band"))
+    asks = several.select("token", "rep", "n", "component", bands.alias("band"))
     fits = (den * F.col("most_n").cast("long") >= num * F.col("n").cast("long")) & (
         den * F.col("n").cast("long") >= num * F.col("least_n").cast("long"))
     met = asks.join(matrix, ["token", "band"]).where("component < group").where(fits)
     met = met.groupBy("rep", "group").agg(F.count("*").alias("met"), F.first("n").alias("n"))
     bound = F.least(F.lit(1 + EXTRA), F.ceil(F.col("n") * num / den))
-    open_ = met.where(F.col("met") >= bound).select(F.col("rep").alias("b"), F.col("n").alias("b_n"), "group")
-    members = rows.select(F.col("component").alias("group"), F.col("rep").alias("a"), F.col("n").alias("a_n")).distinct()
-    pairs = open_.join(members, "group").where(_fits("a_n", "b_n", num, den))
-    return pairs.select("a", "b").distinct()
+    asks = cut_lineage(met.where(F.col("met") >= bound).select(F.col("rep").alias("b"), "group"))
+    # every possible partner of an asking document has one of the tokens of several groups
+    members = several.select(F.col("rep").alias("a"), F.col("component").alias("group")).distinct()
+    return asks, members.join(asks.select("group").distinct(), "group", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -261,7 +307,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     placed = cut_lineage(placed.select("id", "n", F.coalesce("rep", "id").alias("rep")))
     shared_ids = placed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     groups = components(links.union(shared_ids.select("a", "b")))
-    found = cut_lineage(verified(opened_groups(heads, groups, num, den), docs, width, num, den))
+    asks, members = open_groups(heads, groups, num, den)
+    found = cut_lineage(linked(asks, members, docs, width, num, den))
     if found.first() is not None:
         of = groups.select("id", "component")
         ends = found.join(of.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
