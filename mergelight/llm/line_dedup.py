@@ -88,7 +88,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     spark = docs.sparkSession
     order = ["h1", "h2", F.col("id").desc(), "text_hash", "at"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    lines = hashed_lines(docs, min_chars).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    lines = cut_lineage(hashed_lines(docs, min_chars))  # ranges are found in one more pass: not over the texts
+    lines = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lines = cut_lineage(lines.withColumn("part", F.spark_partition_id()))
     edges = F.broadcast(  # a key for each partition at most
         lines.groupBy("part").agg(F.min(F.struct("h1", "h2")).alias("k")).select("k.h1", "k.h2").distinct()
