@@ -9,7 +9,7 @@ their sets have a Jaccard similarity of ``num / den`` or more; the result is the
    counts of all documents' tokens in ``2**COUNT_BITS`` slots: of fixed size, and only the order
    depends on it, not the result.
 3. Groups of similar documents: every token's leader is the most central class that has it, whose
-   head is shared with most others; classes that share part of their head with a leader are
+   head is shared with most others; classes that share enough of their head with a leader are
    compared with it, and verified links are joined to components.  These are the groups.  No
    pairs within a group are listed.
 4. The matrix has a row for each (token, size band, group): the union of the heads of a group's
@@ -252,12 +252,13 @@ def _fits(n: str, m: str, num: int, den: int):
     return den * low.cast("long") >= num * high.cast("long")
 
 
-def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between classes and leaders of their tokens.
+def _bound(num: int, den: int):
+    """Head tokens that a set of n tokens shares at least with any partner."""
+    return F.least(F.lit(1 + EXTRA), F.ceil(F.col("n") * num / den))
 
-    Only leaders that share a good part of the head are tried: what is left out here is found by
-    the matrix.
-    """
+
+def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between classes and leaders of their tokens that the bound doesn't rule out."""
     central = heads.groupBy("rep").agg((F.sum("classes") / F.first("n")).alias("weight"))
     rows = heads.join(central, "rep")
     lead = F.first(F.struct("rep", "n")).over(W.partitionBy("token").orderBy(F.desc("weight"), "rep"))
@@ -265,7 +266,7 @@ def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: i
     tries = tries.where(_fits("n", "lead.n", num, den)).groupBy("rep", F.col("lead.rep").alias("leader")).agg(
         F.count("*").alias("met"), F.first("n").alias("n")
     )
-    tries = tries.where(5 * F.col("met") * den >= F.col("n") * (den - num))
+    tries = tries.where(F.col("met") >= _bound(num, den))
     asks = cut_lineage(tries.select(F.col("rep").alias("b"), F.col("leader").alias("group")))
     members = asks.select(F.col("group").alias("a"), "group").distinct()
     return linked(asks, members, docs, width, num, den)
@@ -288,8 +289,7 @@ def open_groups(heads: DataFrame, groups: DataFrame, num: int, den: int) -> tupl
         den * F.col("n").cast("long") >= num * F.col("least_n").cast("long"))
     met = asks.join(matrix, ["token", "band"]).where("component < group").where(fits)
     met = met.groupBy("rep", "group").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    bound = F.least(F.lit(1 + EXTRA), F.ceil(F.col("n") * num / den))
-    asks = cut_lineage(met.where(F.col("met") >= bound).select(F.col("rep").alias("b"), "group"))
+    asks = cut_lineage(met.where(F.col("met") >= _bound(num, den)).select(F.col("rep").alias("b"), "group"))
     # every possible partner of an asking document has one of the tokens of several groups
     members = several.select(F.col("rep").alias("a"), F.col("component").alias("group")).distinct()
     return asks, members.join(asks.select("group").distinct(), "group", "left_semi")
