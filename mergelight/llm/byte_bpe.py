@@ -6,8 +6,9 @@ encoding of what precedes it; two tokens may follow each other exactly if mergin
 bytes gives the two again.  So a state is the set of positions from which a token could still
 begin (a node of the vocabulary's trie each) with the tokens that lead to them.  Tokens on which
 all of them agree are emitted and taken out of the state, so output lags behind by a bounded
-number of bytes.  States and moves are made when first met and kept in a table (determinised
-lazily); a table with ``MOST_STATES`` states is begun anew, which changes no result.
+number of bytes.  States and moves are made when they are needed a second time and kept in a table
+(determinised lazily); a first time, the open positions are followed one by one instead.  A table
+with ``MOST_STATES`` states is begun anew, which changes no result.
 
 Texts are cut by the pattern first and each match is encoded on its own.  Encodings of the
 stretches between single spaces are kept in a table of bounded size, since a match can only begin,
@@ -36,9 +37,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from mergelight.llm.common import hex_sha256
 
 #: Sizes of a worker's tables; they bound its memory and change no result.
-MOST_STATES = 250_000
-MOST_PAIRS = 500_000
-MOST_STRETCHES = 400_000
+MOST_STATES = 60_000
+MOST_MET = 200_000
+MOST_PAIRS = 300_000
+MOST_STRETCHES = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,6 +96,7 @@ class Transducer:
         self.known: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.met: set[int] = set()  # state * 256 + byte of moves needed once
         self.start = self._state((None, (0,), ((),)))
 
     def _state(self, state: tuple) -> int:
@@ -149,18 +152,62 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        state, moves = self.start, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
+        state, moves, met = self.start, self.moves, self.met
+        for at, byte in enumerate(piece):
+            key = state << 8 | byte
+            move = moves.get(key)
             if move is None:
+                if key not in met:
+                    if len(met) >= MOST_MET:
+                        met.clear()
+                    met.add(key)
+                    return out + self._follow(state, piece[at:])
                 move = self._move(state, byte)
-                moves = self.moves
+                moves, met = self.moves, self.met
             state, emitted = move
             if emitted:
                 out += emitted
         out += self.states[state][2][-1]
         return out
 
+    def _follow(self, state: int, rest: bytes) -> list[int]:
+        """The same machine without its table: tokens from a state to the end of the input."""
+        last, nodes, leads = self.states[state]
+        goto, ends, goes_on, follows = self.goto, self.ends, self.goes_on, self.follows
+        live = []
+        for node, tokens in zip(nodes, leads, strict=True):
+            way = (None, last)
+            for number in tokens:
+                way = (way, number)
+            live.append((node, way))
+        for byte in rest:
+            after, here = [], None
+            for node, way in live:
+                child = goto.get(node << 8 | byte)
+                if child is not None:
+                    if goes_on[child]:
+                        after.append((child, way))
+                    number = ends[child]
+                    if number is not None and here is None:
+                        before = way[1]
+                        if before is None:
+                            here = (way, number)
+                        else:
+                            fits = follows.get(before << 32 | number)
+                            if fits or fits is None and self.may_follow(before, number):
+                                here = (way, number)
+            if here is None:
+                raise ValueError(f"byte {byte} is no token of the vocabulary")
+            after.append((0, here))
+            live = after
+        out = []
+        way = live[-1][1]
+        while way[0] is not None:
+            out.append(way[1])
+            way = way[0]
+        out.reverse()
+        return out
+
 
 class _Odd(Exception):
     """A stretch that touches white space other than single spaces."""
@@ -176,7 +223,11 @@ class Stretches(dict):
     def __missing__(self, stretch: str) -> bytes:
         if not stretch or stretch[0].isspace() or stretch[-1].isspace():
             raise _Odd
-        ids = self.encoder.pieces(self.lead + stretch)
+        if len(stretch) > 1 and stretch[-1] in ".,;:" and stretch[-2].isalnum():
+            # a sign after a letter or digit begins a match of its own
+            ids = self[stretch[:-1]] + self.encoder.begin[stretch[-1]]
+        else:
+            ids = self.encoder.pieces(self.lead + stretch)
         if len(self) < MOST_STRETCHES and len(stretch) < 100:
             self[stretch] = ids
         return ids
