@@ -1,14 +1,14 @@
 """Token files: all ids in one run, document boundaries in Elias-Fano form.
 
-Texts are encoded where they lie; the ids, two bytes each if the vocabulary allows, are
-range-partitioned and sorted by document id.  Every partition writes *blocks*: the ids of whole
+Texts are encoded where they lie; the ids, two bytes each if the vocabulary allows, are dealt to
+shards, which are ranges of document ids of about equal size, and sorted by id.  Every shard has *blocks*: the ids of whole
 documents one after the other (``BLOCK_IDS``, more only for a longer document), the ends of the
-documents as an Elias-Fano sequence, and how many ids of the partition come before.  An end costs
+documents as an Elias-Fano sequence, and how many ids of the shard come before.  An end costs
 2 + log2(ids / documents) bits instead of 64; ``EliasFano.select`` finds any of them from sampled
 positions of the upper bits, without a table of offsets.  Blocks are rows of a Parquet table, so
 Spark's committer holds the files together when executors are lost.
 
-A document's place among all ids is the sum of the partitions before (one number each, from
+A document's place among all ids is the sum of the shards before (one number each, from
 the files), of the blocks before and of the documents before.
 
 Encodings of white-space separated stretches are kept in a table of bounded size in each worker;
@@ -21,17 +21,18 @@ no rows write no blocks; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 16
 MOST_STRETCHES = 900_000
 SAMPLE = 64
+SIGNS = ".,;:"
 END_ID = 1
 
 
@@ -90,25 +91,50 @@ class StretchEncoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tool.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
+        self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
         self.known: dict[str, bytes] = {"": b""}
+        self.signs = {"": b""} | dict(zip(SIGNS, self._tokens(list(SIGNS)), strict=True))
+
+    def _tokens(self, stretches: list[str]) -> list[bytes]:
+        found = self.tool.encode_batch_fast(stretches, add_special_tokens=False)
+        return [array(self.letter, x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         found = [list(map(get, stretches)) for stretches in cut]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        new = list({s for i in open_ for s, ids in zip(cut[i], found[i], strict=True) if ids is None})
-        if new:
-            made = self.tool.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {s: np.array(x.ids, dtype=self.kind).tobytes() for s, x in zip(new, made, strict=True)}
-            for i in open_:
-                found[i] = [fresh[s] if ids is None else ids for s, ids in zip(cut[i], found[i], strict=True)]
+        gaps: list[tuple[list, int, str]] = []
+        for stretches, ids in zip(cut, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((ids, at, stretches[at]))
+        if gaps:
+            fresh: dict[str, bytes] = {}
+            bases = {stretch: base_of(stretch) for stretch in {stretch for _, _, stretch in gaps}}
+            new = list({base for base, _ in bases.values()} - self.known.keys())
+            if new:
+                fresh = dict(zip(new, self._tokens(new), strict=True))
+            for ids, at, stretch in gaps:
+                base, sign = bases[stretch]
+                found_base = fresh.get(base)
+                ids[at] = (self.known[base] if found_base is None else found_base) + self.signs[sign]
             if len(self.known) + len(fresh) <= MOST_STRETCHES:
                 self.known.update(fresh)
         return list(map(b"".join, found))
 
 
+def base_of(stretch: str) -> tuple[str, str]:
+    """A stretch without a sign after a letter or digit, which is a token of its own, and the sign.
+
+    Letters of plain ASCII are lower-cased, as the tokenizer does with all.
+    """
+    sign = ""
+    if len(stretch) > 1 and stretch[-1] in SIGNS and stretch[-2].lower()[-1].isalnum():
+        stretch, sign = stretch[:-1], stretch[-1]
+    return (stretch.lower() if stretch.isascii() else stretch), sign
+
+
 @lru_cache(maxsize=2)
 def stretch_encoder(path: str) -> StretchEncoder:
     import os
@@ -149,48 +175,57 @@ _BLOCK_SQL = ("shard int, block int, before long, n_docs int, n_ids long, width
 
 
 def _pack(batches, width: int, block_ids: int):
-    shard = TaskContext.get().partitionId()
-    state = {"block": 0, "before": 0}
+    """Blocks of rows sorted by shard and document."""
+    shard, block, before = None, 0, 0
     doc_ids: list = []
     parts: list[bytes] = []
     size = 0
 
-    def flush():
+    def packed():
         ends = np.cumsum([len(p) // width for p in parts])
         ef = EliasFano.of(ends, int(ends[-1]) + 1)
         row = {
-            "shard": shard, "block": state["block"], "before": state["before"], "n_docs": len(parts),
+            "shard": shard, "block": block, "before": before, "n_docs": len(parts),
             "n_ids": int(ends[-1]), "width": width, "low_bits": ef.low_bits,
             "doc_ids": np.array([0 if i is None else i for i in doc_ids], dtype="<i8").tobytes(),
             "absent": np.packbits([i is None for i in doc_ids]).tobytes(),
             "low": ef.low.tobytes(), "high": ef.high.tobytes(), "samples": ef.samples.tobytes(),
             "ids": b"".join(parts),
         }
-        state["block"] += 1
-        state["before"] += int(ends[-1])
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
     for batch in batches:
-        for i, raw in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-            if parts and size + len(raw) > block_ids * width:
-                yield flush()
+        rows = zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True)
+        for now, i, raw in rows:
+            if parts and (now != shard or size + len(raw) > block_ids * width):
+                yield packed()
+                block, before = block + 1, before + size // width
                 doc_ids, parts, size = [], [], 0
+            if now != shard:
+                shard, block, before = now, 0, 0
             doc_ids.append(i)
             parts.append(raw)
             size += len(raw)
     if parts:
-        yield flush()
+        yield packed()
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS,
-                      parts: int | None = None) -> None:
+                      shards: int | None = None) -> None:
     """Encode ``docs`` and write blocks in ascending document id to a new Parquet table at ``path``."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 4 * parts
     width = 4 if stretch_encoder(tokenizer).wide else 2
-    order = [F.col("doc_id").asc_nulls_first(), "text_hash"]
-    rows = encoded(docs, tokenizer, end_id).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    blocks = rows.select("doc_id", "ids").mapInArrow(lambda b: _pack(b, width, block_ids), _BLOCK_SQL)
+    shares = [i / shards for i in range(1, shards)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * shards)).first()[0] or []
+    cut_list = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")  # an id for each shard
+    # null ids are below all cuts
+    shard = F.size(F.filter(cut_list, lambda c: c < F.col("doc_id")))
+    rows = encoded(docs, tokenizer, end_id).withColumn("shard", shard)
+    rows = rows.repartition(parts, "shard").sortWithinPartitions(
+        "shard", F.col("doc_id").asc_nulls_first(), "text_hash"
+    )
+    blocks = rows.select("shard", "doc_id", "ids").mapInArrow(lambda b: _pack(b, width, block_ids), _BLOCK_SQL)
     blocks.write.mode("errorifexists").parquet(path)
 
 
