@@ -257,6 +257,26 @@ def _bound(num: int, den: int):
     return F.least(F.lit(1 + EXTRA), F.ceil(F.col("n") * num / den))
 
 
+def _size_bound(num: int, den: int):
+    """The same, knowing the sizes m of partners: from ``least_n`` to ``most_n``.
+
+    Let c be the tokens that both heads hold.  Of the set whose head ends first in the order, only
+    what lies behind its head can be shared besides, so the two share c + the larger rest at most,
+    and must share num / (num + den) of n + m.  What c must reach is least at either end of the
+    sizes that fit; 1 allows for rounding.
+    """
+
+    def rest(x):
+        return F.greatest(F.lit(0), F.ceil(num * x / den) - 1 - EXTRA)
+
+    def needed(m):
+        return F.ceil(num * (F.col("n") + m) / (num + den)) - F.greatest(rest(F.col("n")), rest(m))
+
+    low = F.greatest("least_n", F.ceil(num * F.col("n") / den))
+    high = F.least("most_n", F.floor(den * F.col("n") / num))
+    return F.least(needed(low), needed(high)) - 1
+
+
 def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between classes and leaders of their tokens that the bound doesn't rule out."""
     central = heads.groupBy("rep").agg((F.sum("classes") / F.first("n")).alias("weight"))
@@ -275,21 +295,30 @@ def leader_links(heads: DataFrame, docs: DataFrame, width: int, num: int, den: i
 def open_groups(heads: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(b, group) that the bound doesn't rule out, and (a, group) of the members of these groups."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    groups = attach(groups, sizes, "component", heavy_keys(sizes, "component", "members"))
     rows = heads.select("token", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     rows = rows.withColumns({"component": F.coalesce("component", "rep"), "band": band})
+    rows = rows.withColumn("members", F.coalesce("members", F.lit(1)))
     of = W.partitionBy("token")
     several = rows.withColumns({"lo": F.min("component").over(of), "hi": F.max("component").over(of)})
     several = cut_lineage(several.where("lo <> hi").drop("lo", "hi"))
     matrix = several.groupBy("token", "band", F.col("component").alias("group")).agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n")
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.first("members").alias("group_members")
     )
     bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    asks = several.select("token", "rep", "n", "component", bands.alias("band"))
+    asks = several.select("token", "rep", "n", "component", "members", bands.alias("band"))
     fits = (den * F.col("most_n").cast("long") >= num * F.col("n").cast("long")) & (
         den * F.col("n").cast("long") >= num * F.col("least_n").cast("long"))
-    met = asks.join(matrix, ["token", "band"]).where("component < group").where(fits)
-    met = met.groupBy("rep", "group").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    asks = cut_lineage(met.where(F.col("met") >= _bound(num, den)).select(F.col("rep").alias("b"), "group"))
+    # the smaller group's documents ask the larger group
+    met = asks.join(matrix, ["token", "band"]).where(
+        "members < group_members or (members = group_members and component < group)"
+    ).where(fits)
+    met = met.groupBy("rep", "group").agg(
+        F.count("*").alias("met"), F.first("n").alias("n"), F.min("least_n").alias("least_n"),
+        F.max("most_n").alias("most_n"),
+    )
+    asks = cut_lineage(met.where(F.col("met") >= F.greatest(_bound(num, den), _size_bound(num, den))).select(F.col("rep").alias("b"), "group"))
     # every possible partner of an asking document has one of the tokens of several groups
     members = several.select(F.col("rep").alias("a"), F.col("component").alias("group")).distinct()
     return asks, members.join(asks.select("group").distinct(), "group", "left_semi")
