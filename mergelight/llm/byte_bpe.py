@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from mergelight.llm.common import hex_sha256
+from mergelight.llm.common import fresh_name, hex_sha256
 
 #: Sizes of a worker's tables; they bound its memory and change no result.
 MOST_STATES = 60_000
@@ -343,18 +343,29 @@ def with_decoded(docs: DataFrame, path: str, ids: str = "ids", column: str = "de
     return docs.withColumn(column, decode(ids))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Add ``ids`` and what they decode to, ``decoded``, in one pass through a worker."""
-    kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+def round_trip(docs: DataFrame, path: str, pattern: str, step: int = 128) -> DataFrame:
+    """Add ``ids`` and what they decode to, ``decoded``, in one pass, ``step`` rows at a time."""
+    docs = docs.drop("ids", "decoded")
+    raw, names = fresh_name(docs, "_raw"), [*docs.columns, "ids", "decoded"]
 
-    @F.pandas_udf(kind)
-    def both(raw):
+    def both(batches):
         there, back = encoder(path, pattern), decoder(path)
-        ids = [there.encode(r.decode("utf-8", "replace") if r else "") for r in raw]
-        return pd.DataFrame({"ids": ids, "decoded": [back.decode(i) for i in ids]}, index=raw.index)
-
-    done = docs.withColumn("_both", both(F.col("text").cast("string").cast("binary")))
-    return done.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).drop("_both")
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                texts = part[raw].to_pylist()
+                ids = [there.encode(t.decode("utf-8", "replace") if t else "") for t in texts]
+                text = pa.array([back.decode(i) for i in ids], pa.string())
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.drop_columns([raw]).columns, pa.ListArray.from_arrays(ends, flat), text],
+                    names=names,
+                )
+
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+    kind = StructType([*docs.schema.fields, *more])
+    return docs.withColumn(raw, F.col("text").cast("string").cast("binary")).mapInArrow(both, kind)
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
