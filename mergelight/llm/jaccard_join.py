@@ -302,18 +302,22 @@ def open_groups(heads: DataFrame, groups: DataFrame, num: int, den: int) -> tupl
     rows = rows.withColumn("members", F.coalesce("members", F.lit(1)))
     of = W.partitionBy("token")
     several = rows.withColumns({"lo": F.min("component").over(of), "hi": F.max("component").over(of)})
-    several = cut_lineage(several.where("lo <> hi").drop("lo", "hi"))
+    several = several.where("lo <> hi").drop("lo", "hi")
+    several = cut_lineage(several.withColumn("held", F.count("*").over(W.partitionBy("rep"))))
     matrix = several.groupBy("token", "band", F.col("component").alias("group")).agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.first("members").alias("group_members")
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.first("members").alias("group_members"),
+        F.max("held").alias("group_held"),
     )
     bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    asks = several.select("token", "rep", "n", "component", "members", bands.alias("band"))
+    asks = several.select("token", "rep", "n", "component", "members", "held", bands.alias("band"))
     fits = (den * F.col("most_n").cast("long") >= num * F.col("n").cast("long")) & (
         den * F.col("n").cast("long") >= num * F.col("least_n").cast("long"))
     # the smaller group's documents ask the larger group
     met = asks.join(matrix, ["token", "band"]).where(
         "members < group_members or (members = group_members and component < group)"
     ).where(fits)
+    # neither side can share more tokens than it holds
+    met = met.where(F.least("held", "group_held") >= _size_bound(num, den))
     met = met.groupBy("rep", "group").agg(
         F.count("*").alias("met"), F.first("n").alias("n"), F.min("least_n").alias("least_n"),
         F.max("most_n").alias("most_n"),
