@@ -164,3 +164,20 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def only_with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of (key, text) whose key may be among ``ids``: all that are, and few others.
+
+    A bitmap of fixed size keeps other texts off the shuffle of the join that must follow.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(filter_bitmap(ids.select(F.xxhash64(key).alias("h")), "h"))
+
+    def keep(batches):
+        for batch in batches:
+            hashes = batch["h"].to_numpy(zero_copy_only=False).view(np.uint64)
+            batch = batch.filter(pa.array(has_bits(bitmap.value, hashes)))
+            yield pa.RecordBatch.from_arrays([batch[key], batch["text"]], names=[key, "text"])
+
+    rows = docs.select(F.col(key).cast("long"), F.col("text").cast("string"), F.xxhash64(F.col(key).cast("long")).alias("h"))
+    return rows.mapInArrow(keep, f"{key} long, text string")

@@ -5,7 +5,7 @@ each white-space token), hashed to ``bits`` bits.  Spark counts over *all* label
 in how many documents of each label a feature occurs; the log of the ratio of the two smoothed,
 normalised counts scales the indicator.  A linear model with hinge loss is then fitted by dual
 coordinate descent on a bounded sample of training rows (``max_rows``, the rows of least hash of
-their id and text), its intercept being a constant feature.  A logistic curve through the
+their id), its intercept being a constant feature.  A logistic curve through the
 out-of-fold margins of the sample turns margins into scores.  Scoring reads every text whole.
 
 Defined results: a null or empty text has no features and scores by the intercept alone; repeated
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from mergelight.llm.common import fresh_name, held_out, logistic, text_slices
+from mergelight.llm.common import fresh_name, held_out, logistic, only_with_ids, text_slices
 from mergelight.llm.words import NON_SPACE, gram_hashes, words_of
+from mergelight.session import cut_lineage
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -158,13 +159,13 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[f
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, label) of the documents that may be learnt from."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias(label))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~held_out(F.col("doc_id")))
-    return rows.join(known, "doc_id")
+    known = cut_lineage(known.where(~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("long")))
+    return only_with_ids(docs, known).join(known, "doc_id")
 
 
 def sample_rows(rows: DataFrame, label: str, max_rows: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most ``max_rows`` rows, those of least hash; a top-k of hashes."""
-    order = F.xxhash64("doc_id", "text")
+    order = F.xxhash64("doc_id")
     least = rows.select(order.alias("h")).orderBy("h").limit(max_rows)
     edge = least.agg(F.max("h")).first()[0]
     if edge is None:
