@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from mergelight.llm.common import held_out, logistic, text_slices
+from mergelight.llm.common import held_out, logistic, only_with_ids, text_slices
 from mergelight.llm.words import word_hashes, words_of
+from mergelight.session import cut_lineage
 
 BITS = 20
 STEMS = (5, 6, 7, 8)
@@ -92,8 +93,8 @@ def labelled(docs: DataFrame, labels: DataFrame, chain: dict[str, str]) -> DataF
     """(doc_id, text, a column 0/1/null for each category) of what may be learnt from."""
     known = labels.select("doc_id", *[F.expr(rule).cast("int").alias(name) for name, rule in chain.items()])
     known = known.groupBy("doc_id").agg(*[F.max(name).alias(name) for name in chain])
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~held_out(F.col("doc_id")))
-    return rows.join(known, "doc_id")
+    known = cut_lineage(known.where(~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("long")))
+    return only_with_ids(docs, known).join(known, "doc_id")
 
 
 def label_counts(rows: DataFrame, names: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def telling(counts: np.ndarray, docs: np.ndarray, least_z: float) -> np.ndarray:
 
 def sample(rows: DataFrame, names: list[str], keep: np.ndarray, max_rows: int, bits: int):
     """Kept features and labels (-1 for null) of at most ``max_rows`` rows, those of least hash."""
-    order = F.xxhash64("doc_id", "text")
+    order = F.xxhash64("doc_id")
     edge = rows.select(order.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
     if edge is None:
         return [], np.zeros((0, len(names)))
