@@ -40,6 +40,8 @@ MAX_ROWS = 12_000
 FOLDS = 3
 LEAST_Z = 5.0
 THRESHOLD = 0.5
+#: Counts in a block that tasks send on their way to a sum.
+BLOCK_CELLS = 1 << 12
 #: The chain over the given labels: name and what makes it 1, in order.
 CHAIN = {"poor": "quality = 0", "toxic": "toxic = 1"}
 
@@ -94,38 +96,68 @@ def labelled(docs: DataFrame, labels: DataFrame, chain: dict[str, str]) -> DataF
     known = labels.select("doc_id", *[F.expr(rule).cast("int").alias(name) for name, rule in chain.items()])
     known = known.groupBy("doc_id").agg(*[F.max(name).alias(name) for name in chain])
     known = cut_lineage(known.where(~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("long")))
-    return only_with_ids(docs, known).join(known, "doc_id")
+    # labels grow with the corpus, so they are never broadcast: the plan is the same at every size
+    return only_with_ids(docs, known).join(known.hint("merge"), "doc_id")
 
 
 def label_counts(rows: DataFrame, names: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents by category, label and feature, and by category and label, over all rows."""
-    size = 1 << bits
+    """Documents by category, label and feature, and by category and label, over all rows.
+
+    Every task counts into one array of fixed size and sends it in compressed blocks, which are
+    added up by number: 2 x categories x 2**bits numbers reach the driver, whatever the corpus.
+    """
+    size, kinds = 1 << bits, 2 * len(names)
+    cells = -(-(kinds * size + kinds) // BLOCK_CELLS) * BLOCK_CELLS  # features of each kind, then documents of each
+
+    def packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        # the bytes of equal weight lie together, so that small numbers take little room
+        raw = [pa.compress(b.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+               for b in blocks.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(blocks), pa.int32()), pa.array(raw, pa.binary())], names=["block", "counts"]
+        )
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        planes = np.frombuffer(pa.decompress(raw, 8 * BLOCK_CELLS, "zstd", asbytes=True), np.uint8)
+        return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
     def count(batches):
-        total = np.zeros((2 * len(names), size + 1), dtype=np.int64)  # the last feature counts documents
+        total = np.zeros(cells, dtype=np.int64)
+        found, known = total[: kinds * size].reshape(kinds, size), total[kinds * size :]
         for batch in batches:
             for part in text_slices(batch, "text"):
                 of, keys = features(part["text"], bits)
                 for c, name in enumerate(names):
                     y = part[name].fill_null(-1).to_numpy(zero_copy_only=False)
                     for kind in (0, 1):
-                        total[2 * c + kind, :size] += np.bincount(keys[y[of] == kind], minlength=size)
-                        total[2 * c + kind, size] += (y == kind).sum()
-        kind, key = np.nonzero(total)
-        for low in range(0, len(kind), 1 << 16):
-            k, f = kind[low : low + (1 << 16)], key[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(total[k, f])],
-                names=["kind", "feature", "docs"],
-            )
-
-    parts = rows.select("text", *names).mapInArrow(count, "kind int, feature int, docs long")
-    # hashed features: 2 x categories x 2**bits sums at most, whatever the corpus; rare ones can't pass LEAST_Z
-    sums = parts.groupBy("kind", "feature").agg(F.sum("docs").alias("docs")).where("docs > 2").toArrow()
-    total = np.zeros((2 * len(names), size + 1))
-    total[sums["kind"].to_numpy(), sums["feature"].to_numpy()] = sums["docs"].to_numpy()
-    total = total.reshape(len(names), 2, size + 1)
-    return total[:, :, :size], total[:, :, size]
+                        np.add.at(found[2 * c + kind], keys[y[of] == kind], 1)
+                        known[2 * c + kind] += (y == kind).sum()
+        blocks = total.reshape(-1, BLOCK_CELLS)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for low in range(0, len(used), 256):
+            yield packed({int(i): blocks[i] for i in used[low : low + 256]})
+
+    def add(batches):
+        """Blocks come sorted by number: the sum of each run."""
+        now, held = None, None
+        for batch in batches:
+            for number, raw in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                if number != now:
+                    if now is not None:
+                        yield packed({now: held})
+                    now, held = number, np.zeros(BLOCK_CELLS, dtype=np.int64)
+                held += unpacked(raw)
+        if now is not None:
+            yield packed({now: held})
+
+    schema = "block int, counts binary"
+    parts = rows.select("text", *names).mapInArrow(count, schema)
+    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, schema)
+    total = np.zeros(cells)
+    for row in sums.collect():  # an array of fixed size
+        total[row.block * BLOCK_CELLS : (row.block + 1) * BLOCK_CELLS] = unpacked(row.counts)
+    counts = total[: kinds * size].reshape(len(names), 2, size)
+    return counts, total[kinds * size : kinds * size + kinds].reshape(len(names), 2)
 
 
 def telling(counts: np.ndarray, docs: np.ndarray, least_z: float) -> np.ndarray:
