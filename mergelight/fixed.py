@@ -156,7 +156,7 @@ SECURITY_RULES = [
     (15, r"dangerouslySetInnerHTML",
      "React dangerouslySetInnerHTML usage", "MEDIUM", "xss"),
 ]
-# Rule 5 is written upstream with a pattern its regex engine rejects, so it never
+# Rule 5 has a pattern that its usual regex engine rejects, so it never
 # fires there; it takes part only when parity with that behaviour is switched off.
 RULES_THAT_NEVER_FIRE = [5]
 RULE_SUGGESTION = (

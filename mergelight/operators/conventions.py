@@ -184,9 +184,12 @@ def convention_prompt(samples: DataFrame) -> DataFrame:
 
 
 def fresh_conventions(stored: DataFrame, now: Column) -> DataFrame:
-    """Stored profiles younger than a day."""
+    """The newest stored profile of each repo, where it is younger than a day."""
     oldest = now - F.expr(f"INTERVAL {fixed.CACHE_SECONDS} SECONDS")
-    return stored.filter(F.col("learned_at") > oldest)
+    values = [c for c in stored.columns if c != "repo"]
+    newest = F.max_by(F.struct(*values), F.struct("learned_at", F.xxhash64(*values)))
+    kept = stored.filter(F.col("learned_at") > oldest).groupBy("repo").agg(newest.alias("_newest"))
+    return kept.select(*["repo" if c == "repo" else f"_newest.{c}" for c in stored.columns])
 
 
 def repos_to_refresh(repos: DataFrame, stored: DataFrame, now: Column) -> DataFrame:

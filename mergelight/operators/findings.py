@@ -72,7 +72,10 @@ def resequence(findings: DataFrame, order: DataFrame) -> DataFrame:
     file_bits = POSITION_BITS + 32
     agent = F.shiftright("seq", file_bits)
     position = F.col("seq").bitwiseAND((1 << POSITION_BITS) - 1)
-    placed = order.select("job_id", F.col("filename").alias("file_path"), "review_ord")
+    # a name that a job lists twice has the place of its first entry
+    placed = order.groupBy("job_id", F.col("filename").alias("file_path")).agg(
+        F.min("review_ord").alias("review_ord")
+    )
     return (
         findings.join(placed, ["job_id", "file_path"])
         .withColumn("seq", finding_seq(agent, F.col("review_ord"), position))
@@ -135,11 +138,12 @@ def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataF
     Findings with equal place, category and title words always share a seed, so they are
     collapsed first (map-side).  The rest splits exactly at gaps of more than three lines.
     Islands of up to ``fold_limit`` distinct entries are folded in one pass; larger ones go
-    through bounded rounds (``crowded_seeds``) with the same result.
+    through bounded rounds (``crowded_seeds``) with the same result.  A finding without a
+    job, file or line is near no other and stays alone.
     """
     rows = _with_signature(findings)
     distinct = cut_lineage(
-        rows.groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
+        rows.dropna(subset=SIGNATURE[:3]).groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
             "job_id", "file_path", "line_number", "category", "title_words", "seq"
         )
     )
@@ -154,7 +158,9 @@ def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataF
         large = islands.join(crowded, island, "left_semi")
         seeds = _folded(small).unionByName(crowded_seeds(large.drop("island")))
     chosen = seeds.select(*SEED_COLUMNS).toDF(*SIGNATURE, "cluster_seq")
-    return rows.join(chosen, SIGNATURE).select(*findings.columns, "cluster_seq")
+    return rows.join(chosen, SIGNATURE, "left").select(
+        *findings.columns, F.coalesce("cluster_seq", "seq").alias("cluster_seq")
+    )
 
 
 def seed_member_pairs(clustered: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def merge_findings(clustered: DataFrame) -> DataFrame:
     order = F.struct(severity_rank(F.col("severity")).alias("rank"), F.col("seq"))
     best = F.struct(
         "id", "file_path", "line_number", "end_line", "severity", "category", "title", "agent",
-        "description", "suggestion",
+        "description", "suggestion", "fix_example", "code_snippet",
     )
     said = F.struct(
         F.col("seq"),
@@ -241,7 +247,9 @@ def merge_findings(clustered: DataFrame) -> DataFrame:
         F.when(many, texts).otherwise(F.col("best.description")).alias("description"),
         F.when(many, F.array_join(advice, " | ")).otherwise(F.col("best.suggestion"))
         .alias("suggestion"),
-        "code_snippet", "fix_example", "confidence", "contributing_agents", "members",
+        *[F.when(many, F.col(n)).otherwise(F.col(f"best.{n}")).alias(n)
+          for n in ("code_snippet", "fix_example")],
+        "confidence", "contributing_agents", "members",
     )
 
 

@@ -76,10 +76,16 @@ def latest_job_status(updates: DataFrame) -> DataFrame:
 
 
 def jobs_with_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """Job records with their latest status and result; unknown where there is none."""
-    known = results.select(
-        "job_id", F.col("status").alias("known_status"),
-        *[c for c in results.columns if c not in ("job_id", "status")],
+    """Job records with their latest status and result; unknown where there is none.
+
+    Of several results of a job, the one completed last counts.
+    """
+    values = [c for c in results.columns if c != "job_id"]
+    order = [c for c in ("completed_at",) if c in values]
+    newest = F.max_by(F.struct(*values), F.struct(*order, F.xxhash64(*values)))
+    known = results.groupBy("job_id").agg(newest.alias("_newest")).select(
+        "job_id", F.col("_newest.status").alias("known_status"),
+        *[f"_newest.{c}" for c in values if c != "status"],
     )
     return (
         jobs.drop("status").join(known, "job_id", "left")
@@ -113,6 +119,7 @@ def call_rate_check(
 
     Calls are counted per key and microsecond first.  Counts are then cut in minutes, each
     minute also seeing the one before, so a busy key is spread over many small windows.
+    Calls without a key are those of one more key; a call without a time has none before it.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     counted = calls.groupBy(key, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
@@ -128,8 +135,11 @@ def call_rate_check(
         .filter(F.col("minute") == own)
         .select(key, "at", "calls_before")
     )
+    known = rated.select(F.col(key).alias("_key"), F.col("at").alias("_at"), "calls_before")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("at") == F.col("_at"))
     return (
-        calls.withColumn("at", at).join(rated, [key, "at"]).drop("at")
+        calls.withColumn("at", at).join(known, same, "left").drop("at", "_key", "_at")
+        .withColumn("calls_before", F.coalesce("calls_before", F.lit(0)))
         .withColumn("limited", F.col("calls_before") >= limit)
     )
 

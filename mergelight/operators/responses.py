@@ -126,22 +126,35 @@ def coverage_prompts(files: DataFrame, functions: DataFrame, tests: DataFrame) -
 
 def score_with_model(
     prompts: DataFrame, model: Callable[[list[str]], list[str]], text: str = "prompt",
-    output: str = "response",
+    output: str = "response", batch_rows: int = 64,
 ) -> DataFrame:
-    """Send prompts to a caller-supplied function, batch by batch, near the data.
+    """Send prompts to a caller-supplied function, at most ``batch_rows`` at a time, near the data.
 
-    A batch that fails gives a null response and the problem in ``error``; other batches
-    go on.
+    The prompts of a batch that fails, or that gets another number of answers, are sent once
+    more, one by one.  A prompt that fails alone gives a null response and the problem in
+    ``error``; all others go on.
     """
     schema = f"{prompts.drop(text)._jdf.schema().toDDL()}, {output} STRING, error STRING"
 
+    def answers(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            found = list(model(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} answers to {len(texts)} prompts")
+            return [(answer, None) for answer in found]
+        except Exception as problem:  # any failure of the caller's function is a record
+            if len(texts) == 1:
+                return [(None, f"{type(problem).__name__}: {problem}")]
+        return [answer for one in texts for answer in answers([one])]
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = batch.drop(columns=[text])
-            try:
-                yield kept.assign(**{output: model(batch[text].tolist()), "error": None})
-            except Exception as problem:  # any failure of the caller's function is a record
-                yield kept.assign(**{output: None, "error": f"{type(problem).__name__}: {problem}"})
+            for low in range(0, len(batch), batch_rows):
+                part = batch.iloc[low : low + batch_rows]
+                found = answers(part[text].tolist())
+                yield part.drop(columns=[text]).assign(
+                    **{output: [a for a, _ in found], "error": [e for _, e in found]}
+                )
 
     return prompts.mapInPandas(ask, schema)
 

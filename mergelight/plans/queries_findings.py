@@ -42,7 +42,8 @@ agents AS (SELECT job_id, cluster_seq, count(*) AS members, max(confidence) AS c
     arg_min(file_path, {RANK} * 1e12 + seq) AS file_path,
     string_agg('**' || agent || '**: ' || description, chr(10) || chr(10) ORDER BY seq) AS descriptions,
     list_sort(list(DISTINCT agent)) AS agent_list,
-    arg_min(fix_example, seq) FILTER (WHERE fix_example <> '') AS fix_example,
+    CASE WHEN count(*) > 1 THEN arg_min(fix_example, seq) FILTER (WHERE fix_example <> '')
+         ELSE min(fix_example) END AS fix_example,
     arg_min(description, seq) AS first_description
   FROM clusters GROUP BY 1, 2),
 advice AS (SELECT job_id, cluster_seq, string_agg(suggestion, ' | ' ORDER BY first_seq) AS suggestion

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,8 +65,16 @@ class ReviewInput:
     conventions: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Found:
+    """Findings of a detector and what failed on the way: (job_id, error), one row each."""
+
+    findings: DataFrame
+    failed: DataFrame
+
+
 # A detector turns the input into findings.
-Detector = Callable[[ReviewInput], DataFrame]
+Detector = Callable[[ReviewInput], DataFrame | Found]
 
 
 @dataclass(frozen=True)
@@ -97,15 +106,15 @@ def coverage_detector(seen: ReviewInput) -> DataFrame:
     return basic_coverage_findings(gaps)
 
 
-def _answers(prompts: DataFrame, model: Model, agent: str) -> DataFrame:
-    """Ask the model and shape its answers as the responses table."""
-    good, _ = split_errors(score_with_model(prompts, model))
+def _answers(prompts: DataFrame, model: Model, agent: str) -> tuple[DataFrame, DataFrame]:
+    """Ask the model once: its answers as the responses table, and failed prompts."""
+    good, bad = split_errors(cut_lineage(score_with_model(prompts, model)))
     columns = {
         "agent": F.lit(agent), "file_path": F.col("filename"), "file_ord": F.col("ord"),
         "chunk_index": F.lit(0), "chunk_start": F.lit(1), "has_test_file": F.lit(True),
     }
     present = {n: F.col(n) for n in columns if n in good.columns}
-    return good.withColumns({**columns, **present})
+    return good.withColumns({**columns, **present}), bad
 
 
 def _flat_functions(facts: DataFrame) -> DataFrame:
@@ -119,7 +128,8 @@ def bug_detector(model: Model) -> Detector:
 
     def detect(seen: ReviewInput) -> DataFrame:
         prompts = bug_prompts(analyzable_files(seen.files))
-        return response_findings(_answers(prompts, model, "BugDetector"))
+        answers, failed = _answers(prompts, model, "BugDetector")
+        return Found(response_findings(answers), failed)
 
     return detect
 
@@ -130,8 +140,8 @@ def security_detector(model: Model) -> Detector:
     def detect(seen: ReviewInput) -> DataFrame:
         sources = analyzable_files(seen.files)
         sensitive = sources.filter(is_security_sensitive(F.col("filename"), F.col("content")))
-        answers = _answers(security_prompts(sensitive), model, "SecurityScanner")
-        return scan_security_rules(sources).unionByName(response_findings(answers))
+        answers, failed = _answers(security_prompts(sensitive), model, "SecurityScanner")
+        return Found(scan_security_rules(sources).unionByName(response_findings(answers)), failed)
 
     return detect
 
@@ -149,7 +159,8 @@ def style_detector(model: Model) -> Detector:
             })
         sources = analyzable_files(seen.files).join(seen.jobs.select("job_id", "repo"), "job_id")
         prompts = style_prompts(files_with_conventions(sources, conventions))
-        return response_findings(_answers(prompts, model, "StyleAdvisor"))
+        answers, failed = _answers(prompts, model, "StyleAdvisor")
+        return Found(response_findings(answers), failed)
 
     return detect
 
@@ -172,7 +183,7 @@ def model_coverage_detector(model: Model) -> Detector:
             "file_ord": F.col("ord"), "chunk_index": F.lit(0), "chunk_start": F.lit(1),
         })
         plain = gaps.join(bad.select("job_id", "ord"), ["job_id", "ord"], "left_semi")
-        return response_findings(answers).unionByName(basic_coverage_findings(plain))
+        return Found(response_findings(answers).unionByName(basic_coverage_findings(plain)), bad)
 
     return detect
 
@@ -189,10 +200,14 @@ def default_detectors(model: Model | None = None) -> dict[str, Detector]:
     }
 
 
-def agent_runs(facts: DataFrame, agents: list[str] | None = None) -> DataFrame:
+def agent_runs(
+    facts: DataFrame, agents: list[str] | None = None, failed: DataFrame | None = None
+) -> DataFrame:
     """One run per job and agent with the number of files it looks at.
 
-    Spark runs agents as branches of one job, so there is no time per agent: it is 0.
+    ``failed`` (job_id, agent, error) has what failed; a run's ``error`` gives the number of
+    failures and the least of their texts.  Spark runs agents as branches of one job, so
+    there is no time per agent: it is 0.
     """
     counted = facts.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("all_files"),
@@ -206,9 +221,15 @@ def agent_runs(facts: DataFrame, agents: list[str] | None = None) -> DataFrame:
         )
         for n, name in enumerate(agents or fixed.AGENTS)
     ]
-    return counted.select("job_id", F.inline(F.array(*rows))).withColumns({
-        "processing_time_seconds": F.lit(0.0), "error": F.lit(None).cast("string"),
-    })
+    runs = counted.select("job_id", F.inline(F.array(*rows))).withColumn(
+        "processing_time_seconds", F.lit(0.0)
+    )
+    if failed is None:
+        return runs.withColumn("error", F.lit(None).cast("string"))
+    errors = failed.groupBy("job_id", "agent").agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" failed: "), F.min("error")).alias("error")
+    )
+    return runs.join(errors, ["job_id", "agent"], "left").select(*runs.columns, "error")
 
 
 def merged_review_findings(raw_findings: DataFrame) -> DataFrame:
@@ -228,10 +249,15 @@ def review(
     names = facts.select("job_id", "ord", "filename")
     order = cut_lineage(review_priority(names, impact_scores(names, edges)))
     seen = ReviewInput(kept, facts, order, edges, jobs, conventions)
-    found = union_findings([detect(seen) for detect in detectors.values()])
-    raw = cut_lineage(resequence(found, order))
+    made = {name: detect(seen) for name, detect in detectors.items()}
+    found = [f.findings if isinstance(f, Found) else f for f in made.values()]
+    raw = cut_lineage(resequence(union_findings(found), order))
     merged = cut_lineage(merged_review_findings(raw))
-    runs = agent_runs(facts)
+    failed = [
+        f.failed.select("job_id", F.lit(name).alias("agent"), "error")
+        for name, f in made.items() if isinstance(f, Found)
+    ]
+    runs = agent_runs(facts, list(detectors), reduce(DataFrame.unionByName, failed) if failed else None)
     return Review(
         order=order, raw_findings=raw, findings=merged, comments=review_comments(merged),
         agent_runs=runs, summary=review_summary(jobs, names, raw, merged, runs),

@@ -97,3 +97,12 @@ def test_cache_age(spark):
     repos = spark.createDataFrame([(r,) for r in ("new", "edge", "old", "never")], "repo string")
     assert [r.repo for r in oc.fresh_conventions(stored, now).collect()] == ["new"]
     assert sorted(r.repo for r in oc.repos_to_refresh(repos, stored, now).collect()) == ["edge", "never", "old"]
+
+
+def test_one_profile_a_repo_is_fresh(spark):
+    stored = spark.sql(
+        "SELECT * FROM VALUES ('r', 1, timestamp'2024-01-01 10:00:00'), ('r', 2, timestamp'2024-01-01 11:00:00') "
+        "AS t(repo, max_function_length, learned_at)")
+    got = oc.fresh_conventions(stored, F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    assert got.columns == stored.columns
+    assert [(r.repo, r.max_function_length) for r in got.collect()] == [("r", 2)]

@@ -176,3 +176,37 @@ def test_payload_parts_hold_every_comment(spark):
     assert parts["j", 0]["body"].startswith("SUM\n\n---\n\n**Additional findings:**\n\n- **p3:3** — b3\n\n- **p6:6**")
     listed = "".join(parts["j", n]["body"] for n in range(3))
     assert all(f"**p{n}:{n}**" in listed for n in range(3, 26, 3))
+
+
+def test_a_review_is_one_body_and_decides_once(spark):
+    mapped = spark.createDataFrame(
+        [("j", n, "p", n, "b", n) for n in range(1, 6)],
+        "job_id string, rank bigint, path string, line bigint, body string, position int")
+    jobs = spark.createDataFrame([("j", "sha")], "job_id string, head_sha string")
+    summary = spark.createDataFrame([("j", "S", "REQUEST_CHANGES")],
+                                    "job_id string, executive_summary string, review_decision string")
+    import json
+
+    whole = [json.loads(r.payload) for r in rp.review_payload(jobs, mapped, summary).collect()]
+    assert [(p["event"], len(p["comments"])) for p in whole] == [("REQUEST_CHANGES", 5)]
+    parts = rp.review_payload(jobs, mapped, summary, comments_per_part=2).orderBy("part").collect()
+    assert [json.loads(r.payload)["event"] for r in parts] == ["REQUEST_CHANGES", "COMMENT", "COMMENT"]
+
+
+def test_findings_without_a_place_stay_alone(spark):
+    rows = [finding(1, 10), finding(2, None), finding(3, None), finding(4, 11)]
+    assert clusters(spark, rows) == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_a_single_finding_keeps_its_empty_texts(spark):
+    rows = [finding(1, 10, fix_example="", code_snippet="")]
+    one = of.merge_findings(of.cluster_findings(table(spark, rows))).first()
+    assert (one.fix_example, one.code_snippet) == ("", "")
+
+
+def test_a_name_listed_twice_gives_its_findings_once(spark):
+    found = table(spark, [finding(1, 10)])
+    name = found.first().file_path
+    order = spark.createDataFrame([("j", name, 4), ("j", name, 2)], "job_id string, filename string, review_ord bigint")
+    order = order.withColumn("job_id", F.lit(found.first().job_id))
+    assert of.resequence(found, order).count() == 1

@@ -128,3 +128,20 @@ def test_profile_stream_keeps_the_newest(spark, tmp_path):
     stream = spark.readStream.schema(kind).parquet(source)
     st.stream_fresh_conventions(stream, "profiles", str(tmp_path / "c")).awaitTermination()
     assert {r.repo: r.naming_style for r in spark.table("profiles").collect()} == {"r": "new", "q": "only"}
+
+
+def test_calls_without_key_or_time_stay(spark):
+    calls = spark.createDataFrame(
+        [(None, "2024-01-01 00:00:00"), (None, "2024-01-01 00:00:10"), ("a", None), ("a", "2024-01-01 00:00:20")],
+        "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    got = [(r.k, r.calls_before) for r in oj.call_rate_check(calls, "k", "t").orderBy("t").collect()]
+    assert sorted(got, key=str) == sorted([("a", 0), (None, 0), (None, 1), ("a", 0)], key=str)
+
+
+def test_the_result_completed_last_counts(spark):
+    jobs = spark.createDataFrame([("j",), ("k",)], "job_id string")
+    jobs = jobs.withColumn("status", F.lit("queued"))
+    results = spark.createDataFrame(
+        [("j", "failed", 1), ("j", "finished", 2)], "job_id string, status string, completed_at int")
+    got = {(r.job_id, r.status) for r in oj.jobs_with_results(jobs, results).collect()}
+    assert got == {("j", "finished"), ("k", "unknown")}

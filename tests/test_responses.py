@@ -64,7 +64,8 @@ def test_chunk_lines_shift_only_outside_parity(spark):
     assert rs.response_findings(df, parity=False).first().line_number == 467
 
 
-def test_model_failures_stay_in_their_batch(spark):
+@pytest.mark.parametrize("batch_rows", [1, 7, 64])
+def test_a_failing_prompt_costs_no_other_its_answer(spark, batch_rows):
     prompts = spark.createDataFrame([(n, f"p{n}") for n in range(20)], "n int, prompt string").repartition(4, "n")
 
     def model(texts):
@@ -72,11 +73,16 @@ def test_model_failures_stay_in_their_batch(spark):
             raise RuntimeError("busy")
         return [t.upper() for t in texts]
 
-    good, bad = rs.split_errors(rs.score_with_model(prompts, model))
-    good, bad = good.collect(), bad.collect()
-    assert len(good) + len(bad) == 20 and 3 in {r.n for r in bad}
-    assert all(r.response == f"P{r.n}" for r in good)
-    assert {r.error for r in bad} == {"RuntimeError: busy"}
+    good, bad = rs.split_errors(rs.score_with_model(prompts, model, batch_rows=batch_rows))
+    assert {r.n: r.response for r in good.collect()} == {n: f"P{n}" for n in range(20) if n != 3}
+    assert [(r.n, r.error) for r in bad.collect()] == [(3, "RuntimeError: busy")]
+
+
+def test_a_wrong_number_of_answers_is_an_error(spark):
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "n int, prompt string").coalesce(1)
+    good, bad = rs.split_errors(rs.score_with_model(prompts, lambda texts: ["x"] if texts != ["b"] else []))
+    assert [(r.n, r.response) for r in good.collect()] == [(1, "x")]
+    assert [(r.n, r.error) for r in bad.collect()] == [(2, "ValueError: 0 answers to 1 prompts")]
 
 
 def test_validation(spark):

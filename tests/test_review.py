@@ -115,12 +115,12 @@ def test_review_with_a_model(spark):
         return [json.dumps({"findings": [line] if "auth.py\n" in p and "tests/" not in p.split("\n")[1] else []})
                 for p in prompts]
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     done = pl.review(jobs(spark, "a", "b"), files, detectors=pl.default_detectors(model))
     raw = {(r.agent, r.file_path) for r in done.raw_findings.collect()}
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {("BugDetector", "auth.py"), ("SecurityScanner", "auth.py"), ("StyleAdvisor", "auth.py"),
             ("TestCoverage", "fail.py")} <= raw
+    errors = {r.agent: r.error for r in done.agent_runs.collect() if r.error}
+    assert errors == {"TestCoverage": "1 failed: RuntimeError: model down"}
     top = done.findings.orderBy("rank").filter("job_id = 'a'").first()
     assert top.severity == "CRITICAL" and "Detected" not in top.description
     summary = {r.job_id: r for r in done.summary.collect()}
@@ -142,3 +142,10 @@ def test_content_is_not_shuffled(spark):
     for step in (scan_security_rules, extract_functions_lines, file_facts, chunk_files):
         plan = step(files)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, step.__name__
+
+
+def test_runs_are_those_of_the_given_detectors(spark):
+    files = changed(spark, [("a", 0, "x.py", "modified", "token = 'abcdefgh1'")])
+    done = pl.review(jobs(spark, "a"), files, detectors={"SecurityScanner": pl.rule_detector})
+    assert [(r.agent, r.files_analyzed, r.error) for r in done.agent_runs.collect()] == [("SecurityScanner", 1, None)]
+    assert [r.agent for r in done.summary.first().agent_results] == ["SecurityScanner"]
