@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from mergelight.llm.common import fresh_name, hex_sha256
+from mergelight.llm.common import IdleTables, fresh_name, hex_sha256
 
 #: Sizes of a worker's tables; they bound its memory and change no result.
 MOST_STATES = 60_000
@@ -256,10 +256,12 @@ class Encoder:
         return np.frombuffer(raw, dtype="<i4")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker and vocabulary; its tables last as long as the worker."""
-    return Encoder(read_ranks(path), pattern)
+_ENCODERS = IdleTables(lambda path, pattern: Encoder(read_ranks(path), pattern))
+
+
+def encoder(path: str, pattern: str):
+    """Context of an encoder, one for each worker and vocabulary."""
+    return _ENCODERS.use(path, pattern)
 
 
 class Utf8Stream:
@@ -323,8 +325,8 @@ def with_ids(docs: DataFrame, path: str, pattern: str, column: str = "ids", text
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(raw):
-        tool = encoder(path, pattern)
-        return pd.Series([tool.encode(r.decode("utf-8", "replace") if r else "") for r in raw], index=raw.index)
+        with encoder(path, pattern) as tool:
+            return pd.Series([tool.encode(r.decode("utf-8", "replace") if r else "") for r in raw], index=raw.index)
 
     return docs.withColumn(column, encode(F.col(text).cast("string").cast("binary")))
 
@@ -349,19 +351,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, step: int = 128) -> Dat
     raw, names = fresh_name(docs, "_raw"), [*docs.columns, "ids", "decoded"]
 
     def both(batches):
-        there, back = encoder(path, pattern), decoder(path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                texts = part[raw].to_pylist()
-                ids = [there.encode(t.decode("utf-8", "replace") if t else "") for t in texts]
-                text = pa.array([back.decode(i) for i in ids], pa.string())
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.drop_columns([raw]).columns, pa.ListArray.from_arrays(ends, flat), text],
-                    names=names,
-                )
+        back = decoder(path)
+        with encoder(path, pattern) as there:
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    texts = part[raw].to_pylist()
+                    ids = [there.encode(t.decode("utf-8", "replace") if t else "") for t in texts]
+                    text = pa.array([back.decode(i) for i in ids], pa.string())
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.drop_columns([raw]).columns, pa.ListArray.from_arrays(ends, flat), text],
+                        names=names,
+                    )
 
     more = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
     kind = StructType([*docs.schema.fields, *more])

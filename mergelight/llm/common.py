@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Lock, Timer
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,44 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+class IdleTables:
+    """Tables of a worker, made on first use and kept from task to task.
+
+    Spark reuses workers for other operators; tables that no task has used for ``seconds`` are
+    dropped, so that a later stage has their memory.  Dropping changes no result.
+    """
+
+    def __init__(self, make: Callable, seconds: float = 5.0):
+        self.make, self.seconds = make, seconds
+        self.held: dict[tuple, object] = {}
+        self.users, self.lock = 0, Lock()
+        self.timer: Timer | None = None
+
+    @contextmanager
+    def use(self, *key):
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            if key not in self.held:
+                self.held[key] = self.make(*key)
+            found = self.held[key]
+            self.users += 1
+        try:
+            yield found
+        finally:
+            with self.lock:
+                self.users -= 1
+                if not self.users:
+                    self.timer = Timer(self.seconds, self._drop)
+                    self.timer.daemon = True
+                    self.timer.start()
+
+    def _drop(self) -> None:
+        with self.lock:
+            if not self.users:
+                self.held.clear()
+
+
 def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

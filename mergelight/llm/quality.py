@@ -20,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,13 +218,12 @@ def with_scores(docs: DataFrame, model: LinearModel, column: str = "_score", bit
     """``docs`` with a score from 0 to 1 for each row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(DoubleType())
-    def score(text):
-        array = pa.array(text, pa.string())
-        out, batch = [], pa.RecordBatch.from_arrays([array], names=["text"])
+    @F.arrow_udf(DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        out, batch = [np.zeros(0)], pa.RecordBatch.from_arrays([text], names=["text"])
         for part in text_slices(batch, "text"):
             out.append(held.value.scores(part["text"], bits))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0), index=text.index)
+        return pa.array(np.concatenate(out))
 
     return docs.withColumn(column, score(F.col("text").cast("string")))
 

@@ -22,13 +22,14 @@ no rows write no blocks; other columns are ignored.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelight.llm.common import IdleTables
+
 BLOCK_IDS = 1 << 16
 MOST_STRETCHES = 900_000
 SAMPLE = 64
@@ -135,28 +136,31 @@ def base_of(stretch: str) -> tuple[str, str]:
     return (stretch.lower() if stretch.isascii() else stretch), sign
 
 
-@lru_cache(maxsize=2)
-def stretch_encoder(path: str) -> StretchEncoder:
+_ENCODERS = IdleTables(StretchEncoder)
+
+
+def stretch_encoder(path: str):
+    """Context of an encoder, one for each worker and vocabulary."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
-    return StretchEncoder(path)
+    return _ENCODERS.use(path)
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID, step: int = 128) -> DataFrame:
     """(doc_id, text_hash, ids): ids of each text and the end id, as packed little-endian numbers."""
 
     def run(batches):
-        tool = stretch_encoder(path)
-        end = np.array([end_id], dtype=tool.kind).tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                ids = [x + end for x in tool.encode(part["text"].to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text_hash"], pa.array(ids, pa.binary())],
-                    names=["doc_id", "text_hash", "ids"],
-                )
+        with stretch_encoder(path) as tool:
+            end = np.array([end_id], dtype=tool.kind).tobytes()
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    ids = [x + end for x in tool.encode(part["text"].to_pylist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [part["doc_id"], part["text_hash"], pa.array(ids, pa.binary())],
+                        names=["doc_id", "text_hash", "ids"],
+                    )
 
     rows = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")
@@ -215,7 +219,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode ``docs`` and write blocks in ascending document id to a new Parquet table at ``path``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = shards or 4 * parts
-    width = 4 if stretch_encoder(tokenizer).wide else 2
+    with stretch_encoder(tokenizer) as tool:
+        width = 4 if tool.wide else 2
     shares = [i / shards for i in range(1, shards)]
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * shards)).first()[0] or []
     cut_list = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")  # an id for each shard

@@ -272,3 +272,20 @@ def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_idle_tables_are_dropped_and_made_anew():
+    import time
+
+    from mergelight.llm.common import IdleTables
+
+    made = []
+    tables = IdleTables(lambda key: made.append(key) or [key], seconds=0.05)
+    with tables.use("a"):
+        time.sleep(0.2)
+        with tables.use("a") as again:
+            assert again == ["a"] and made == ["a"]
+    time.sleep(0.5)
+    assert not tables.held
+    with tables.use("a") as found:
+        assert found == ["a"] and made == ["a", "a"]
