@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from mergelight.llm.byte_bpe import bpe_digest
 from mergelight.llm.common import table
 from mergelight.llm.decontaminate import contamination_digest
+from mergelight.llm.fill_in_middle import fim_digest
+from mergelight.llm.filter_audit import filter_audit
 from mergelight.llm.jaccard_join import jaccard_components
 from mergelight.llm.line_dedup import line_digest
+from mergelight.llm.personal_data import span_digest
 from mergelight.llm.quality import quality_scores
 from mergelight.llm.sharding import shard_table
 from mergelight.llm.spot_signatures import fingerprint_table
@@ -69,11 +72,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_url_filter, op3_byte_bpe, op4_toxicity, op5_sharding, op6_jaccard_join,
-        op7_token_files, op8_fingerprints, op9_line_dedup, op10_quality,
+        op7_token_files, op8_fingerprints, op9_line_dedup, op10_quality, op11_filter_audit,
+        op12_fill_in_middle, op13_personal_data,
     )
 }
 
@@ -159,7 +175,68 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM judged GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+fail AS (
+    SELECT part, CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails,
+        coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+    FROM doc LEFT JOIN labels USING (doc_id)),
+cell AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad
+    FROM fail GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+perm AS (
+    SELECT '' AS o UNION ALL
+    SELECT o || f FROM perm, letter WHERE strpos(o, f) = 0),
+step AS (SELECT o, s, substr(o, s, 1) AS f FROM perm, range(1, 6) r(s) WHERE length(o) = 5),
+gone AS (
+    SELECT part, fails, n, n_good, n_bad, o, coalesce(min(strpos(o, f)), 6) AS went
+    FROM cell CROSS JOIN perm LEFT JOIN letter ON strpos(fails, f) > 0 WHERE length(o) = 5
+    GROUP BY part, fails, n, n_good, n_bad, o),
+counted AS (
+    SELECT part, o, s, f, sum(CASE WHEN went > s THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN went = s THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN went < s AND strpos(fails, f) > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN went = s THEN n_good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN went = s THEN n_bad ELSE 0 END) AS toxic_lost
+    FROM gone JOIN step USING (o) GROUP BY part, o, s, f)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+    CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+OP12_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+word AS (
+    SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+        CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+        CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM doc),
+cut AS (
+    SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+            THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM word),
+part AS (
+    SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM part
+"""
+
 ORACLES = {
     "op1_decontamination": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_jaccard_join": OP6_SQL,
-    "op9_line_dedup": OP9_SQL,
+    "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_fill_in_middle": OP12_SQL,
 }
