@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +17,9 @@ from mergelight.functions.findings import (
     severity_rank,
     shared_title_words,
 )
-from mergelight.operators.clustering import crowded_seeds
-from mergelight.operators.ranking import bounded_rank, line_islands
+from mergelight.operators.clustering import NODE, greedy_seeds
+from mergelight.operators.ranking import bounded_rank
 from mergelight.session import cut_lineage
-from mergelight.workers import fold_sorted
-
-# Distinct findings that one pass may fold; larger islands take the round-based way.
-FOLD_LIMIT = 20_000
 
 FINDING_FIELDS = [tuple(field.split(" ", 1)) for field in schemas.FINDINGS.split(", ")]
 
@@ -98,66 +92,21 @@ def _with_signature(findings: DataFrame) -> DataFrame:
     })
 
 
-SEED_COLUMNS = [
-    "job_id", "file_path", "line_number", "category", "title_words", "cluster_seq",
-]
-
-
-def _folded(islands: DataFrame) -> DataFrame:
-    """Seed per distinct finding: a greedy pass in ``seq`` order over each island.
-
-    Whole islands lie sorted in a partition and stream through; the pass depends on the
-    choices made before, and a look-up per similarity key keeps it linear.
-    """
-    reach = fixed.LINE_PROXIMITY
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return fold_sorted(batches, reach)
-
-    placed = islands.select(*SEED_COLUMNS[:-1], "island", "seq").repartition(
-        "job_id", "file_path", "island"
-    )
-    kinds = dict(islands.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in SEED_COLUMNS[:-1]) + ", cluster_seq bigint"
-    return placed.sortWithinPartitions("job_id", "file_path", "island", "seq").mapInPandas(
-        fold, schema
-    )
-
-
-def _larger_than(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).drop("n")
-
-
-def cluster_findings(findings: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def cluster_findings(findings: DataFrame, **layout: int) -> DataFrame:
     """Add ``cluster_seq``: the ``seq`` of the seed that a finding joins.
 
     In ``seq`` order a finding joins the first seed on its file that is at most three
-    lines away and similar to it; otherwise it becomes a seed.
+    lines away and similar to it; otherwise it becomes a seed (see ``clustering``).
 
     Findings with equal place, category and title words always share a seed, so they are
-    collapsed first (map-side).  The rest splits exactly at gaps of more than three lines.
-    Islands of up to ``fold_limit`` distinct entries are folded in one pass; larger ones go
-    through bounded rounds (``crowded_seeds``) with the same result.  A finding without a
-    job, file or line is near no other and stays alone.
+    collapsed first (map-side).  A finding without a job, file or line is near no other and
+    stays alone.
     """
     rows = _with_signature(findings)
     distinct = cut_lineage(
-        rows.dropna(subset=SIGNATURE[:3]).groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(
-            "job_id", "file_path", "line_number", "category", "title_words", "seq"
-        )
+        rows.dropna(subset=SIGNATURE[:3]).groupBy(*SIGNATURE).agg(F.min("seq").alias("seq")).toDF(*NODE)
     )
-    file, island = ["job_id", "file_path"], ["job_id", "file_path", "island"]
-    islands = line_islands(distinct, file, "line_number", fixed.LINE_PROXIMITY)
-    if _larger_than(distinct, file, fold_limit).isEmpty():
-        seeds = _folded(islands)
-    else:
-        islands = cut_lineage(islands)
-        crowded = cut_lineage(_larger_than(islands, island, fold_limit))
-        small = islands.join(crowded, island, "left_anti")
-        large = islands.join(crowded, island, "left_semi")
-        seeds = _folded(small).unionByName(crowded_seeds(large.drop("island")))
-    chosen = seeds.select(*SEED_COLUMNS).toDF(*SIGNATURE, "cluster_seq")
+    chosen = greedy_seeds(distinct, **layout).drop("seq").toDF(*SIGNATURE, "cluster_seq")
     return rows.join(chosen, SIGNATURE, "left").select(
         *findings.columns, F.coalesce("cluster_seq", "seq").alias("cluster_seq")
     )

@@ -8,9 +8,10 @@ from __future__ import annotations
 import ast
 import sys
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
@@ -74,72 +75,103 @@ def sample_functions(sample: str) -> list[tuple]:
     ]
 
 
-class SeenKeys:
-    """Sequence numbers by key and line: two findings are similar when they share a key.
+FINAL, DEAD, OPEN = 0, 1, 2
 
-    Keys are the category and every pair of meaningful title words.
+
+class Seen:
+    """Findings by line, listed by category and by single title words.
+
+    Two findings are similar when they have the same category or share two words.
     """
 
     def __init__(self, reach: int) -> None:
         self.reach = reach
-        self.by_key: dict[object, dict[int, int]] = {}
+        self.categories: dict[int, dict[str, object]] = {}
+        self.words: dict[int, dict[str, list]] = {}
 
-    def earliest(self, line: int, keys: list) -> int | None:
-        """Smallest number added so far under one of the keys on a near line."""
+    def of_category(self, line: int, category: str) -> object | None:
+        """The earliest finding of a category near a line."""
         found = None
-        for key in keys:
-            lines = self.by_key.get(key)
-            if lines:
-                for near in range(line - self.reach, line + self.reach + 1):
-                    seq = lines.get(near)
-                    if seq is not None and (found is None or seq < found):
-                        found = seq
+        for near in range(line - self.reach, line + self.reach + 1):
+            seq = self.categories.get(near, {}).get(category)
+            if seq is not None and (found is None or seq < found):
+                found = seq
         return found
 
-    def add(self, line: int, keys: list, seq: int) -> None:
-        """Numbers come in rising order, so the first one per key and line stays."""
-        for key in keys:
-            self.by_key.setdefault(key, {}).setdefault(line, seq)
-
+    def earliest(self, line: int, category: str, words: list[str]) -> object | None:
+        """The earliest similar finding near a line."""
+        found = self.of_category(line, category)
+        for near in range(line - self.reach, line + self.reach + 1):
+            listed = self.words.get(near)
+            if not listed:
+                continue
+            once = set()
+            for word in words:
+                for seq in listed.get(word, ()):
+                    if found is not None and seq >= found:
+                        break  # lists are in order
+                    if seq in once:
+                        found = seq
+                    else:
+                        once.add(seq)
+        return found
 
-def similarity_keys(category: str, title_words: str) -> list:
-    return [category, *combinations(title_words.split(" "), 2)]
+    def add(self, line: int, category: str, words: list[str], seq) -> None:
+        """Findings come in rising order, so the first one of a category and line stays."""
+        self.categories.setdefault(line, {}).setdefault(category, seq)
+        listed = self.words.setdefault(line, {})
+        for word in words:
+            listed.setdefault(word, []).append(seq)
 
 
-def fold_sorted(batches: Iterator[pd.DataFrame], reach: int) -> Iterator[pd.DataFrame]:
-    """Seed of every finding; rows come sorted by island and ``seq``.
+class BlockFold:
+    """One block: findings in order; seeds, and what later findings may hang on."""
 
-    Only the keys of the current island are held.
-    """
-    current, seeds = None, SeenKeys(reach)
+    def __init__(self, reach: int) -> None:
+        self.reach = reach
+        self.seeds, self.waiting = Seen(reach), Seen(reach)
+        self.uncertain: set[int] = set()  # lines with a cell that has more than this round sees
+
+    def decide(self, line: int, category: str, words: list[str], seq, foreign: bool, more: bool) -> tuple:
+        """(state, seed) of the next finding; foreign ones belong to the next block and only wait."""
+        seed = None if foreign else self.seeds.earliest(line, category, words)
+        unsettled = foreign or self.waiting.earliest(line, category, words) is not None or (
+            bool(self.uncertain) and any(
+                near in self.uncertain for near in range(line - self.reach, line + self.reach + 1)
+            )
+        )
+        if seed is not None:
+            state = DEAD if unsettled else FINAL
+        elif unsettled:
+            state = OPEN
+            self.waiting.add(line, category, words, seq)
+        else:
+            state, seed = FINAL, seq
+            self.seeds.add(line, category, words, seq)
+        if more and (foreign or self.seeds.of_category(line, category) is None):
+            self.uncertain.add(line)
+        return state, seed if state == FINAL else None
+
+
+def fold_blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """State and seed of findings that come sorted by block and ``seq``; seeds of one block are held."""
+    names = ["job_id", "file_path", "block", "line_number", "category", "title_words", "seq", "foreign", "more"]
+    kept = ["job_id", "file_path", "line_number", "category", "title_words", "seq"]
+    current, fold = None, BlockFold(reach)
     for batch in batches:
-        chosen = []
-        columns = ["job_id", "file_path", "island", "line_number", "category", "title_words", "seq"]
-        for job, path, island, line, category, words, seq in zip(*(batch[c] for c in columns)):
-            if current != (job, path, island):
-                current, seeds = (job, path, island), SeenKeys(reach)
-            keys = similarity_keys(category, words)
-            seed = seeds.earliest(line, keys)
-            if seed is None:
-                seed = seq
-                seeds.add(line, keys, seq)
+        states, chosen = [], []
+        rows = zip(*(batch[c].to_pylist() for c in names))
+        for job, path, block, line, category, words, seq, foreign, more in rows:
+            if current != (job, path, block):
+                current, fold = (job, path, block), BlockFold(reach)
+            state, seed = fold.decide(line, category, words.split(" ") if words else [], seq, foreign, more)
+            states.append(state)
             chosen.append(seed)
-        yield batch.drop(columns=["island", "seq"]).assign(cluster_seq=chosen)
-
-
-def fold_block(block: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """Seeds of one block of findings; entries that hang on something open stay open."""
-    seeds, waiting, new_seeds = SeenKeys(reach), SeenKeys(reach), []
-    for row in block.sort_values("seq").itertuples(index=False):
-        keys = similarity_keys(row.category, row.title_words)
-        if seeds.earliest(row.line_number, keys) is not None:
-            continue
-        if row.blocked or waiting.earliest(row.line_number, keys) is not None:
-            waiting.add(row.line_number, keys, row.seq)
-        else:
-            seeds.add(row.line_number, keys, row.seq)
-            new_seeds.append(row.seq)
-    return block[block["seq"].isin(new_seeds)].drop(columns=["block", "blocked"])
+        out = pa.RecordBatch.from_arrays(
+            [*[batch[c] for c in kept], pa.array(chosen, batch["seq"].type), pa.array(states, pa.int32()), batch["more"]],
+            names=[*kept, "cluster_seq", "state", "more"],
+        )
+        yield out.filter(pc.invert(batch["foreign"]))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

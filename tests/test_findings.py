@@ -1,11 +1,11 @@
 """Clustering, merging, ranking and reports."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-import mergelight.operators.clustering as crowd
 from mergelight.fixed import TITLE_STOP_WORDS
 from mergelight.functions.findings import agent_tag, format_finding
 from mergelight.operators import findings as of
@@ -72,12 +72,31 @@ def test_seed_not_chain_decides(spark):
     assert clusters(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
-@pytest.mark.parametrize("seed, block_lines, block_limit", [(1, 8, 5), (2, 16, 1000), (3, 4096, 3)])
-def test_crowded_islands_agree_with_brute_force(spark, monkeypatch, seed, block_lines, block_limit):
-    monkeypatch.setattr(crowd, "BLOCK_LINES", block_lines)
-    monkeypatch.setattr(crowd, "BLOCK_LIMIT", block_limit)
-    rows = random_findings(random.Random(seed), 120, 30, files=1)
-    assert clusters(spark, rows, fold_limit=4) == brute_clusters(rows)
+@pytest.mark.parametrize("seed, block_lines, ahead, lines", [
+    (1, 8, 1, 30), (2, 16, 2, 60), (3, 4096, 1, 30), (4, 4, 16, 200), (5, 7, 1, 3), (6, 2, 1, 40),
+])
+def test_rounds_agree_with_brute_force(spark, seed, block_lines, ahead, lines):
+    """Small blocks and few findings ahead make many rounds of the one way there is."""
+    rows = random_findings(random.Random(seed), 120, lines, files=1)
+    assert clusters(spark, rows, block_lines=block_lines, ahead=ahead) == brute_clusters(rows)
+
+
+def test_long_titles(spark):
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(4000)]
+    rows = [finding(n, n % 9, f"c{n}", " ".join(rng.sample(words, 1500))) for n in range(40)]
+    rows += [finding(50 + n, n % 9, f"d{n}", f"own{n} {rows[n]['title'].split()[0]}") for n in range(10)]
+    small = clusters(spark, rows[:2])  # starts the workers
+    started = time.perf_counter()
+    assert small and clusters(spark, rows) == brute_clusters(rows)
+    assert time.perf_counter() - started < 5
+
+
+def test_one_line_with_very_many_titles(spark):
+    """A cell with thousands of different titles is decided by its first ones."""
+    rows = [finding(n, 5, "c", f"title number {n}") for n in range(1, 3000)]
+    rows += [finding(0, 6, "d", "title number 7"), finding(5000, 5, "e", "title zero"), finding(5001, 9, "c", "apart")]
+    assert clusters(spark, rows) == brute_clusters(rows)
 
 
 def test_islands_cross_bucket_edges(spark):
