@@ -10,9 +10,10 @@ number of bytes.  States and moves are made when they are needed a second time a
 (determinised lazily); a first time, the open positions are followed one by one instead.  A table
 with ``MOST_STATES`` states is begun anew, which changes no result.
 
-Texts are cut by the pattern first and each match is encoded on its own.  Encodings of the
-stretches between single spaces are kept in a table of bounded size, since a match can only begin,
-never go on, at a space between two other signs.
+Texts are cut by the pattern first and each match is encoded on its own.  A match can only begin,
+never go on, at a space between two other signs, and a line feed between two other signs is a match
+of its own.  Encodings of the stretches between such cuts are kept in a table of bounded size; where
+white space comes in other ways, the stretch goes on to the next cut.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; text that isn't
 valid Unicode has U+FFFD for the bad bytes; ids that don't form valid UTF-8 decode to U+FFFD for
@@ -23,6 +24,7 @@ rows stay as they are (repeated rows, any ids) and other columns are kept.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -210,24 +212,36 @@ class Transducer:
 
 
 class _Odd(Exception):
-    """A stretch that touches white space other than single spaces."""
+    """A stretch that touches white space other than single spaces and line feeds."""
 
 
 class Stretches(dict):
-    """Encodings, as bytes of 32-bit ids, of the stretches between single spaces."""
+    """Encodings, as bytes of 32-bit ids, of the stretches between cuts.
+
+    A key that begins with a line feed stands for the line feed and what follows it, any other one
+    for ``lead`` and itself.
+    """
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, stretch: str) -> bytes:
-        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
-            raise _Odd
-        if len(stretch) > 1 and stretch[-1] in ".,;:" and stretch[-2].isalnum():
-            # a sign after a letter or digit begins a match of its own
-            ids = self[stretch[:-1]] + self.encoder.begin[stretch[-1]]
+        if stretch[:1] == "\n":
+            word = stretch[1:]
+            if not word or word[0].isspace() or word[-1].isspace():
+                raise _Odd
+            ids = self.encoder.line_feed + self.encoder.begin[word]
         else:
-            ids = self.encoder.pieces(self.lead + stretch)
+            if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+                raise _Odd
+            if stretch.isalpha():
+                ids = self.encoder.piece(self.lead + stretch)  # letters only are one match
+            elif len(stretch) > 1 and stretch[-1] in ".,;:" and stretch[-2].isalnum():
+                # a sign after a letter or digit begins a match of its own
+                ids = self[stretch[:-1]] + self.encoder.begin[stretch[-1]]
+            else:
+                ids = self.encoder.pieces(self.lead + stretch)
         if len(self) < MOST_STRETCHES and len(stretch) < 100:
             self[stretch] = ids
         return ids
@@ -238,21 +252,41 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.begin, self.inner = Stretches(self, ""), Stretches(self, " ")
+        self.line_feed = self.pieces("\n")
+        # a space or line feed between signs that no definition takes for white space
+        self.cut = regex.compile(r"(?<=[^\s\p{Z}\p{C}])([ \n])(?=[^\s\p{Z}\p{C}])")
+
+    def piece(self, text: str) -> bytes:
+        return array("i", self.transducer.encode(text.encode("utf-8"))).tobytes()
 
     def pieces(self, text: str) -> bytes:
         encode = self.transducer.encode
-        ids = [i for piece in self.pattern.findall(text) for i in encode(piece.encode("utf-8"))]
-        return np.array(ids, dtype="<i4").tobytes()
+        return array("i", [i for piece in self.pattern.findall(text) for i in encode(piece.encode("utf-8"))]).tobytes()
+
+    def _with_odd_stretches(self, text: str) -> bytes:
+        """The same by exact cuts: stretches hold white space, and these only are encoded anew."""
+        parts = self.cut.split(text)  # stretch, cut, stretch, ...
+        out = []
+        for at in range(0, len(parts), 2):
+            cut, stretch = parts[at - 1] if at else "", parts[at]
+            table = self.inner if cut == " " else self.begin
+            if cut == "\n":
+                out.append(self.line_feed)
+            try:
+                out.append(table[stretch])
+            except _Odd:
+                out.append(self.pieces(table.lead + stretch))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<i4")
-        stretches = text.split(" ")
+        stretches = text.replace("\n", " \n").split(" ")
         try:
             first = self.begin[stretches[0]]
             raw = first + b"".join(map(self.inner.__getitem__, stretches[1:]))
         except _Odd:
-            raw = self.pieces(text)
+            raw = self._with_odd_stretches(text)
         return np.frombuffer(raw, dtype="<i4")
 
 
