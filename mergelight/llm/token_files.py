@@ -34,6 +34,10 @@ BLOCK_IDS = 1 << 16
 MOST_STRETCHES = 900_000
 SAMPLE = 64
 SIGNS = ".,;:"
+#: How the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
+#: Words that are encoded in one call.
+JOINED = 256
 END_ID = 1
 
 
@@ -84,45 +88,80 @@ class EliasFano:
 
 
 class StretchEncoder:
-    """Ids of texts by a tokenizers file; a token must never span a space or a line feed."""
+    """Ids of texts by a tokenizers file; a token must never span a space or a line feed.
+
+    Texts that hold one of the file's added tokens are encoded whole, since these are cut out first.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.wide = self.tool.get_vocab_size() > 1 << 16
         self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
         self.known: dict[str, bytes] = {"": b""}
+        self.ends_word = np.zeros(self.tool.get_vocab_size(), dtype=bool)
+        for token, i in self.tool.get_vocab().items():
+            self.ends_word[i] = token.endswith(WORD_END)
         self.signs = {"": b""} | dict(zip(SIGNS, self._tokens(list(SIGNS)), strict=True))
 
     def _tokens(self, stretches: list[str]) -> list[bytes]:
         found = self.tool.encode_batch_fast(stretches, add_special_tokens=False)
         return [array(self.letter, x.ids).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many in a call: each is one word for the tokenizer too."""
+        out: list[bytes] = []
+        for low in range(0, len(words), JOINED):
+            part = words[low : low + JOINED]
+            ids = np.array(self.tool.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) == len(part) and ends[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += self._tokens(part)
+        return out
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Add the encodings of stretches to the table; forms that differ by case or a last sign share one."""
+        known, signs = self.known, self.signs
+        words = [s for s in stretches if s.isalpha() and s.islower()]
+        known.update(zip(words, self._words(words), strict=True))
+        forms = [(s, *base_of(s)) for s in stretches if s not in known]
+        words, others = set(), set()
+        for at, (stretch, base, _) in enumerate(forms):
+            if base.lower().isalpha():
+                words.add(base)
+            elif any(token in base for token in self.added):
+                forms[at] = (stretch, stretch, "")  # lower-cased it would be an added token
+                others.add(stretch)
+            else:
+                others.add(base)
+        for new, encode in ((list(words - known.keys()), self._words), (list(others - known.keys()), self._tokens)):
+            known.update(zip(new, encode(new), strict=True))
+        for stretch, base, sign in forms:
+            known[stretch] = known[base] + signs[sign]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.known.get
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, stretches)) for stretches in cut]
-        gaps: list[tuple[list, int, str]] = []
-        for stretches, ids in zip(cut, found, strict=True):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((ids, at, stretches[at]))
-        if gaps:
-            fresh: dict[str, bytes] = {}
-            bases = {stretch: base_of(stretch) for stretch in {stretch for _, _, stretch in gaps}}
-            new = list({base for base, _ in bases.values()} - self.known.keys())
-            if new:
-                fresh = dict(zip(new, self._tokens(new), strict=True))
-            for ids, at, stretch in gaps:
-                base, sign = bases[stretch]
-                found_base = fresh.get(base)
-                ids[at] = (self.known[base] if found_base is None else found_base) + self.signs[sign]
-            if len(self.known) + len(fresh) <= MOST_STRETCHES:
-                self.known.update(fresh)
-        return list(map(b"".join, found))
+        whole = {
+            i for i, t in enumerate(texts) if t and any(token in t for token in self.added)
+        }
+        for i in whole:
+            cut[i] = []
+        fresh = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(fresh) > MOST_STRETCHES:
+            self.known = {"": b""}
+            fresh = set().union(*cut)
+        if fresh:
+            self._learn(fresh)
+        look_up = self.known.__getitem__
+        out = [b"".join(map(look_up, stretches)) for stretches in cut]
+        for i in whole:
+            out[i] = self._tokens([texts[i]])[0]
+        return out
 
 
 def base_of(stretch: str) -> tuple[str, str]:
@@ -147,7 +186,7 @@ def stretch_encoder(path: str):
     return _ENCODERS.use(path)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID, step: int = 128) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID, step: int = 512) -> DataFrame:
     """(doc_id, text_hash, ids): ids of each text and the end id, as packed little-endian numbers."""
 
     def run(batches):
