@@ -4,8 +4,8 @@ Features are the distinct n-grams of a document (a word, two words in a row, and
 each white-space token), hashed to ``bits`` bits.  Spark counts over *all* labelled training rows
 in how many documents of each label a feature occurs; the log of the ratio of the two smoothed,
 normalised counts scales the indicator.  A linear model with hinge loss is then fitted by dual
-coordinate descent on a bounded sample of training rows (``max_rows``, the rows of least hash of
-their id), its intercept being a constant feature.  A logistic curve through the
+coordinate descent on a bounded sample of training rows (``max_rows`` and ``max_features``, the rows
+of least hash of their id), its intercept being a constant feature.  A logistic curve through the
 out-of-fold margins of the sample turns margins into scores.  Scoring reads every text whole.
 
 Defined results: a null or empty text has no features and scores by the intercept alone; repeated
@@ -31,6 +31,8 @@ from mergelight.session import cut_lineage
 
 BITS = 18
 MAX_ROWS = 12_000
+#: Features of all rows of the sample: 4 bytes each.
+MAX_FEATURES = 12_000_000
 THRESHOLD = 0.3
 FOLDS = 3
 
@@ -110,21 +112,58 @@ def log_ratios(counts: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     return np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float, rounds: int = 12):
-    """Weights and intercept of the hinge-loss model; one dual variable for each row.
+@dataclass
+class Sample:
+    """Rows of the sample in one run of feature ids: row i has keys[ends[i] : ends[i + 1]].
+
+    Values are made from the ratios when a row is looked at: no second copy of the rows is held.
+    """
+
+    keys: np.ndarray
+    ends: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Sample:
+        parts = [np.frombuffer(chunk.buffers()[2], np.uint8)[o[0] : o[-1]] if len(chunk) else np.zeros(0, np.uint8)
+                 for chunk, o in ((c, _offsets(c)) for c in table["keys"].chunks)]
+        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(_offsets(c)) for c in table["keys"].chunks)])
+        keys = np.concatenate(parts).view("<i4") if parts else np.zeros(0, "<i4")
+        return cls(keys, np.cumsum(sizes) // 4, np.where(table["y"].to_numpy() > 0, 1.0, -1.0))
+
+    def row(self, i: int) -> np.ndarray:
+        return self.keys[self.ends[i] : self.ends[i + 1]]
+
+    def scales(self, ratios: np.ndarray) -> np.ndarray:
+        """One over the length of each row's vector of ratios; 0 where it has none."""
+        norms = np.array([np.sqrt(v @ v) for v in (ratios[self.row(i)] for i in range(len(self.y)))])
+        return np.divide(1.0, norms, out=np.zeros(len(norms)), where=norms > 0)
+
+
+def _offsets(chunk: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_binary(chunk.type)
+    raw = np.frombuffer(chunk.buffers()[1], dtype=np.int64 if wide else np.int32)
+    return raw[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+
+
+def dual_descent(sample: Sample, which: np.ndarray, ratios: np.ndarray, scales: np.ndarray, cost: float,
+                 rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the hinge-loss model of some rows; one dual variable for each.
 
     Every step minimises the dual in one variable, clipped to [0, cost]; the rows of the rarer
     label cost as much in sum as the others.
     """
+    y = sample.y[which]
     share = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     upper = cost * share
-    alpha, w, b = np.zeros(len(y)), np.zeros(size), 0.0
-    square = np.array([v @ v + 1.0 for _, v in rows])
+    alpha, w, b = np.zeros(len(y)), np.zeros(len(ratios)), 0.0
+    square = (scales[which] > 0) + 1.0  # the length of a row is 1, or 0 without features; 1 for the intercept
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            keys, values = rows[i]
+            keys = sample.row(which[i])
+            values = ratios[keys] * scales[which[i]]
             slope = y[i] * (w[keys] @ values + b) - 1
             new = min(max(alpha[i] - slope / square[i], 0.0), upper[i])
             step = (new - alpha[i]) * y[i]
@@ -162,13 +201,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return only_with_ids(docs, known).join(known, "doc_id")
 
 
-def sample_rows(rows: DataFrame, label: str, max_rows: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``max_rows`` rows, those of least hash; a top-k of hashes."""
+def sample_rows(rows: DataFrame, label: str, max_rows: int, max_features: int, bits: int) -> Sample:
+    """At most ``max_rows`` labelled rows, those of least hash, with ``max_features`` features in sum.
+
+    Rows are taken in order of their hash while they fit, so the driver's share has a fixed size
+    in rows and in bytes (4 for a feature).
+    """
     order = F.xxhash64("doc_id")
     least = rows.select(order.alias("h")).orderBy("h").limit(max_rows)
     edge = least.agg(F.max("h")).first()[0]
-    if edge is None:
-        return [], np.zeros(0)
 
     def extract(batches):
         for batch in batches:
@@ -180,36 +221,36 @@ def sample_rows(rows: DataFrame, label: str, max_rows: int, bits: int) -> tuple[
                     [part["h"], part[label], pa.array(packed, pa.binary())], names=["h", "y", "keys"]
                 )
 
-    few = rows.select(order.alias("h"), label, "text").where(F.col("h") <= edge).mapInArrow(
+    few = rows.select(order.alias("h"), label, "text").where(F.col("h") <= F.lit(edge)).mapInArrow(
         extract, "h long, y int, keys binary"
     )
-    found = few.orderBy("h", "y", "keys").limit(max_rows).toArrow()
-    keys = [np.frombuffer(k, dtype="<i4") for k in found["keys"].to_pylist()]
-    return keys, np.where(found["y"].to_numpy() > 0, 1.0, -1.0)
+    few = cut_lineage(few.orderBy("h", "y", "keys").limit(max_rows))
+    sizes = few.select("h", (F.octet_length("keys") / 4).alias("n")).orderBy("h").toPandas()  # max_rows rows
+    fits = sizes["n"].cumsum() <= max_features
+    if not fits.all():
+        few = few.where(F.col("h") < F.lit(int(sizes["h"][~fits].iloc[0])))
+    return Sample.of(few.orderBy("h", "y", "keys").toArrow())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS,
-        cost: float = 1.0) -> LinearModel:
+        max_features: int = MAX_FEATURES, cost: float = 1.0) -> LinearModel:
     """The model, learnt from labelled rows that aren't held out."""
     rows = labelled(docs, labels, label)
     ratios = log_ratios(label_counts(rows, label, bits))
-    keys, y = sample_rows(rows, label, max_rows, bits)
+    sample = sample_rows(rows, label, max_rows, max_features, bits)
+    y = sample.y
     if len(set(y.tolist())) < 2:
         share = 0.5 if not len(y) else (1 - 1e-6 if y[0] > 0 else 1e-6)
         return LinearModel(np.zeros(1 << bits), ratios, 0.0, 0.0, float(np.log(share / (1 - share))))
-    scaled = []
-    for k in keys:
-        values = ratios[k]
-        norm = np.sqrt(values @ values)
-        scaled.append((k, values / norm if norm else values))
+    scales = sample.scales(ratios)
     margin = np.zeros(len(y))
     fold = np.arange(len(y)) % FOLDS
     for f in range(FOLDS):
-        train = np.flatnonzero(fold != f)
-        w, b = dual_descent([scaled[i] for i in train], y[train], 1 << bits, cost)
+        w, b = dual_descent(sample, np.flatnonzero(fold != f), ratios, scales, cost)
         for i in np.flatnonzero(fold == f):
-            margin[i] = w[scaled[i][0]] @ scaled[i][1] + b
-    w, b = dual_descent(scaled, y, 1 << bits, cost)
+            keys = sample.row(i)
+            margin[i] = (w[keys] @ ratios[keys]) * scales[i] + b
+    w, b = dual_descent(sample, np.arange(len(y)), ratios, scales, cost)
     slope, shift = fit_logistic(margin, y)
     return LinearModel(w, ratios, b, slope, shift)
 
