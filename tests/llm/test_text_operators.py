@@ -124,8 +124,8 @@ def test_byte_bpe(docs, rows):
     assert all(r.ids == tool.encode_ordinary(r.text or "") and r.decoded == (r.text or "") for r in done)
     machine = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
     machine.transducer.most_states = 50  # tables are begun anew many times
-    signs = "aabe tTh  \n\t\x1céß漢😀's1#-"
-    for _ in range(400):
+    for n in range(600):
+        signs = ["aabe tTh  \n\t\x1céß漢😀's1#-", "ab \n\r\t.,;'s12 é\x85\u00a0\u3000\u200b\x1f", "ab  . ,\n"][n % 3]
         text = "".join(RNG.choice(signs) for _ in range(RNG.randint(0, 60))) * RNG.choice([1, 1, 3])
         assert machine.encode(text).tolist() == tool.encode_ordinary(text)
         assert byte_bpe.decoder(path).decode(machine.encode(text), chunk=3) == text
@@ -137,16 +137,38 @@ def test_token_files(spark, docs, rows, tmp_path):
 
     path = public_tokenizers.path(queries.WORD_BPE)
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
+    more = [(900, "a <|endoftext|> b"), (901, "A <|ENDOFTEXT|>, b<|startoftext|>"), (902, "İstanbul ǅ ﬁ x" * 3)]
+    rows = rows + [(i, t, "en", "x", "y") for i, t in more]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in token_files.token_digest(docs, f"{tmp_path}/files", path).collect()}
-    start = 0
+    start, ids_of = 0, {}
     for i, text, *_ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
-        ids = [*tool.encode(text or "", add_special_tokens=False).ids, 1]
+        ids = ids_of[i] = [*tool.encode(text or "", add_special_tokens=False).ids, 1]
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     values = np.sort(np.random.default_rng(1).integers(0, 10**6, 999))
     packed = token_files.EliasFano.of(values, 10**6 + 1)
     assert packed.all().tolist() == values.tolist() == [packed.select(i) for i in range(999)]
+    blocks = spark.read.parquet(f"{tmp_path}/files").collect()
+    for block in blocks:
+        names = np.frombuffer(block.doc_ids, "<i8").tolist()
+        for at in (0, len(names) - 1):
+            if names[at] != 0:  # 0 stands for a null id too
+                found = token_files.document_ids(spark, f"{tmp_path}/files", block.shard, block.block, at)
+                assert found.tolist() == ids_of[names[at]]
+
+
+def test_stretches_are_encoded_as_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_BPE)
+    tool, own = Tokenizer.from_file(path), token_files.StretchEncoder(path)
+    signs = "aAbB İıßéÉ漢ñ.,;: \n\t'sdtre1２#-_<|>😀\u0301\u00a0\u2028 ﬁǅ"
+    for _ in range(60):
+        texts = ["".join(RNG.choice(signs) for _ in range(RNG.randint(0, 40))) for _ in range(50)]
+        texts += [texts[0] + RNG.choice(["<|endoftext|>", "a<|startoftext|> b", " <|ENDOFTEXT|>"]) + texts[1], None]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == tool.encode(text or "", add_special_tokens=False).ids
 
 
 def test_shards(docs, rows):
