@@ -6,9 +6,10 @@ encoding of what precedes it; two tokens may follow each other exactly if mergin
 bytes gives the two again.  So a state is the set of positions from which a token could still
 begin (a node of the vocabulary's trie each) with the tokens that lead to them.  Tokens on which
 all of them agree are emitted and taken out of the state, so output lags behind by a bounded
-number of bytes.  States and moves are made when they are needed a second time and kept in a table
-(determinised lazily); a first time, the open positions are followed one by one instead.  A table
-with ``MOST_STATES`` states is begun anew, which changes no result.
+number of bytes.  States and moves are made when they are needed and kept in a table (determinised
+lazily) for the first ``KEPT_BYTES`` bytes of a match; further on, where few come again, the open
+positions are followed one by one.  A table with ``MOST_STATES`` states is begun anew, which
+changes no result.
 
 Texts are cut by the pattern first and each match is encoded on its own.  A match can only begin,
 never go on, at a space between two other signs, and a line feed between two other signs is a match
@@ -38,11 +39,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from mergelight.llm.common import IdleTables, fresh_name, hex_sha256
 
+#: Moves over this many first bytes of a match are kept.
+KEPT_BYTES = 6
 #: Sizes of a worker's tables; they bound its memory and change no result.
-MOST_STATES = 60_000
-MOST_MET = 200_000
+MOST_STATES = 100_000
 MOST_PAIRS = 300_000
-MOST_STRETCHES = 800_000
+MOST_STRETCHES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +100,6 @@ class Transducer:
         self.known: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.met: set[int] = set()  # state * 256 + byte of moves needed once
         self.start = self._state((None, (0,), ((),)))
 
     def _state(self, state: tuple) -> int:
@@ -154,18 +155,15 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        state, moves, met = self.start, self.moves, self.met
+        state, moves = self.start, self.moves
         for at, byte in enumerate(piece):
             key = state << 8 | byte
             move = moves.get(key)
             if move is None:
-                if key not in met:
-                    if len(met) >= MOST_MET:
-                        met.clear()
-                    met.add(key)
+                if at >= KEPT_BYTES:
                     return out + self._follow(state, piece[at:])
                 move = self._move(state, byte)
-                moves, met = self.moves, self.met
+                moves = self.moves
             state, emitted = move
             if emitted:
                 out += emitted

@@ -61,7 +61,7 @@ class IdleTables:
     dropped, so that a later stage has their memory.  Dropping changes no result.
     """
 
-    def __init__(self, make: Callable, seconds: float = 5.0):
+    def __init__(self, make: Callable, seconds: float = 1.0):
         self.make, self.seconds = make, seconds
         self.held: dict[tuple, object] = {}
         self.users, self.lock = 0, Lock()
