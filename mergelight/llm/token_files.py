@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelight.llm.common import IdleTables
+from mergelight.llm.common import IdleTables, text_slices
 
 BLOCK_IDS = 1 << 16
 MOST_STRETCHES = 900_000
@@ -87,6 +87,15 @@ class EliasFano:
         return (at - np.arange(self.n)) << self.low_bits | self._lows(0, self.n)
 
 
+class Stretches(dict):
+    """Encodings of stretches; when it is full, ``rest`` has those of the slice at hand."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        return self.rest[stretch]
+
+
 class StretchEncoder:
     """Ids of texts by a tokenizers file; a token must never span a space or a line feed.
 
@@ -100,7 +109,7 @@ class StretchEncoder:
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.wide = self.tool.get_vocab_size() > 1 << 16
         self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Stretches({"": b""})
         self.ends_word = np.zeros(self.tool.get_vocab_size(), dtype=bool)
         for token, i in self.tool.get_vocab().items():
             self.ends_word[i] = token.endswith(WORD_END)
@@ -124,14 +133,16 @@ class StretchEncoder:
                 out += self._tokens(part)
         return out
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Add the encodings of stretches to the table; forms that differ by case or a last sign share one."""
+    def _learnt(self, stretches: set[str]) -> dict[str, bytes]:
+        """Encodings of stretches; forms that differ by case or a last sign share one."""
         known, signs = self.known, self.signs
         words = [s for s in stretches if s.isalpha() and s.islower()]
-        known.update(zip(words, self._words(words), strict=True))
-        forms = [(s, *base_of(s)) for s in stretches if s not in known]
+        out = dict(zip(words, self._words(words), strict=True))
+        forms = [(s, *base_of(s)) for s in stretches if s not in out]
         words, others = set(), set()
         for at, (stretch, base, _) in enumerate(forms):
+            if base in known or base in out:
+                continue
             if base.lower().isalpha():
                 words.add(base)
             elif any(token in base for token in self.added):
@@ -139,10 +150,12 @@ class StretchEncoder:
                 others.add(stretch)
             else:
                 others.add(base)
-        for new, encode in ((list(words - known.keys()), self._words), (list(others - known.keys()), self._tokens)):
-            known.update(zip(new, encode(new), strict=True))
+        for new, encode in ((list(words), self._words), (list(others), self._tokens)):
+            out.update(zip(new, encode(new), strict=True))
         for stretch, base, sign in forms:
-            known[stretch] = known[base] + signs[sign]
+            ids = out.get(base)
+            out[stretch] = (known[base] if ids is None else ids) + signs[sign]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -152,11 +165,10 @@ class StretchEncoder:
         for i in whole:
             cut[i] = []
         fresh = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(fresh) > MOST_STRETCHES:
-            self.known = {"": b""}
-            fresh = set().union(*cut)
         if fresh:
-            self._learn(fresh)
+            self.known.rest = self._learnt(fresh)
+            if len(self.known) + len(self.known.rest) <= MOST_STRETCHES:
+                self.known.update(self.known.rest)
         look_up = self.known.__getitem__
         out = [b"".join(map(look_up, stretches)) for stretches in cut]
         for i in whole:
@@ -186,15 +198,14 @@ def stretch_encoder(path: str):
     return _ENCODERS.use(path)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID, step: int = 512) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID, slice_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, text_hash, ids): ids of each text and the end id, as packed little-endian numbers."""
 
     def run(batches):
         with stretch_encoder(path) as tool:
             end = np.array([end_id], dtype=tool.kind).tobytes()
             for batch in batches:
-                for low in range(0, batch.num_rows, step):
-                    part = batch.slice(low, step)
+                for part in text_slices(batch, "text", slice_bytes):
                     ids = [x + end for x in tool.encode(part["text"].to_pylist())]
                     yield pa.RecordBatch.from_arrays(
                         [part["doc_id"], part["text_hash"], pa.array(ids, pa.binary())],
