@@ -228,6 +228,7 @@ CONVENTION_DEFAULTS = dict(
     test_naming_pattern="test_*",
 )
 MERGED_PRS_TO_LEARN_FROM = 3
+CALLS_IN_FLIGHT = 5
 MAX_SAMPLES = 20
 MAX_SAMPLE_CHARS = 2_000
 MIN_SAMPLE_CHARS = 20

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from mergelight import fixed
 from mergelight.functions.text import lookup, strip, words
 
-# Place of a finding inside its file, 28 bits: rule hits first, model findings after them.
-POSITION_BITS = 28
-MODEL_POSITION = 1 << 27
+# Kinds of findings of one agent and file, in order.
+RULE_HITS, MODEL_ITEMS = 0, 1
 
 
-def finding_seq(agent_ord: Column | int, file_ord: Column, position: Column) -> Column:
-    """One ordered number per finding: agent, then file, then place in the file."""
+def finding_order(
+    agent_ord: Column | int, file_ord: Column, kind: int, place: Column, item: Column | int
+) -> Column:
+    """What findings are sorted by: agent, file, kind, line or chunk or function, rule or entry."""
     agent = F.lit(agent_ord) if isinstance(agent_ord, int) else agent_ord
-    file_no = agent.cast("bigint") * (1 << 32) + file_ord
-    return (file_no * (1 << POSITION_BITS) + position).cast("bigint")
+    last = F.lit(item) if isinstance(item, int) else item
+    return F.struct(
+        agent.cast("int").alias("agent"), file_ord.cast("bigint").alias("file"),
+        F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), last.cast("bigint").alias("item"),
+    )
 
 
 def finding_id(*parts: Column) -> Column:

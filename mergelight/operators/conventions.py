@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mergelight import fixed
 from mergelight.functions.conventions import docstring_style, naming_style
 from mergelight.operators.diffs import added_blocks
+from mergelight.operators.responses import parse_model_response
 from mergelight.workers import sample_functions
 
 
@@ -141,6 +142,29 @@ def merge_conventions(measured: DataFrame, modelled: DataFrame | None = None) ->
     return _with_defaults(joined)
 
 
+ANSWER_KINDS = {
+    "naming_style": "string", "uses_type_hints": "boolean", "uses_docstrings": "boolean",
+    "docstring_style": "string", "max_function_length": "int", "uses_black_formatting": "boolean",
+    "uses_async": "boolean", "test_naming_pattern": "string",
+    "common_patterns": "array<string>", "anti_patterns": "array<string>",
+}
+
+
+def convention_answers(answers: DataFrame) -> DataFrame:
+    """Profile per repo as a model describes it: ``answers`` has (repo, response).
+
+    An answer may be fenced.  A value that is missing or of another type is null, so that measured
+    values and defaults take its place; an answer that is no JSON object gives no row.  Of several
+    answers for a repo the least text counts.
+    """
+    one = answers.filter(F.col("response").isNotNull()).groupBy("repo").agg(F.min("response").alias("response"))
+    parsed = parse_model_response(one).filter("valid")
+    return parsed.select(
+        "repo",
+        *[F.try_variant_get("answer", f"$.{name}", kind).alias(name) for name, kind in ANSWER_KINDS.items()],
+    )
+
+
 def learn_conventions(
     repos: DataFrame, prs: DataFrame, modelled: DataFrame | None = None
 ) -> DataFrame:

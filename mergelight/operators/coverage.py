@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mergelight import fixed
 from mergelight.functions.files import has_content, is_test_file
-from mergelight.functions.findings import finding_seq
+from mergelight.functions.findings import RULE_HITS, finding_order
 from mergelight.functions.text import capitalize, dirname, normalize_path, stem
 from mergelight.operators.findings import with_finding_defaults
 from mergelight.operators.text import file_facts
@@ -205,7 +205,7 @@ def basic_coverage_findings(
     name, line = F.col("name"), F.col("start_line").cast("string")
     found = kept.select(
         "job_id",
-        finding_seq(agent_ord, F.col("ord"), F.col("func_ord")).alias("seq"),
+        finding_order(agent_ord, F.col("ord"), RULE_HITS, F.col("func_ord"), 0).alias("seq"),
         F.col("filename").alias("file_path"),
         F.col("start_line").alias("line_number"),
         F.lit("MEDIUM").alias("severity"),

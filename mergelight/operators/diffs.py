@@ -1,11 +1,12 @@
 """Unified diffs: line-to-position maps, nearest position, comments, added code.
 
-A diff is taken apart inside its row by array functions, so parsing needs no shuffle.
+A diff that is a row is taken apart inside it by array functions, so parsing needs no shuffle; one
+that is too long for a row comes as lines in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergelight import fixed
@@ -188,6 +189,108 @@ def parse_diff(diffs: DataFrame, key: str = "job_id", parity: bool = True) -> Da
     return diffs.select(key, F.inline(diff_positions(F.col("diff"), parity)))
 
 
+DIFF, BLOCK_ORDER = "job_id", ["job_id", "block"]
+
+
+def _carried(per_block: DataFrame, keys: list[str], value: Column, output: str) -> DataFrame:
+    """Sum of a value over the earlier blocks of a key; the table has one row per key and block."""
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return per_block.select(*keys, "block", F.coalesce(F.sum(value).over(before), F.lit(0)).alias(output))
+
+
+def _numbered_sections(lines: DataFrame) -> DataFrame:
+    """Add ``section``: how many file headers came up to a line."""
+    header = F.col("value").rlike(r"\A" + VALID_HEADER)
+    marked = lines.withColumn("header", header.cast("int"))
+    inside = Window.partitionBy(*BLOCK_ORDER).orderBy("at")
+    counted = marked.withColumn("_own", F.sum("header").over(inside))
+    totals = marked.groupBy(*BLOCK_ORDER).agg(F.sum("header").alias("n"))
+    before = _carried(totals, [DIFF], F.col("n"), "_before")
+    return counted.join(before, BLOCK_ORDER).withColumn(
+        "section", (F.col("_own") + F.col("_before")).cast("bigint")
+    ).drop("_own", "_before")
+
+
+def _counted(lines: DataFrame, parity: bool) -> DataFrame:
+    """Lines of sections that have a position, with it (1 for the first, 0 without ``parity``)."""
+    value, named = F.col("value"), F.col("section") > 0
+    hunk = value.startswith("@@")
+    if parity:
+        kept = lines.filter(
+            ~value.startswith(HEADER) & (hunk | (named & ~value.startswith("---") & ~value.startswith("+++")))
+        )
+        first = 1
+    else:
+        opened = lines.filter(hunk & named).groupBy(DIFF, "section").agg(
+            F.min(F.struct("block", "at")).alias("opened")
+        )
+        body = lines.filter(named & (F.col("header") == 0)).join(opened, [DIFF, "section"])
+        kept = body.filter(
+            (F.struct("block", "at") >= F.col("opened")) & ~value.startswith("\\") & (value != "")
+        ).drop("opened")
+        first = 0
+    inside = Window.partitionBy(*BLOCK_ORDER, "section").orderBy("at")
+    placed = kept.withColumn("_own", F.row_number().over(inside))
+    totals = kept.groupBy(*BLOCK_ORDER, "section").agg(F.count(F.lit(1)).alias("n"))
+    before = _carried(totals, [DIFF, "section"], F.col("n"), "_before")
+    return placed.join(before, [*BLOCK_ORDER, "section"]).withColumn(
+        "position", (F.col("_own") + F.col("_before") + (first - 1)).cast("int")
+    ).drop("_own", "_before")
+
+
+def _steps(counted: DataFrame) -> DataFrame:
+    """Lines that advance the new file, with its line number.
+
+    The number is that of the last hunk header and the steps since, in whatever block it was; a
+    block is summed up by its steps and, if it has a header, by the number at its end.
+    """
+    value = F.col("value")
+    start = _hunk_start(value)
+    still = value.startswith("-") | value.startswith("@@")
+    moves = counted.withColumn("start", start).filter(~still | F.col("start").isNotNull())
+    step = F.when(F.col("start").isNull(), 1).otherwise(0)
+    moves = moves.withColumn("step", step)
+    inside = Window.partitionBy(*BLOCK_ORDER).orderBy("at")
+    run = moves.withColumn("_steps", F.sum("step").over(inside))
+    header = F.when(F.col("start").isNotNull(), F.struct("start", F.col("_steps").alias("steps")))
+    run = run.withColumn("_at_start", F.last(header, True).over(inside))
+    number = F.col("_at_start.start") - 1 + F.col("_steps") - F.col("_at_start.steps")
+    own = run.withColumn("_line", number)
+    blocks = own.groupBy(*BLOCK_ORDER).agg(
+        F.max("_steps").alias("steps"), F.max_by("_line", "at").alias("end"),
+    )
+    until = Window.partitionBy(DIFF).orderBy("block")
+    summed = blocks.withColumn("total", F.sum("steps").over(until))
+    fixed_end = F.last(F.col("end") - F.col("total"), True).over(until.rowsBetween(Window.unboundedPreceding, -1))
+    entry = summed.select(
+        *BLOCK_ORDER, (F.coalesce(fixed_end, F.lit(0)) + F.col("total") - F.col("steps")).alias("_entry")
+    )
+    line = F.coalesce("_line", F.col("_entry") + F.col("_steps"))
+    return own.join(entry, BLOCK_ORDER).filter(F.col("step") == 1).withColumn("line", line.cast("bigint"))
+
+
+def parse_diff_lines(lines: DataFrame, parity: bool = True) -> DataFrame:
+    """Flat position map of diffs that come as lines: (job_id, block, at, value).
+
+    Lines are in order by ``block`` and ``at``.  What a line depends on - its section, position
+    and line number - is kept per block and carried over a table with a row for each
+    block (and section), so a diff of any length is as many tasks as it has blocks.  Gives what
+    ``parse_diff`` gives for the joined text, but for the order of the rows.
+    """
+    sections = _numbered_sections(lines)
+    pattern = r"(?s)b/(.+)\z" if parity else r"(?s).* b/(.+)\z"
+    names = sections.filter("header = 1").groupBy(DIFF, F.regexp_extract("value", pattern, 1).alias("file")).agg(
+        F.max("section").alias("section")  # of files named twice the last one counts
+    )
+    steps = _steps(_counted(sections.filter("header = 0") if parity else sections, parity))
+    return (
+        steps.groupBy(DIFF, "section", "line")
+        .agg(F.max("position").alias("position"), F.min("position").alias("ins_order"))
+        .join(names, [DIFF, "section"])
+        .select(DIFF, "file", "line", "position", "ins_order")
+    )
+
+
 def nearest_diff_position(probes: DataFrame, positions: DataFrame, key: str = "job_id") -> DataFrame:
     """Probes (key, file, line) with the position of the nearest mapped line, or null."""
     nearest = nearest_line(probes, positions, [key, "file"], "line", "position", "ins_order")

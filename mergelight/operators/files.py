@@ -11,7 +11,7 @@ from mergelight.functions.files import (
     is_test_file,
     review_reason,
 )
-from mergelight.operators.ranking import bounded_rank
+from mergelight.operators.ranking import range_rank
 
 
 def with_review_reason(files: DataFrame) -> DataFrame:
@@ -72,5 +72,5 @@ def review_priority(names: DataFrame, scores: DataFrame) -> DataFrame:
 
     ``names`` is a narrow table (no content): content never follows the order, findings do.
     """
-    keys = attach_impact(names, scores).withColumn("_minus", -F.col("impact_score"))
-    return bounded_rank(keys, "job_id", ["_minus"], "ord", "review_ord").drop("_minus")
+    keys = attach_impact(names, scores)
+    return range_rank(keys, "job_id", [F.col("impact_score").desc(), "ord"], "review_ord")

@@ -6,19 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mergelight import fixed, schemas
 from mergelight.functions.findings import (
-    POSITION_BITS,
     agent_tag,
     finding_id,
-    finding_seq,
     meaningful_words,
     severity_rank,
     shared_title_words,
 )
 from mergelight.operators.clustering import NODE, greedy_seeds
-from mergelight.operators.ranking import bounded_rank
+from mergelight.operators.ranking import range_rank
 from mergelight.session import cut_lineage
 
 FINDING_FIELDS = [tuple(field.split(" ", 1)) for field in schemas.FINDINGS.split(", ")]
@@ -48,7 +47,10 @@ def with_finding_defaults(df: DataFrame, agent: str | None = None) -> DataFrame:
             value = F.col(name)
         else:
             value = F.lit(None)
-        columns.append(value.cast(kind).alias(name))
+        if name == "seq" and isinstance(df.schema["seq"].dataType, StructType):
+            columns.append(value)
+        else:
+            columns.append(value.cast(kind).alias(name))
     return df.select(*columns)
 
 
@@ -57,24 +59,25 @@ def union_findings(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def number_findings(findings: DataFrame) -> DataFrame:
+    """Findings of detectors with ``seq`` as their number in the job, in finding order from 1."""
+    numbered = range_rank(findings, "job_id", ["seq", "agent", "id"], "_number")
+    return numbered.withColumn("seq", F.col("_number")).select(*findings.columns)
+
+
 def resequence(findings: DataFrame, order: DataFrame) -> DataFrame:
-    """Renumber findings by the review order (job_id, filename, review_ord) of their files.
+    """Number findings by the review order (job_id, filename, review_ord) of their files.
 
-    Detectors number by the order files come in, straight off the scan; the order that
-    impact gives is applied here, to findings only.
+    Detectors order by the numbers files come with, straight off the scan; the order that
+    impact gives is applied here, to findings only.  Files without a place are left out.
     """
-    file_bits = POSITION_BITS + 32
-    agent = F.shiftright("seq", file_bits)
-    position = F.col("seq").bitwiseAND((1 << POSITION_BITS) - 1)
     # a name that a job lists twice has the place of its first entry
     placed = order.groupBy("job_id", F.col("filename").alias("file_path")).agg(
         F.min("review_ord").alias("review_ord")
     )
-    return (
-        findings.join(placed, ["job_id", "file_path"])
-        .withColumn("seq", finding_seq(agent, F.col("review_ord"), position))
-        .select(*findings.columns)
-    )
+    by_review = F.col("seq").withField("file", F.col("review_ord").cast("bigint"))
+    moved = findings.join(placed, ["job_id", "file_path"]).withColumn("seq", by_review)
+    return number_findings(moved.select(*findings.columns))
 
 
 # --- clustering --------------------------------------------------------------
@@ -131,81 +134,104 @@ def seed_member_pairs(clustered: DataFrame) -> DataFrame:
 # --- merge, rank, decide -----------------------------------------------------
 
 
-MERGE_BITS = 16
+# Members of a cluster whose texts come together in one row of ``merged_parts``.
+PART_SIZE = 65_536
 
 
-def merge_findings(clustered: DataFrame) -> DataFrame:
-    """One finding per cluster.
+def cluster_members(clustered: DataFrame) -> DataFrame:
+    """(job_id, cluster_seq, seq, agent, description, suggestion): members, a row each."""
+    return clustered.select("job_id", "cluster_seq", "seq", "agent", "description", "suggestion")
 
-    Best severity (first on ties) gives identity and place; text of all members is joined
-    in order.  Members are merged in two steps: stretches of at most 65,536 numbers first,
-    stretches of a cluster then.  So a cluster with very many members is spread over
-    tasks, and only the finished text, which is the feature, comes together in one row.
+
+def merged_heads(clustered: DataFrame) -> DataFrame:
+    """One row per cluster without the joined texts.
+
+    Best severity (first on ties) gives identity and place; the highest confidence, the first
+    filled example and snippet, and all agents come from all members.  Aggregates hold one
+    value each, so a cluster of any size combines before the shuffle.
     """
     order = F.struct(severity_rank(F.col("severity")).alias("rank"), F.col("seq"))
     best = F.struct(
         "id", "file_path", "line_number", "end_line", "severity", "category", "title", "agent",
         "description", "suggestion", "fix_example", "code_snippet",
     )
-    said = F.struct(
-        F.col("seq"),
-        F.concat(F.lit("**"), F.col("agent"), F.lit("**: "), F.col("description")).alias("text"),
-        F.col("suggestion"),
-    )
-    key = ["job_id", "cluster_seq"]
 
     def first_filled(name: str) -> Column:
-        keep = F.coalesce(F.col(name) != "", F.lit(False))
-        found = F.when(keep, F.struct(F.col("seq"), F.col(name).alias("value")))
-        return F.min_by(found, F.when(keep, F.col("seq")))
+        return F.min_by(name, F.when(F.coalesce(F.col(name) != "", F.lit(False)), F.col("seq")))
 
-    stretches = clustered.groupBy(*key, F.shiftright("seq", MERGE_BITS).alias("stretch")).agg(
+    grouped = clustered.groupBy("job_id", "cluster_seq").agg(
         F.min_by(best, order).alias("best"),
-        F.min(order).alias("best_order"),
         F.count(F.lit(1)).alias("members"),
-        F.collect_set("agent").alias("agents"),
-        F.array_sort(F.collect_list(said)).alias("said"),
+        F.array_sort(F.collect_set("agent")).alias("contributing_agents"),
         F.max("confidence").alias("confidence"),
         first_filled("fix_example").alias("fix_example"),
         first_filled("code_snippet").alias("code_snippet"),
     )
-    part = F.struct(
-        "stretch",
-        F.array_join(F.transform("said", lambda s: s["text"]), "\n\n").alias("text"),
-        F.array_distinct(F.transform("said", lambda s: s["suggestion"])).alias("advice"),
-    )
-    grouped = stretches.groupBy(*key).agg(
-        F.min_by("best", "best_order").alias("best"),
-        F.sum("members").alias("members"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("agents"))))
-        .alias("contributing_agents"),
-        F.array_sort(F.collect_list(part)).alias("parts"),
-        F.max("confidence").alias("confidence"),
-        F.min("fix_example")["value"].alias("fix_example"),
-        F.min("code_snippet")["value"].alias("code_snippet"),
-    )
     many = F.col("members") > 1
     tags = F.array_join(F.transform("contributing_agents", agent_tag), "")
-    texts = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
-    advice = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["advice"])))
     return grouped.select(
         "job_id", F.col("cluster_seq").alias("seq"), "best.id",
         F.when(many, tags).otherwise(F.col("best.agent")).alias("agent"),
         "best.file_path", "best.line_number", "best.end_line", "best.severity",
-        "best.category", "best.title",
-        F.when(many, texts).otherwise(F.col("best.description")).alias("description"),
-        F.when(many, F.array_join(advice, " | ")).otherwise(F.col("best.suggestion"))
-        .alias("suggestion"),
+        "best.category", "best.title", "best.description", "best.suggestion",
         *[F.when(many, F.col(n)).otherwise(F.col(f"best.{n}")).alias(n)
           for n in ("code_snippet", "fix_example")],
         "confidence", "contributing_agents", "members",
     )
 
 
+def merged_parts(members: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """(job_id, seq, part, text, advice): texts of a cluster's members in order, in parts.
+
+    A part holds the members with ``seq`` in one run of ``part_size`` numbers, so no row holds
+    more; parts are named by the first number of their run.  ``advice`` lists
+    suggestions that are new in the part.
+    """
+    said = F.struct(
+        F.col("seq"), F.concat(F.lit("**"), F.col("agent"), F.lit("**: "), F.col("description")).alias("text")
+    )
+    key, part = ["job_id", "cluster_seq"], (F.floor(F.col("seq") / part_size) * part_size).alias("part")
+    texts = members.groupBy(*key, part).agg(F.array_sort(F.collect_list(said)).alias("said"))
+    first = members.filter(F.col("suggestion").isNotNull()).groupBy(*key, "suggestion").agg(F.min("seq").alias("seq"))
+    advice = first.groupBy(*key, part).agg(F.array_sort(F.collect_list(F.struct("seq", "suggestion"))).alias("new"))
+    return texts.join(advice, [*key, "part"], "left").select(
+        "job_id", F.col("cluster_seq").alias("seq"), "part",
+        F.array_join(F.transform("said", lambda s: s["text"]), "\n\n").alias("text"),
+        F.array_join(F.transform("new", lambda s: s["suggestion"]), " | ").alias("advice"),
+    )
+
+
+def merge_findings(clustered: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """One finding per cluster, with the texts of all its members put together.
+
+    Texts are joined in parts first; only the finished text, which is the feature, comes
+    together in one row.  Callers with very large clusters take ``merged_heads`` and
+    ``merged_parts``, whose rows are bounded.
+    """
+    heads = merged_heads(clustered)
+    grouped = clustered.groupBy("job_id", "cluster_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cluster_members(clustered).join(grouped.drop("n"), ["job_id", "cluster_seq"], "left_semi")
+    part = F.struct("part", "text", "advice")
+    texts = merged_parts(shared, part_size).groupBy("job_id", "seq").agg(
+        F.array_sort(F.collect_list(part)).alias("parts")
+    )
+    whole = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
+    advice = F.array_join(F.array_compact(F.transform("parts", lambda p: p["advice"])), " | ")
+    return heads.join(texts, ["job_id", "seq"], "left").withColumns({
+        "description": F.when(F.col("parts").isNotNull(), whole).otherwise(F.col("description")),
+        "suggestion": F.when(F.col("parts").isNotNull(), advice).otherwise(F.col("suggestion")),
+    }).select(*heads.columns)
+
+
 def rank_findings(merged: DataFrame) -> DataFrame:
-    """Add ``rank`` per job: severity first, equal severity in cluster order."""
-    ranked = merged.withColumn("sev_rank", severity_rank(F.col("severity")))
-    return bounded_rank(ranked, "job_id", ["sev_rank"], "seq", "rank").drop("sev_rank")
+    """Add ``rank`` per job: severity first, equal severity in cluster order.
+
+    Only job, number and severity are ranked; texts wait for the join.
+    """
+    merged = cut_lineage(merged)
+    places = merged.select("job_id", "seq", severity_rank(F.col("severity")).alias("_severity"))
+    ranks = range_rank(places, "job_id", ["_severity", "seq"], "rank").drop("_severity")
+    return merged.join(ranks, ["job_id", "seq"]).select(*merged.columns, "rank")
 
 
 def review_decision(jobs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mergelight import fixed
 from mergelight.functions.text import dirname, join_path, normalize_path
+from mergelight.operators.ranking import range_rank
 from mergelight.operators.text import imports_of
 from mergelight.session import cut_lineage
 
@@ -86,74 +87,116 @@ def graph_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _name_id(name: str) -> Column:
-    """Number of a (job, file) pair: 120 bits of a digest in two words."""
-    digest = F.md5(F.concat_ws("\0", "job_id", name))
-    words = [F.conv(F.substring(digest, first, 15), 16, 10).cast("bigint") for first in (1, 16)]
-    return F.struct(words[0].alias("hi"), words[1].alias("lo"))
+# Nodes whose reachability lies in one 64-bit word.
+WORD = 64
+NODE, BITS = ["job_id", "node"], ["job_id", "node", "word"]
 
 
-def _numbered(edges: DataFrame) -> DataFrame:
-    """Distinct edges with numbers for both ends, kept on reliable storage."""
-    return cut_lineage(
-        edges.select("job_id", "src", "dst").distinct()
-        .withColumns({"dependent": _name_id("src"), "node": _name_id("dst")})
+def _nodes(edges: DataFrame) -> DataFrame:
+    """(job_id, filename, node): files with an edge, numbered in each job by name.
+
+    Neighbours in a folder get neighbouring numbers, so their bits lie in the same words.
+    """
+    ends = F.explode(F.array("src", "dst")).alias("filename")
+    names = edges.select("job_id", ends).distinct()
+    ranked = range_rank(names, "job_id", ["filename"], "_rank")
+    return cut_lineage(ranked.select("job_id", "filename", (F.col("_rank") - 1).alias("node")))
+
+
+def _numbered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(job_id, src, dst): distinct edges by number."""
+    src = nodes.select("job_id", F.col("filename").alias("src"), F.col("node").alias("src_node"))
+    dst = nodes.select("job_id", F.col("filename").alias("dst"), F.col("node").alias("dst_node"))
+    both = edges.join(src, ["job_id", "src"]).join(dst, ["job_id", "dst"]).filter("src_node <> dst_node")
+    return cut_lineage(both.select(
+        "job_id", F.col("src_node").alias("src"), F.col("dst_node").alias("dst")
+    ).distinct())
+
+
+def _bit(node: str) -> list[Column]:
+    """Word and bit of a node."""
+    return [
+        F.floor(F.col(node) / WORD).alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(node) % WORD).cast("int")).alias("bits"),
+    ]
+
+
+def _sent(bits: DataFrame, along: DataFrame) -> DataFrame:
+    """What the ends of edges learn: all that reaches their beginnings."""
+    return bits.withColumnRenamed("node", "src").join(along, ["job_id", "src"]).select(
+        "job_id", F.col("dst").alias("node"), "word", "bits"
     )
 
 
-def _names(numbered: DataFrame) -> DataFrame:
-    """(job_id, name, id) of every file that has an edge."""
-    ends = F.inline(F.array(
-        F.struct(F.col("src").alias("name"), F.col("dependent").alias("id")),
-        F.struct(F.col("dst").alias("name"), F.col("node").alias("id")),
-    ))
-    return numbered.select("job_id", ends).distinct()
+def _jumped(jumps: DataFrame) -> DataFrame:
+    """Jump edges of double length: the origin of a jump's origin; nodes without one fall out."""
+    first = jumps.select("job_id", F.col("dst").alias("src"), F.col("src").alias("origin"))
+    longer = jumps.join(first, ["job_id", "src"]).filter("origin <> dst")
+    return longer.select("job_id", F.col("origin").alias("src"), "dst")
 
 
-def _closure(numbered: DataFrame) -> DataFrame:
-    """All (dependent, node) pairs with a path, over short numbers instead of names.
+def reach_bits(numbered: DataFrame) -> DataFrame:
+    """(job_id, node, word, bits): the files that reach each node along edges, as bits.
 
-    Path lengths double per round: pairs found in the last round are joined with all pairs
-    so far, so a chain of n imports takes about log2(n) rounds.  Pairs seen before are
-    dropped and every round is cut from its lineage; cycles end by themselves.
+    Bits spread in rounds.  A round sends what is new along the edges, and all there is along
+    jump edges, one a node, which double their length with each round: a chain of n imports takes
+    about log2(n) rounds.  Words are combined by ``bit_or`` before and after the shuffle, so a
+    file that very many others import costs a word per 64 of them.  Cycles end when nothing is new; a
+    node on a cycle reaches itself.
     """
-    closure = numbered.select("dependent", "node")
-    newest = closure
-    while not newest.isEmpty():
-        tail = closure.select(F.col("dependent").alias("via"), "node")
-        longer = (
-            newest.select("dependent", F.col("node").alias("via")).join(tail, "via")
-            .filter(F.col("dependent") != F.col("node"))
-            .select("dependent", "node").distinct()
-        )
-        newest = cut_lineage(longer.join(closure, ["dependent", "node"], "left_anti"))
-        closure = closure.unionByName(newest)
-    return closure
+    known = cut_lineage(
+        numbered.select("job_id", F.col("dst").alias("node"), *_bit("src"))
+        .groupBy(*BITS).agg(F.bit_or("bits").alias("bits"))
+    )
+    news = known
+    jumps = numbered.groupBy("job_id", "dst").agg(F.min("src").alias("src")).select("job_id", "src", "dst")
+    while True:
+        jumps = cut_lineage(_jumped(jumps))
+        direct = jumps.select("job_id", F.col("dst").alias("node"), *_bit("src"))
+        came = _sent(news, numbered).unionByName(_sent(known, jumps)).unionByName(direct)
+        both = known.select(*BITS, F.col("bits").alias("old"), F.lit(0).cast("bigint").alias("come"))
+        both = both.unionByName(came.select(*BITS, F.lit(0).cast("bigint").alias("old"), F.col("bits").alias("come")))
+        merged = cut_lineage(both.groupBy(*BITS).agg(F.bit_or("old").alias("old"), F.bit_or("come").alias("come")))
+        fresh = F.col("come").bitwiseAND(F.bitwise_not("old"))
+        news = merged.select(*BITS, fresh.alias("bits")).filter("bits <> 0")
+        if news.isEmpty():
+            return known
+        known = merged.select(*BITS, F.col("old").bitwiseOR(F.col("come")).alias("bits"))
+
+
+def _without_self(bits: DataFrame) -> DataFrame:
+    word, own = _bit("node")
+    others = F.when(F.col("word") == word, F.col("bits").bitwiseAND(F.bitwise_not(own))).otherwise(F.col("bits"))
+    return bits.withColumn("bits", others).filter("bits <> 0")
 
 
 def transitive_dependents(edges: DataFrame) -> DataFrame:
     """(job_id, filename, dependent): files that import ``filename`` directly or not.
 
-    A file is never its own dependent.
+    A file is never its own dependent.  The pairs are made here, from bits, for callers that ask
+    for them; counts and impact don't list them.
     """
-    numbered = _numbered(edges)
-    names = _names(numbered)
-    target = names.select("job_id", F.col("name").alias("filename"), F.col("id").alias("node"))
-    importer = names.select(F.col("name").alias("importer"), F.col("id").alias("dependent"))
-    return _closure(numbered).join(target, "node").join(importer, "dependent").select(
-        "job_id", "filename", F.col("importer").alias("dependent")
+    nodes = _nodes(edges)
+    bits = _without_self(reach_bits(_numbered(edges, nodes)))
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD - 1)),
+        lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0,
+    )
+    importers = F.transform(places, lambda i: F.col("word") * WORD + i)
+    pairs = bits.select("job_id", "node", F.explode(importers).alias("importer"))
+    target = nodes.select("job_id", "node", "filename")
+    importer = nodes.select("job_id", F.col("node").alias("importer"), F.col("filename").alias("dependent"))
+    return pairs.join(target, NODE).join(importer, ["job_id", "importer"]).select(
+        "job_id", "filename", "dependent"
     )
 
 
 def dependent_counts(edges: DataFrame) -> DataFrame:
-    """Number of transitive dependents per file (files with at least one).
-
-    Pairs are counted by number before any name comes back.
-    """
-    numbered = _numbered(edges)
-    counts = _closure(numbered).groupBy("node").agg(F.count(F.lit(1)).alias("dependents"))
-    names = numbered.select("job_id", F.col("dst").alias("filename"), "node").distinct()
-    return counts.join(names, "node").select("job_id", "filename", "dependents")
+    """Number of transitive dependents per file (files with at least one): bits are counted."""
+    nodes = _nodes(edges)
+    bits = _without_self(reach_bits(_numbered(edges, nodes)))
+    counts = bits.groupBy(*NODE).agg(F.sum(F.bit_count("bits")).cast("bigint").alias("dependents"))
+    return counts.join(nodes, NODE).select("job_id", "filename", "dependents")
 
 
 def impact_scores(files: DataFrame, edges: DataFrame) -> DataFrame:

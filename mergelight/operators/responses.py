@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from mergelight import fixed
 from mergelight.functions.files import file_purpose
 from mergelight.functions.findings import (
-    MODEL_POSITION,
-    finding_seq,
+    MODEL_ITEMS,
+    finding_order,
     passes_confidence,
     severity_at_most_medium,
 )
@@ -126,13 +128,16 @@ def coverage_prompts(files: DataFrame, functions: DataFrame, tests: DataFrame) -
 
 def score_with_model(
     prompts: DataFrame, model: Callable[[list[str]], list[str]], text: str = "prompt",
-    output: str = "response", batch_rows: int = 64,
+    output: str = "response", batch_rows: int = 64, in_flight: int = fixed.CALLS_IN_FLIGHT,
 ) -> DataFrame:
     """Send prompts to a caller-supplied function, at most ``batch_rows`` at a time, near the data.
 
-    The prompts of a batch that fails, or that gets another number of answers, are sent once
-    more, one by one.  A prompt that fails alone gives a null response and the problem in
-    ``error``; all others go on.
+    A partition has ``in_flight`` calls open at most; answers come out in the order of the prompts,
+    and no more prompts are held than those in flight.  ``model`` is called from several threads.
+
+    A batch that fails, or that gets another number of answers, is halved and sent again, so
+    one bad prompt among n costs about 2 log2(n) calls more.  A prompt that fails alone gives a
+    null response and the problem in ``error``; all others go on.
     """
     schema = f"{prompts.drop(text)._jdf.schema().toDDL()}, {output} STRING, error STRING"
 
@@ -145,16 +150,26 @@ def score_with_model(
         except Exception as problem:  # any failure of the caller's function is a record
             if len(texts) == 1:
                 return [(None, f"{type(problem).__name__}: {problem}")]
-        return [answer for one in texts for answer in answers([one])]
+        half = len(texts) // 2
+        return answers(texts[:half]) + answers(texts[half:])
+
+    def answered(part: pd.DataFrame, call: Future) -> pd.DataFrame:
+        found = call.result()
+        return part.drop(columns=[text]).assign(
+            **{output: [a for a, _ in found], "error": [e for _, e in found]}
+        )
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low in range(0, len(batch), batch_rows):
-                part = batch.iloc[low : low + batch_rows]
-                found = answers(part[text].tolist())
-                yield part.drop(columns=[text]).assign(
-                    **{output: [a for a, _ in found], "error": [e for _, e in found]}
-                )
+        open_calls: deque[tuple[pd.DataFrame, Future]] = deque()
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                for low in range(0, len(batch), batch_rows):
+                    part = batch.iloc[low : low + batch_rows]
+                    if len(open_calls) >= in_flight:
+                        yield answered(*open_calls.popleft())
+                    open_calls.append((part, pool.submit(answers, part[text].tolist())))
+            while open_calls:
+                yield answered(*open_calls.popleft())
 
     return prompts.mapInPandas(ask, schema)
 
@@ -281,10 +296,10 @@ def response_findings(responses: DataFrame, parity: bool = True) -> DataFrame:
     agent_ord = F.array_position(
         F.array(*[F.lit(a) for a in fixed.AGENTS]), F.col("agent")
     ) - 1
-    place = F.lit(MODEL_POSITION) + F.coalesce("chunk_index", F.lit(0)) * (1 << 15) + F.col("item_ord")
-    return with_finding_defaults(
-        kept.withColumn("seq", finding_seq(agent_ord, F.col("file_ord"), place))
+    order = finding_order(
+        agent_ord, F.col("file_ord"), MODEL_ITEMS, F.coalesce("chunk_index", F.lit(0)), F.col("item_ord")
     )
+    return with_finding_defaults(kept.withColumn("seq", order))
 
 
 def rejected_responses(responses: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from mergelight import fixed
 from mergelight.functions.files import has_content
-from mergelight.functions.findings import finding_seq
+from mergelight.functions.findings import RULE_HITS, finding_order
 from mergelight.functions.text import contains_any, let, split_lines, starts_with_any, strip
 from mergelight.operators.findings import with_finding_defaults
 from mergelight.workers import UNREADABLE, import_targets, python_functions
@@ -92,10 +92,11 @@ def scan_security_rules(
     """Findings table of all rule hits in the ``content`` of ``files``."""
     hits = matching_rules(files, ["job_id", "ord", "filename"], rules=rules, parity=parity)
     line = strip(F.col("line"))
-    position = F.col("line_number") * 256 + F.col("rule_no")
     found = hits.select(
         "job_id",
-        finding_seq(agent_ord, F.col("ord"), position).alias("seq"),
+        finding_order(
+            agent_ord, F.col("ord"), RULE_HITS, F.col("line_number"), F.col("rule_no")
+        ).alias("seq"),
         F.lit(agent).alias("agent"),
         F.col("filename").alias("file_path"),
         "line_number",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelight import fixed
+from mergelight.functions.findings import finding_order
 from mergelight.operators import findings as of
 from mergelight.operators import ranking as rk
 from mergelight.operators import reports as rp
@@ -13,6 +14,8 @@ from mergelight.operators import responses as rs
 from mergelight.plans.adapters import view
 from mergelight.plans.catalog import query
 from mergelight.plans.queries_files import STOP, sql_case
+from mergelight.session import new_folder
+from mergelight.streaming import reviews as st
 
 RANK = "CASE severity " + " ".join(
     f"WHEN '{s}' THEN {n}" for n, s in enumerate(fixed.SEVERITIES)
@@ -124,6 +127,25 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     return of.dedup_stats(clustered(spark, d))
 
 
+@query(
+    "stream_merged_findings",
+    CLUSTERS + f"""SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY {RANK}, seq) AS rank, file_path, line_number,
+  severity, title, members, md5(description) AS description_md5 FROM merged""",
+)
+def stream_merged_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of all jobs in several micro-batches; each clusters anew what it touches."""
+    rows = findings(spark, d)
+    order = finding_order(0, F.lit(0), 0, F.col("seq"), 0)
+    source, store, done, state = (new_folder(spark, n) for n in ("stream", "store", "merged", "state"))
+    rows.withColumn("seq", order).repartition(3, "severity", "line_number").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    st.stream_merged_findings(stream, store, done, state).awaitTermination()
+    return st.read_merged_findings(spark, done).select(
+        "job_id", "rank", "file_path", "line_number", "severity", "title", "members",
+        F.md5("description").alias("description_md5"),
+    )
+
+
 COMMENT = f"""'**' || coalesce({sql_case('severity', fixed.SEVERITY_ICONS)}, '{fixed.DEFAULT_ICON}') || ' ' || severity || ': ' || title
   || '**' || chr(10) || chr(10) || description || chr(10) || chr(10) || '**Suggestion:** ' || suggestion
   || CASE WHEN fix_example <> '' THEN chr(10) || chr(10) || repeat(chr(96), 3) || chr(10) || fix_example || chr(10) || repeat(chr(96), 3) ELSE '' END
@@ -274,7 +296,7 @@ MAPPED_SQL = """mapped AS (SELECT job_id, seq, row_number() OVER (PARTITION BY j
 
 def mapped_comments(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "findings_v")
-    ranked = rk.bounded_rank(rows, "job_id", [], "seq", "rank")
+    ranked = rk.range_rank(rows, "job_id", ["seq"], "rank")
     return ranked.select(
         "job_id", "rank", F.col("file_path").alias("path"), F.col("line_number").alias("line"),
         F.col("description").alias("body"),
@@ -296,10 +318,14 @@ def additional_findings_section(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "review_payload",
     f"""WITH {MAPPED_SQL},
-parts AS (SELECT job_id, (rank - 1) // 1000 AS part, count(position) AS n_comments,
-    sum(position) AS position_sum, count(*) - count(position) AS n_unmapped FROM mapped GROUP BY 1, 2)
-SELECT job_id, part, 'sha-' || job_id AS commit_id, 'COMMENT' AS event, n_comments,
-  CAST(position_sum AS BIGINT) AS position_sum, part = 0 AS has_summary, n_unmapped > 0 AS has_section FROM parts""",
+texts AS (SELECT job_id, (rank - 1) // 1000 AS part, count(position) AS n_comments,
+    '[' || coalesce(string_agg('{{"path":"' || path || '","position":' || position || ',"body":"' || body || '"}}', ',' ORDER BY rank)
+      FILTER (position IS NOT NULL), '') || ']' AS comments,
+    '\\n\\n---\\n\\n**Additional findings:**\\n' || string_agg('\\n- **' || path || ':' || line || '** — ' || body || '\\n', '' ORDER BY rank)
+      FILTER (position IS NULL) AS section FROM mapped GROUP BY 1, 2)
+SELECT job_id, part, n_comments, md5('{{"commit_id":"sha-' || job_id || '","body":"' || CASE WHEN part = 0 THEN 'SUMMARY' ELSE '' END
+  || coalesce(section, '') || '","event":"' || CASE WHEN part = 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END
+  || '","comments":' || comments || '}}') AS payload_md5 FROM texts""",
 )
 def review_payload(spark: SparkSession, d: str) -> DataFrame:
     mapped = mapped_comments(spark, d)
@@ -307,22 +333,13 @@ def review_payload(spark: SparkSession, d: str) -> DataFrame:
     jobs = names.select("job_id", F.concat(F.lit("sha-"), "job_id").alias("head_sha"))
     summary = names.select(
         "job_id", F.lit("SUMMARY").alias("executive_summary"),
-        F.lit("COMMENT").alias("review_decision"),
+        F.lit("REQUEST_CHANGES").alias("review_decision"),
     )
     payloads = rp.review_payload(jobs, mapped, summary, comments_per_part=1000)
-    kind = (
-        "commit_id STRING, body STRING, event STRING, "
-        "comments ARRAY<STRUCT<path:STRING,position:INT,body:STRING>>"
-    )
-    read = payloads.select("job_id", "part", F.from_json("payload", kind).alias("p"))
-    return read.select(
-        "job_id", "part", "p.commit_id", "p.event",
-        F.size("p.comments").cast("bigint").alias("n_comments"),
-        F.aggregate(
-            "p.comments", F.lit(0).cast("bigint"), lambda a, c: a + c["position"]
-        ).alias("position_sum"),
-        F.col("p.body").startswith("SUMMARY").alias("has_summary"),
-        F.col("p.body").contains("**Additional findings:**").alias("has_section"),
+    return payloads.select(
+        "job_id", "part",
+        F.size(F.from_json("payload", "comments ARRAY<STRUCT<position: INT>>")["comments"]).cast("bigint").alias("n_comments"),
+        F.md5("payload").alias("payload_md5"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Queries: model responses, prompts, events, jobs, whole reviews."""
+"""Queries: model responses, prompts, events, jobs and their results."""
 
 from __future__ import annotations
 
@@ -13,8 +13,17 @@ from mergelight.operators import text as ot
 from mergelight.plans.adapters import table, view
 from mergelight.plans.catalog import query
 from mergelight.plans.queries_files import WS, sql_case
-from mergelight.plans.queries_text import function_files
-from mergelight.plans.review import review
+from mergelight.session import new_folder
+from mergelight.sources.writers import expire_job_results, read_job_results
+from mergelight.sources.writers import write_job_results as write_results
+from mergelight.streaming import reviews as st
+
+def as_stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
+    """Rows written to a few files and read as a stream, one file a micro-batch."""
+    path = new_folder(spark, "stream")
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
 # --- responses ---------------------------------------------------------------
 
@@ -259,8 +268,11 @@ def project_review_job(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_review_jobs", f"WITH {SIGNED} {PROJECTED} FROM reasoned WHERE reasoned.status = 'queued'")
 def stream_review_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Batch twin of the stream of review jobs."""
-    return _with_micros(oj.review_jobs(signed_events(spark, d), SECRET))
+    """The stream over all events, run to its end."""
+    out = new_folder(spark, "jobs")
+    events = as_stream(spark, signed_events(spark, d))
+    st.stream_review_jobs(events, SECRET, out, new_folder(spark, "state")).awaitTermination()
+    return _with_micros(spark.read.parquet(out))
 
 
 @query(
@@ -270,17 +282,34 @@ def stream_review_jobs(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT 'u' || user_id AS job_id, ts, event_type AS status, props AS result FROM events) GROUP BY job_id""",
 )
 def stream_job_status(spark: SparkSession, d: str) -> DataFrame:
-    """Batch twin of the stream of job states."""
+    """The keyed stream over all updates, some files a micro-batch, run to its end."""
     updates = table(spark, d, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job_id"), "ts",
         F.col("event_type").alias("status"), F.col("props").alias("result"),
     )
     micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
-    return oj.latest_job_status(updates).select(
+    out = new_folder(spark, "status")
+    st.stream_job_status(as_stream(spark, updates), out, new_folder(spark, "state")).awaitTermination()
+    return st.read_job_status(spark, out).select(
         "job_id", "status", "result", micros.alias("updated_us")
     )
 
 
+@query(
+    "latest_job_status",
+    """SELECT job_id, arg_max(status, (ts, status)) AS status, epoch_us(max(ts)) AS updated_us
+FROM (SELECT 'u' || user_id AS job_id, ts, event_type AS status FROM events) GROUP BY job_id""",
+)
+def latest_job_status(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a table of updates."""
+    updates = table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job_id"), "ts",
+        F.col("event_type").alias("status"), F.col("props").alias("result"),
+    )
+    micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
+    return oj.latest_job_status(updates).select("job_id", "status", micros.alias("updated_us"))
+
+
 @query(
     "jobs_with_results",
     """SELECT j.job_id, coalesce(r.status, 'unknown') AS status, r.critical_count
@@ -337,42 +366,39 @@ def call_rate_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "write_job_results",
-    """SELECT job_id FROM results_v WHERE created_at > TIMESTAMP '1999-01-10 12:00:00' - INTERVAL 1 DAY
-  AND created_at <= TIMESTAMP '1999-01-10 12:00:00'""",
+    """SELECT job_id, status, critical_count FROM results_v
+WHERE TIMESTAMP '1998-07-01' + INTERVAL 1 DAY * (day(created_at) - 1) > TIMESTAMP '1998-07-30 12:00:00'""",
 )
-def live_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results still kept at a moment: the read side of the result store."""
-    now = F.lit("1999-01-10 12:00:00").cast("timestamp")
-    done = view(spark, d, "results_v").withColumn("completed_at", F.col("created_at"))
-    return oj.live_results(done.filter(F.col("completed_at") <= now), now).select("job_id")
-
+def write_job_results(spark: SparkSession, d: str) -> DataFrame:
+    """All results, completed over a month, in two batches, one of them written twice.
 
-# --- whole reviews -----------------------------------------------------------
+    Old days expire, and the last one is read.
+    """
+    path = new_folder(spark, "results")
+    done = view(spark, d, "results_v")
+    completed = F.to_timestamp(F.date_add(F.lit("1998-07-01").cast("date"), F.dayofmonth("created_at") - 1))
+    for batch in (0, 1, 0):
+        write_results(done.filter(F.col("number") % 2 == batch), path, completed, str(batch))
+    expire_job_results(spark, path, "1998-07-31")
+    now = F.lit("1998-07-31 12:00:00").cast("timestamp")
+    return read_job_results(spark, path, now).select("job_id", "status", "critical_count")
 
 
-def review_jobs_of(files: DataFrame) -> DataFrame:
-    return files.select("job_id").distinct().select(
-        "job_id", F.concat(F.lit("org/"), "job_id").alias("repo"), F.lit(1).alias("pr_number"),
-        F.concat(F.lit("Change "), "job_id").alias("pr_title"), F.lit("head").alias("head_sha"),
+@query(
+    "model_error_isolation",
+    """SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN upper(p_name) END AS response,
+  CASE WHEN p_size % 7 = 0 THEN 'ValueError: no answer to ' || p_name END AS error FROM part""",
+)
+def model_error_isolation(spark: SparkSession, d: str) -> DataFrame:
+    """A prompt that fails loses its own answer only; the model is a fixed function."""
+    prompts = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.when(F.col("p_size") % 7 == 0, "!").otherwise(""), "p_name").alias("prompt")
     )
 
+    def model(texts: list[str]) -> list[str]:
+        for text in texts:
+            if text.startswith("!"):
+                raise ValueError(f"no answer to {text[1:]}")
+        return [text.upper() for text in texts]
 
-@query("review_summary")
-def review_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Whole review of the code and script views, one row per job."""
-    files = function_files(spark, d).withColumns({
-        "status": F.lit("modified"),
-        "ord": F.when(F.col("language") == "python", F.col("ord"))
-        .otherwise(F.col("ord") + 1_000_000),
-    })
-    done = review(review_jobs_of(files), files)
-    return done.summary.withColumn("agent_results", F.to_json("agent_results"))
-
-
-@query("review_findings")
-def review_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Merged and ranked findings of a whole review of the coverage view."""
-    files = view(spark, d, "cover_v")
-    return review(review_jobs_of(files), files).findings.select(
-        "job_id", "rank", "agent", "file_path", "line_number", "severity", "title"
-    )
+    return rs.score_with_model(prompts, model)

@@ -55,7 +55,7 @@ lines AS (SELECT job_id, ord, filename, unnest(range(1, len(ls) + 1)) AS line_nu
   FROM line_lists)"""
 
 
-def _rule_hit(number: int, pattern: str) -> str:
+def rule_hit_sql(number: int, pattern: str) -> str:
     if number == 11:
         loader = re2(r"(?is)yaml\.load\s*\([^)]*\)\s*,\s*Loader")
         plain = re2(r"(?is)yaml\.load\s*\([^)]*\)")
@@ -67,7 +67,7 @@ def _scan_sql(rules: list[ot.Rule]) -> str:
     hits = [
         f"""SELECT job_id, filename AS file_path, line_number, '{title}' AS title,
   '{severity}' AS severity, '{category}' AS category, trim(line, {WS}) AS shown
-FROM lines WHERE {_rule_hit(number, pattern)}"""
+FROM lines WHERE {rule_hit_sql(number, pattern)}"""
         for number, pattern, title, severity, category in rules
     ]
     union = "\nUNION ALL\n".join(hits)
@@ -102,7 +102,7 @@ STREAMED = f"""scanned AS (SELECT job_id, ord, filename, content FROM files_v WH
     _scan_sql(ot.rules_for(parity=True)).replace(SCANNED, STREAMED),
 )
 def stream_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Batch twin of the stream of rule findings: filter, then scan."""
+    """Filter, then scan: what the stream of rule findings applies to each micro-batch."""
     files = of.analyzable_files(of.reviewable_files(view(spark, d, "files_v")))
     return ot.scan_security_rules(files).select(SCAN_COLUMNS)
 

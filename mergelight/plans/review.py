@@ -12,13 +12,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelight import fixed
 from mergelight.functions.files import is_security_sensitive
 from mergelight.functions.text import dirname
-from mergelight.operators.conventions import files_with_conventions
+from mergelight.operators.conventions import (
+    added_code_blocks,
+    convention_answers,
+    convention_prompt,
+    files_with_conventions,
+    fresh_conventions,
+    learn_conventions,
+    recent_merged_prs,
+    repos_to_refresh,
+)
 from mergelight.operators.coverage import (
     basic_coverage_findings,
     coverage_gaps,
@@ -36,6 +45,7 @@ from mergelight.operators.findings import (
     union_findings,
 )
 from mergelight.operators.graph import build_graph, impact_scores
+from mergelight.operators.ranking import range_rank
 from mergelight.operators.reports import review_comments, review_payload, review_summary
 from mergelight.operators.responses import (
     bug_prompts,
@@ -79,7 +89,11 @@ Detector = Callable[[ReviewInput], DataFrame | Found]
 
 @dataclass(frozen=True)
 class Review:
-    """Tables of finished reviews, all keyed by job."""
+    """Tables of finished reviews, all keyed by job.
+
+    ``failed`` has (job_id, agent, error) of every failure, ``learned`` the profiles by repo that
+    were not in the cache, for ``write_conventions``.
+    """
 
     order: DataFrame
     raw_findings: DataFrame
@@ -87,6 +101,8 @@ class Review:
     comments: DataFrame
     agent_runs: DataFrame
     summary: DataFrame
+    failed: DataFrame | None = None
+    learned: DataFrame | None = None
 
 
 def rule_detector(seen: ReviewInput) -> DataFrame:
@@ -106,6 +122,11 @@ def coverage_detector(seen: ReviewInput) -> DataFrame:
     return basic_coverage_findings(gaps)
 
 
+def _cut(files: DataFrame, limit: int) -> DataFrame:
+    """Content as far as a prompt shows it, so that no more of it travels."""
+    return files.withColumn("content", F.substring("content", 1, limit))
+
+
 def _answers(prompts: DataFrame, model: Model, agent: str) -> tuple[DataFrame, DataFrame]:
     """Ask the model once: its answers as the responses table, and failed prompts."""
     good, bad = split_errors(cut_lineage(score_with_model(prompts, model)))
@@ -157,7 +178,9 @@ def style_detector(model: Model) -> Detector:
                 "common_patterns": F.array().cast("array<string>"),
                 "anti_patterns": F.array().cast("array<string>"),
             })
-        sources = analyzable_files(seen.files).join(seen.jobs.select("job_id", "repo"), "job_id")
+        sources = _cut(analyzable_files(seen.files), fixed.PROMPT_CHARS["style"]).join(
+            seen.jobs.select("job_id", "repo"), "job_id"
+        )
         prompts = style_prompts(files_with_conventions(sources, conventions))
         answers, failed = _answers(prompts, model, "StyleAdvisor")
         return Found(response_findings(answers), failed)
@@ -172,9 +195,10 @@ def model_coverage_detector(model: Model) -> Detector:
         facts = cut_lineage(_ordered_facts(seen))
         texts = test_texts(seen.files)
         gaps = cut_lineage(coverage_gaps(facts, texts))
-        tests = tested_files(facts).join(texts, ["job_id", "test_filename"])
+        shown = texts.withColumn("test_content", F.substring("test_content", 1, fixed.PROMPT_TEST_CHARS))
+        tests = tested_files(facts).join(shown, ["job_id", "test_filename"])
         wanted = gaps.select("job_id", "ord", "filename").distinct()
-        sources = seen.files.drop("ord").join(wanted, ["job_id", "filename"])
+        sources = _cut(seen.files.drop("ord"), fixed.PROMPT_CHARS["coverage"]).join(wanted, ["job_id", "filename"])
         prompts = coverage_prompts(sources, _flat_functions(facts), tests)
         asked = cut_lineage(score_with_model(prompts, model))
         good, bad = split_errors(asked)
@@ -237,12 +261,50 @@ def merged_review_findings(raw_findings: DataFrame) -> DataFrame:
     return rank_findings(merge_findings(cluster_findings(raw_findings)))
 
 
+def repo_conventions(
+    repos: DataFrame, merged_prs: DataFrame, stored: DataFrame | None = None,
+    now: Column | None = None, model: Model | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all ``repos``, and those of them that had to be learned.
+
+    The newest stored profile counts while it is younger than a day at ``now``; other repos are
+    learned from their merged pull requests, with a model's description where one is given.
+    A repo without merged pull requests has the defaults; an answer that fails costs its own
+    repo the model's part only.
+    """
+    names = [*fixed.CONVENTION_DEFAULTS, "common_patterns", "anti_patterns"]
+    wanted = repos.select("repo").distinct()
+    if stored is None:
+        missing, fresh = cut_lineage(wanted), None
+    else:
+        missing = cut_lineage(repos_to_refresh(wanted, stored, now))
+        known = fresh_conventions(stored, now)
+        fresh = files_with_conventions(known.join(wanted, "repo", "left_semi").select("repo"), known)
+    prs = merged_prs.join(missing, "repo", "left_semi")
+    described = None
+    if model is not None:
+        prompts = convention_prompt(added_code_blocks(recent_merged_prs(prs))).select("repo", "prompt")
+        described = convention_answers(cut_lineage(score_with_model(prompts, model, batch_rows=1)))
+    learned = cut_lineage(learn_conventions(missing, prs, described))
+    profiles = learned if fresh is None else learned.unionByName(fresh.select("repo", *names))
+    return profiles, learned
+
+
 def review(
     jobs: DataFrame, files: DataFrame, conventions: DataFrame | None = None,
-    detectors: dict[str, Detector] | None = None,
+    detectors: dict[str, Detector] | None = None, merged_prs: DataFrame | None = None,
+    now: Column | None = None, model: Model | None = None,
 ) -> Review:
-    """Review every job: ``jobs`` (schemas.JOBS) and their changed ``files`` (schemas.FILES)."""
-    detectors = detectors or default_detectors()
+    """Review every job: ``jobs`` (schemas.JOBS) and their changed ``files`` (schemas.FILES).
+
+    With ``merged_prs``, ``conventions`` is the cache of stored profiles at ``now``: repos
+    without a fresh one are learned (see ``repo_conventions``), and new profiles are in
+    ``learned``.  With a ``model`` all four agents run and conventions are described by it.
+    """
+    detectors = detectors or default_detectors(model)
+    learned = None
+    if merged_prs is not None:
+        conventions, learned = repo_conventions(jobs.select("repo"), merged_prs, conventions, now, model)
     kept = reviewable_files(files)
     facts = cut_lineage(file_facts(kept))
     edges = cut_lineage(build_graph(facts))
@@ -251,16 +313,18 @@ def review(
     seen = ReviewInput(kept, facts, order, edges, jobs, conventions)
     made = {name: detect(seen) for name, detect in detectors.items()}
     found = [f.findings if isinstance(f, Found) else f for f in made.values()]
-    raw = cut_lineage(resequence(union_findings(found), order))
+    raw = resequence(union_findings(found), order)
     merged = cut_lineage(merged_review_findings(raw))
     failed = [
         f.failed.select("job_id", F.lit(name).alias("agent"), "error")
         for name, f in made.items() if isinstance(f, Found)
     ]
-    runs = agent_runs(facts, list(detectors), reduce(DataFrame.unionByName, failed) if failed else None)
+    failures = reduce(DataFrame.unionByName, failed) if failed else None
+    runs = agent_runs(facts, list(detectors), failures)
     return Review(
         order=order, raw_findings=raw, findings=merged, comments=review_comments(merged),
         agent_runs=runs, summary=review_summary(jobs, names, raw, merged, runs),
+        failed=failures, learned=learned,
     )
 
 
@@ -271,21 +335,9 @@ def review_payloads(jobs: DataFrame, done: Review, diffs: DataFrame) -> DataFram
 
 
 def number_files(files: DataFrame) -> DataFrame:
-    """Add ``ord`` by folder and name: folder totals are summed up, files count per folder."""
-    placed = files.withColumn("_folder", dirname(F.col("filename")))
-    before = (
-        Window.partitionBy("job_id").orderBy("_folder")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    folders = placed.groupBy("job_id", "_folder").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = folders.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy("job_id", "_folder").orderBy("filename")
-    rows = placed.select("job_id", "_folder", "filename").withColumn(
-        "_row", F.row_number().over(inside)
-    )
-    numbered = rows.join(offsets, ["job_id", "_folder"]).select(
-        "job_id", "filename", (F.col("_offset") + F.col("_row")).cast("bigint").alias("ord")
-    )
+    """Add ``ord`` by folder and name; names only are sorted, content stays where it is."""
+    names = files.select("job_id", "filename", dirname(F.col("filename")).alias("_folder"))
+    numbered = range_rank(names, "job_id", ["_folder", "filename"], "ord").drop("_folder")
     return files.join(numbered, ["job_id", "filename"])
 
 

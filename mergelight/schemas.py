@@ -4,6 +4,9 @@ FILES = (
     "job_id STRING, ord BIGINT, filename STRING, status STRING, additions INT, "
     "deletions INT, patch STRING, content STRING, language STRING, impact_score DOUBLE"
 )
+# Where a finding stands among those of its job, before they are numbered.
+FINDING_ORDER = "STRUCT<agent: INT, file: BIGINT, kind: INT, place: BIGINT, item: BIGINT>"
+# ``seq`` is a FINDING_ORDER in tables of detectors and a number in tables of whole jobs.
 FINDINGS = (
     "job_id STRING, seq BIGINT, id STRING, agent STRING, file_path STRING, "
     "line_number BIGINT, end_line BIGINT, severity STRING, category STRING, title STRING, "

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, wherever it was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="mergelight-package-"), "mergelight.zip")
+    with zipfile.ZipFile(name, "w") as packed:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(name)  # from the driver's disk; executors fetch their own copy
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The store that Spark would read ``path`` from, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none where there is no folder."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return [found.getPath().getName() for found in system.listStatus(place)]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, True)

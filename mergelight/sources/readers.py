@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelight import fixed, schemas
 from mergelight.functions.files import pr_file_language
 from mergelight.functions.text import basename, lookup, split_lines, stem
+from mergelight.sources.code_tree import CodeTree
 
 
 def scan_code_files(spark: SparkSession, root: str, job_id: str = "local") -> DataFrame:
     """Source files below ``root`` as a file table.
 
-    Name and folder are filtered on metadata columns before any content is read; texts
-    that are not UTF-8 or too long are left out.  Line ends are unified as text mode does.
+    Listing leaves out pruned folders unopened, other endings, and files with more bytes than the
+    longest text can have; what is left is read in tasks of bounded size.  Texts that are not
+    UTF-8 or too long are left out.  Line ends are unified as text mode does.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = system.makeQualified(place).toString().rstrip("/") + "/"
+    if ":" not in root:
+        root = os.path.abspath(root)
+    spark.dataSource.register(CodeTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{py,js,ts}")
-        .load(root)
-    )
-    relative = F.substring("path", len(base) + 1, 2**31 - 1)
-    pruned = "|".join(name.replace(".", r"\.") for name in fixed.SCAN_PRUNED_DIRS)
-    extension = F.substring(
-        basename(F.col("filename")), F.length(stem(F.col("filename"))) + 1, F.lit(2**31 - 1)
-    )
-    named = raw.withColumn("filename", relative).withColumn(
-        "language", lookup(extension, fixed.SCAN_LANGUAGE)
+        spark.read.format("code_tree").option("extensions", ",".join(fixed.SCAN_LANGUAGE))
+        .option("pruned", ",".join(fixed.SCAN_PRUNED_DIRS)).load(root)
+        .filter(F.col("size") <= 4 * fixed.MAX_FILE_CHARS)  # a character has four bytes at most
     )
-    kept = named.filter(
-        F.col("language").isNotNull() & ~F.col("filename").rlike(rf"(\A|/)({pruned})/")
+    name = basename(F.col("filename"))
+    extension = F.substring(name, F.length(stem(F.col("filename"))) + 1, F.lit(2**31 - 1))
+    kept = raw.withColumn("language", lookup(extension, fixed.SCAN_LANGUAGE)).filter(
+        F.col("language").isNotNull()
     )
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
     texts = kept.select(
@@ -91,6 +89,25 @@ def read_pr_diffs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(name.alias("job_id"), F.col("value").alias("diff"))
 
 
+def read_diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Diff files line by line: (job_id, block, at, value) for ``parse_diff_lines``.
+
+    Files are split among tasks; ``block`` is where a split begins and ``at`` counts within it.  A
+    file that ends with a line feed has an empty last line, as its text has.
+    """
+    found = spark.read.option("lineSep", "\n").text(path).select(
+        F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("job_id"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        "value", F.col("_metadata.file_size").alias("size"),
+    )
+    bytes_ = F.sum(F.octet_length("value").cast("bigint") + 1)
+    ended = found.groupBy("job_id").agg(bytes_.alias("bytes"), F.max("size").alias("size")).filter("bytes = size")
+    last = ended.select(
+        "job_id", F.col("size").alias("block"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("value")
+    )
+    return found.drop("size").unionByName(last)
+
+
 def read_merged_prs(spark: SparkSession, path: str) -> DataFrame:
     """Exported closed pull requests (JSON lines or Parquet by file ending)."""
     reader = spark.read.schema(schemas.MERGED_PRS)

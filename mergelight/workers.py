@@ -9,6 +9,7 @@ import ast
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -174,4 +175,27 @@ def fold_blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Re
         yield out.filter(pc.invert(batch["foreign"]))
 
 
+def number_sorted(
+    batches: Iterator[pa.RecordBatch], key: str, offsets: dict[int, int]
+) -> Iterator[pa.RecordBatch]:
+    """Number the rows of each key from 1; rows come sorted, ``offsets`` has what lies before a part."""
+    last, count = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is None:
+            last, count = (batch[key][0].as_py(),), offsets.get(batch["_part"][0].as_py(), 0)
+        codes = batch[key].dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(codes)))
+        numbers = np.arange(1, len(codes) + 1) - np.repeat(starts, sizes)
+        if batch[key][0].as_py() == last[0]:
+            numbers[: sizes[0]] += count
+        last, count = (batch[key][-1].as_py(),), int(numbers[-1])
+        names = [name for name in batch.schema.names if name != "_part"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch[name] for name in names], pa.array(numbers, pa.int64())], names=[*names, "number"]
+        )
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelight.operators import diffs as od
+from mergelight.sources import readers
 
 
 def brute_positions(text):
@@ -55,6 +56,36 @@ def test_positions_agree_with_brute_force(spark):
         assert got.get(n, {}) == brute_positions(text), text
 
 
+@pytest.mark.parametrize("parity, seed", [(True, 3), (False, 4)])
+def test_lines_in_blocks_give_what_whole_texts_give(spark, parity, seed):
+    rng = random.Random(seed)
+    texts = [random_diff(rng) for _ in range(120)] + ["", "diff --git a/é b/é\r\n@@ -1 +2 @@\n x\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "job_id bigint, diff string")
+    want = sorted(map(tuple, od.parse_diff(df, parity=parity).collect()))
+    rows = [(n, at // 4, at, line) for n, text in enumerate(texts) for at, line in enumerate(text.split("\n"))]
+    lines = spark.createDataFrame(rows, "job_id bigint, block bigint, at bigint, value string")
+    got = sorted(map(tuple, od.parse_diff_lines(lines, parity).collect()))
+    assert got == want
+
+
+def test_a_long_diff_file_is_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {f"d{n}": "\n".join(random_diff(rng) for _ in range(40)) + "\n" * (n % 2) for n in range(4)}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.diff").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = readers.read_diff_lines(spark, str(tmp_path))
+        blocks = lines.select("job_id", "block").distinct().count()
+        got = sorted(map(tuple, od.parse_diff_lines(lines).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = spark.createDataFrame(sorted(texts.items()), "job_id string, diff string")
+    assert blocks > 8 and got == sorted(map(tuple, od.parse_diff(whole).collect()))
+
+
 def test_hunks_only_mode(spark):
     text = ("diff --git a/b/x.py b/b/x.py\nindex 1\n--- a/b/x.py\n+++ b/b/x.py\n@@ -1 +5,2 @@\n keep\n"
             "--- gone\n+++ added\n\\ No newline at end of file\n@@ -9 +20 @@\n+last\n")

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelight.fixed import TITLE_STOP_WORDS
-from mergelight.functions.findings import agent_tag, format_finding
+from mergelight.functions.findings import MODEL_ITEMS, RULE_HITS, agent_tag, finding_order, format_finding
 from mergelight.operators import findings as of
 from mergelight.operators import ranking as rk
 from mergelight.operators import reports as rp
+from mergelight.operators.text import scan_security_rules
 
 KIND = ("job_id string, seq bigint, agent string, file_path string, line_number bigint, "
         "severity string, category string, title string, description string, suggestion string, "
@@ -110,16 +111,53 @@ def test_islands_cross_bucket_edges(spark):
     assert got == want
 
 
-def test_bounded_rank_equals_row_number(spark):
+@pytest.mark.parametrize("keys, parts", [("ab", 4), ("a", 7), ("abcdefgh", 3), ("ab", 1)])
+def test_range_rank_equals_row_number(spark, keys, parts):
     rng = random.Random(4)
-    rows = [(rng.choice("ab"), rng.randint(0, 3), n) for n in rng.sample(range(10_000), 500)]
-    df = spark.createDataFrame(rows, "k string, s int, n bigint")
-    got = rk.bounded_rank(df, "k", ["s"], "n", "r", bucket_size=64).collect()
+    rows = [(rng.choice([*keys, None]), rng.randint(0, 3), n) for n in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "k string, s int, n bigint").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = rk.range_rank(df, "k", [F.col("s").desc(), "n"], "r").collect()
+        none = rk.range_rank(df.limit(0), "k", ["n"], "r").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     want = {}
-    for key in "ab":
-        ordered = sorted((s, n) for k, s, n in rows if k == key)
+    for key in {k for k, *_ in rows}:
+        ordered = sorted((-s, n) for k, s, n in rows if k == key)
         want.update({(key, n): i for i, (_, n) in enumerate(ordered, start=1)})
-    assert {(r.k, r.n): r.r for r in got} == want
+    assert {(r.k, r.n): r.r for r in got} == want and none == 0
+
+
+def test_rank_of_one_huge_job(spark):
+    """All rows of one job: every partition begins where the last one ends."""
+    df = spark.range(1_000_000).select(F.lit("j").alias("k"), (F.col("id") * 7 % 1_000_003).alias("n"))
+    ranked = rk.range_rank(df, "k", ["n"], "r")
+    off = ranked.selectExpr("n", "r", "row_number() over (order by n) as want").filter("r <> want")
+    assert off.isEmpty() and ranked.agg(F.max("r")).first()[0] == 1_000_000
+
+
+def test_islands_of_many_rows_on_few_lines(spark):
+    df = spark.createDataFrame([("f", n % 5 * 3, n) for n in range(200)], "k string, line bigint, x int")
+    got = rk.line_islands(df, ["k"], "line", 3)
+    assert got.count() == 200 and {r.island for r in got.collect()} == {0}
+
+
+def test_finding_order_has_no_upper_ends(spark):
+    """Rule 300, ten agents and 40,000 entries of one answer: all stand in order."""
+    lit = F.lit
+    parts = [
+        spark.range(40_000).select(finding_order(2, lit(1), MODEL_ITEMS, lit(0), F.col("id")).alias("seq"), "id"),
+        spark.range(10).select(finding_order(F.col("id"), lit(0), RULE_HITS, lit(600_000), lit(300)).alias("seq"),
+                               (F.col("id") * 100_000).alias("id")),
+        spark.range(3).select(finding_order(2, lit(1), RULE_HITS, lit(2**40), 255 + F.col("id")).alias("seq"),
+                              (-1 - F.col("id")).alias("id")),
+    ]
+    rows = of.union_findings(parts).withColumns({"job_id": lit("j"), "agent": lit("A")})
+    rows = rows.withColumn("id", F.format_string("%012d", F.col("id")))
+    got = of.number_findings(rows).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, 40_014))
+    assert [int(r.id) for r in got] == [0, 100_000, 200_000, -1, -2, -3, *range(40_000), *range(300_000, 1_000_000, 100_000)]
 
 
 def test_merge_takes_best_and_keeps_all_text(spark):
@@ -141,14 +179,30 @@ def test_merge_takes_best_and_keeps_all_text(spark):
 
 
 def test_one_place_holding_most_findings(spark):
-    """Copies of one finding over several stretches of numbers become one whole finding."""
-    step = 1 << 14
-    rows = [finding(n * step, 7, agent=f"A{n % 3}", suggestion=f"s{n % 4}") for n in range(40)]
-    rows += [finding(41 * step + n, 100 + 9 * n) for n in range(10)]
-    merged = of.merge_findings(of.cluster_findings(table(spark, rows))).orderBy("seq").collect()
+    """Copies of one finding over several parts become one whole finding."""
+    rows = [finding(n, 7, agent=f"A{n % 3}", suggestion=f"s{n % 4}") for n in range(40)]
+    rows += [finding(41 + n, 100 + 9 * n) for n in range(10)]
+    clustered = of.cluster_findings(table(spark, rows))
+    merged = of.merge_findings(clustered, part_size=16).orderBy("seq").collect()
     assert [r.members for r in merged] == [40] + [1] * 10
-    assert merged[0].description == "\n\n".join(f"**A{n % 3}**: d{n * step}" for n in range(40))
+    assert merged[0].description == "\n\n".join(f"**A{n % 3}**: d{n}" for n in range(40))
     assert merged[0].suggestion == "s0 | s1 | s2 | s3" and merged[0].contributing_agents == ["A0", "A1", "A2"]
+    parts = of.merged_parts(of.cluster_members(clustered), part_size=16).filter("seq = 0").orderBy("part").collect()
+    assert [(r.part, r.text.count("**: "), r.advice) for r in parts] == [
+        (0, 16, "s0 | s1 | s2 | s3"), (16, 16, None), (32, 8, None)]
+
+
+def test_a_cluster_of_very_many_members_is_no_single_row(spark):
+    rows = spark.range(1_000_000).select(
+        F.lit("j").alias("job_id"), F.col("id").alias("seq"), F.lit("A").alias("agent"), F.lit("f").alias("file_path"),
+        F.lit(3).cast("bigint").alias("line_number"), F.lit("c").alias("category"), F.lit("t").alias("title"),
+        F.lit("LOW").alias("severity"), F.lit("x").alias("description"), F.lit("s").alias("suggestion"))
+    clustered = of.cluster_findings(of.with_finding_defaults(rows))
+    heads = of.merged_heads(clustered).collect()
+    assert [(r.seq, r.members, r.description) for r in heads] == [(0, 1_000_000, "x")]
+    parts = of.merged_parts(of.cluster_members(clustered))
+    assert parts.count() == -(-1_000_000 // of.PART_SIZE)
+    assert parts.agg(F.max(F.length("text"))).first()[0] < 12 * of.PART_SIZE
 
 
 def test_decisions(spark):
@@ -224,8 +278,8 @@ def test_a_single_finding_keeps_its_empty_texts(spark):
 
 
 def test_a_name_listed_twice_gives_its_findings_once(spark):
-    found = table(spark, [finding(1, 10)])
-    name = found.first().file_path
-    order = spark.createDataFrame([("j", name, 4), ("j", name, 2)], "job_id string, filename string, review_ord bigint")
-    order = order.withColumn("job_id", F.lit(found.first().job_id))
-    assert of.resequence(found, order).count() == 1
+    files = spark.createDataFrame([("j", 1, "f.py", "exec(y)\nexec(z)", "python")],
+                                  "job_id string, ord bigint, filename string, content string, language string")
+    found = scan_security_rules(files)
+    order = spark.createDataFrame([("j", "f.py", 4), ("j", "f.py", 2)], "job_id string, filename string, review_ord bigint")
+    assert [r.seq for r in of.resequence(found, order).collect()] == [1, 2]

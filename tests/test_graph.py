@@ -71,6 +71,46 @@ def test_impact_with_cycles_and_chains(spark):
     assert ordered == sorted(nodes + ["alone"], key=lambda n: -len(reach.get(n, ())))
 
 
+def brute_counts(pairs):
+    """Dependents per node by a search from each node against the edges."""
+    back = {}
+    for a, b in pairs:
+        back.setdefault(b, set()).add(a)
+    counts = {}
+    for n in back:
+        seen, stack = set(), [n]
+        while stack:
+            for a in back.get(stack.pop(), ()):
+                if a not in seen:
+                    seen.add(a)
+                    stack.append(a)
+        counts[n] = len(seen - {n})
+    return {n: c for n, c in counts.items() if c}
+
+
+def counts_of(spark, pairs):
+    edges = spark.createDataFrame([("j", a, b) for a, b in pairs], "job_id string, src string, dst string")
+    return {r.filename: r.dependents for r in og.dependent_counts(edges).collect()}
+
+
+@pytest.mark.parametrize("pairs", [
+    [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)],  # a chain
+    [(f"n{i:03}", f"n{(i + 1) % 90:03}") for i in range(90)],  # a cycle
+    [(f"n{i:03}", "hub") for i in range(300)] + [("hub", f"m{i:03}") for i in range(100)],  # a hub
+    [(f"n{i:03}", f"n{(i + 1) % 30:03}") for i in range(30)] + [("n007", "x"), ("x", "y"), ("y", "x"), ("a", "n003")],
+])
+def test_counts_of_chains_cycles_and_hubs(spark, pairs):
+    assert counts_of(spark, pairs) == brute_counts(pairs)
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_counts_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = sorted({(f"f{rng.randrange(150)}", f"f{rng.randrange(150)}") for _ in range(60 * seed)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    assert counts_of(spark, pairs) == brute_counts(pairs)
+
+
 def test_jobs_do_not_mix(spark):
     files = names(spark, ["a.py", "b.py"], "j").union(names(spark, ["a.py"], "k"))
     imports = spark.createDataFrame([("j", "a.py", "b"), ("k", "a.py", "b")],

@@ -1,20 +1,24 @@
 """Events, signatures, job tables and their streams."""
 
+import collections
 import datetime as dt
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from mergelight import schemas
+from mergelight import fixed, schemas
 from mergelight.functions.signature import hmac_sha256
 from mergelight.functions.text import time_ago
+from mergelight.operators import findings as of
 from mergelight.operators import jobs as oj
 from mergelight.operators import text as ot
-from mergelight.sources import readers
+from mergelight.sources import readers, writers
 from mergelight.streaming import reviews as st
+from mergelight.streaming.processors import STATUS_OUT
 
 START = dt.datetime(2024, 5, 1)
 
@@ -95,15 +99,43 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(out).select(batch.columns).collect()) == sorted(batch.collect())
 
 
-def test_status_stream_equals_batch(spark, tmp_path):
-    rows = [(f"j{n % 3}", START + dt.timedelta(seconds=n), f"s{n}", f"r{n}") for n in range(12)]
-    kind = "job_id string, ts timestamp, status string, result string"
-    source = str(tmp_path / "in")
-    updates = spark.createDataFrame(rows, kind)
-    updates.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
-    st.stream_job_status(stream, "job_states", str(tmp_path / "c")).awaitTermination()
-    assert sorted(spark.table("job_states").collect()) == sorted(oj.latest_job_status(updates).collect())
+UPDATES = "job_id string, ts timestamp, status string, result string"
+
+
+def test_status_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Late updates change nothing, a second run continues, a repeated batch writes the same."""
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    rng = random.Random(1)
+    rows = [(f"j{rng.randrange(5)}", START + dt.timedelta(seconds=rng.randrange(40)), f"s{n}", f"r{n}") for n in range(60)]
+    rows += [("null", None, "s", None), ("j0", None, None, "late")]
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, UPDATES).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(UPDATES).option("maxFilesPerTrigger", 1).parquet(source)
+        st.stream_job_status(stream, out, check).awaitTermination()
+    got = sorted(st.read_job_status(spark, out).collect())
+    assert got == sorted(oj.latest_job_status(spark.createDataFrame(rows, UPDATES)).collect())
+    last = spark.read.parquet(out).filter("batch = 0").drop("batch").collect()
+    writers.write_batch(spark.createDataFrame(last, STATUS_OUT), out, 0)
+    assert sorted(st.read_job_status(spark, out).collect()) == got
+
+
+def test_a_redelivered_event_is_queued_once_where_asked_for(spark, tmp_path):
+    body = json.dumps({"action": "opened", "pull_request": {"number": 7, "head": {"sha": "h"}}, "repository": {"full_name": "o/r"}})
+    other = body.replace('"h"', '"h2"')
+    at = [START, START + dt.timedelta(minutes=1), START + dt.timedelta(minutes=2), START + dt.timedelta(hours=9)]
+    texts = [body, body, other, other.replace("h2", "h3")]
+    at.append(START)  # hours late
+    texts.append(body.replace('"h"', '"h9"'))
+    sign = lambda text: "sha256=" + hmac.new(b"k", text.encode(), hashlib.sha256).hexdigest()
+    rows = [(n, t, "pull_request", sign(x), x) for n, (t, x) in enumerate(zip(at, texts))]
+    for name, redelivery, want in (("on", "1 hour", {"h": 1, "h2": 1, "h3": 1}), ("off", None, {"h": 2, "h2": 1, "h3": 1, "h9": 1})):
+        source, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        for row in rows:  # a file each, in order
+            spark.createDataFrame([row], schemas.EVENTS).coalesce(1).write.mode("append").json(source)
+            stream = readers.stream_events(spark, source, 1)
+            st.stream_review_jobs(stream, "k", out, str(tmp_path / f"{name}-c"), redelivery).awaitTermination()
+        shas = collections.Counter(r.head_sha for r in spark.read.parquet(out).collect())
+        assert shas == want
 
 
 def test_file_stream_finds_what_the_batch_finds(spark, tmp_path):
@@ -114,20 +146,65 @@ def test_file_stream_finds_what_the_batch_finds(spark, tmp_path):
     st.stream_rule_findings(readers.stream_files(spark, source, 2), out, str(tmp_path / "c")).awaitTermination()
     batch = ot.scan_security_rules(files)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(r.id for r in batch.collect())
-    seen = []
-    stream = spark.readStream.schema(spark.read.parquet(out).schema).parquet(out)
-    st.stream_merged_findings(stream, lambda df, n: seen.extend(df.collect()), str(tmp_path / "m")).awaitTermination()
-    assert len(seen) == batch.count()
 
 
-def test_profile_stream_keeps_the_newest(spark, tmp_path):
-    source = str(tmp_path / "in")
+def test_findings_of_a_job_may_come_in_any_batches(spark, tmp_path):
+    """Two batches that meet on the same lines give what one batch gives."""
+    rng = random.Random(2)
+    lines = [(f"j{rng.randrange(2)}", rng.randrange(3), rng.choice([*range(1, 60), None]), rng.choice("pqr"),
+              rng.choice(["null check missing", "missing null check", "other thing", "sql query unsafe", "unsafe sql"]))
+             for _ in range(120)]
+    rows = [(job, f"f{file}", line, kind, title, rng.choice(fixed.SEVERITIES), f"d{n}", "s", rng.choice(["A", "B"]),
+             (rng.randrange(3), file, 0, line or 0, n)) for n, (job, file, line, kind, title) in enumerate(lines)]
+    kind = ("job_id string, file_path string, line_number bigint, category string, title string, severity string, "
+            f"description string, suggestion string, agent string, seq {schemas.FINDING_ORDER}")
+    found = of.with_finding_defaults(spark.createDataFrame(rows, kind))
+    schema = found.schema
+    all_rows = found.collect()
+    source, store, merged = (str(tmp_path / n) for n in ("in", "store", "merged"))
+    for part in (all_rows[:50], all_rows[50:51], all_rows[51:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        st.stream_merged_findings(stream, store, merged, str(tmp_path / "c")).awaitTermination()
+    names = ["job_id", "rank", "severity", "file_path", "line_number", "title", "description", "agent", "members"]
+    got = sorted((tuple(r) for r in st.read_merged_findings(spark, merged).select(*names).collect()), key=repr)
+    whole = of.rank_findings(of.merge_findings(of.cluster_findings(of.number_findings(found))))
+    assert got == sorted((tuple(r) for r in whole.select(*names).collect()), key=repr)
+    st.merge_batch(spark, store, merged, 1)  # a batch that runs again
+    again = st.read_merged_findings(spark, merged).select(*names).collect()
+    assert sorted(map(tuple, again), key=repr) == got
+
+
+def test_an_expired_profile_is_refreshed_once(spark, tmp_path):
+    """Two stored profiles of a repo leave one timer; the time is that of the profiles."""
+    source, check, seen = str(tmp_path / "in"), str(tmp_path / "c"), []
+    day = dt.timedelta(days=1)
     kind = "repo string, naming_style string, learned_at timestamp"
-    rows = [("r", "old", START), ("r", "new", START + dt.timedelta(days=1)), ("q", "only", START)]
-    spark.createDataFrame(rows, kind).repartition(3).write.parquet(source)
-    stream = spark.readStream.schema(kind).parquet(source)
-    st.stream_fresh_conventions(stream, "profiles", str(tmp_path / "c")).awaitTermination()
-    assert {r.repo: r.naming_style for r in spark.table("profiles").collect()} == {"r": "new", "q": "only"}
+    batches = [
+        [("r", "old", START), ("q", "only", START)], [("r", "new", START + day / 2)],
+        [("tick", "x", START + 1.2 * day)], [("tick", "x", START + 3 * day)], [("tock", "x", START + 9 * day)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).parquet(source)
+        st.stream_repos_to_refresh(stream, lambda df, n: seen.extend(df.collect()), check).awaitTermination()
+    assert sorted((r.repo, r.learned_at, r.expired_at) for r in seen) == [
+        ("q", START, START + day), ("r", START + day / 2, START + 1.5 * day), ("tick", START + 3 * day, START + 4 * day)]
+
+
+def test_result_store_is_idempotent_and_expires(spark, tmp_path):
+    out = str(tmp_path / "results")
+    rows = [(f"j{n}", START + dt.timedelta(hours=9 * n)) for n in range(12)]
+    for batch, part in (("a", rows[:7]), ("b", rows[7:]), ("a", rows[:7])):  # the first one comes twice
+        done = spark.createDataFrame(part, "job_id string, at timestamp")
+        writers.write_job_results(done, out, F.col("at"), batch)
+    assert sorted(r.job_id for r in spark.read.parquet(out).collect()) == sorted(j for j, _ in rows)
+    now = START + dt.timedelta(hours=9 * 11)
+    live = lambda: sorted(r.job_id for r in writers.read_job_results(spark, out, F.lit(now)).collect())
+    want = live()
+    assert want == ["j10", "j11", "j9"]
+    gone = writers.expire_job_results(spark, out, now.strftime("%Y-%m-%d"))
+    assert gone and live() == want and spark.read.parquet(out).count() < 12
 
 
 def test_calls_without_key_or_time_stay(spark):

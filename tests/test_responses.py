@@ -1,6 +1,7 @@
 """Model answers: fences, defaults, thresholds, broken entries, failing models."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,36 @@ def test_validation(spark):
     good, bad = rs.validate_findings(spark.createDataFrame(
         rows, "severity string, confidence double, line_number bigint, title string"))
     assert (good.count(), bad.count()) == (1, 4)
+
+
+def test_calls_are_in_flight_together_and_answers_in_order(spark):
+    prompts = spark.range(200).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")).coalesce(1)
+
+    def model(texts):
+        time.sleep(0.1)
+        if texts == ["p7"]:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    rs.score_with_model(prompts.limit(1), model).collect()  # starts the worker
+    started = time.perf_counter()
+    rows = rs.score_with_model(prompts, model, batch_rows=1).collect()
+    assert time.perf_counter() - started < 200 * 0.1 / 4
+    assert [r.id for r in rows] == list(range(200))
+    assert [(r.id, r.error) for r in rows if r.error] == [(7, "ValueError: no")]
+    assert all(r.response == f"P{r.id}" for r in rows if r.id != 7)
+
+
+def test_a_bad_prompt_costs_few_calls(spark, tmp_path):
+    prompts = spark.range(64).select("id", F.col("id").cast("string").alias("prompt")).coalesce(1)
+    log = str(tmp_path / "calls")
+
+    def model(texts):
+        with open(log, "a") as out:
+            out.write("x")
+        if "13" in texts:
+            raise ValueError("no")
+        return texts
+
+    rows = rs.score_with_model(prompts, model, in_flight=1).collect()
+    assert [r.id for r in rows if r.error] == [13] and len(open(log).read()) == 13

@@ -4,11 +4,15 @@ import base64
 import datetime as dt
 import json
 
+import pyarrow.fs
 from pyspark.sql import functions as F
 
-from mergelight import schemas
+from pyspark.sql.datasource import LessThanOrEqual
+
+from mergelight import fixed, schemas
 from mergelight.plans import review as pl
-from mergelight.sources import readers, writers
+from mergelight.sources import code_tree, readers, writers
+from mergelight.sources.code_tree import CodeTreeReader
 
 
 def make_tree(root):
@@ -149,3 +153,67 @@ def test_runs_are_those_of_the_given_detectors(spark):
     done = pl.review(jobs(spark, "a"), files, detectors={"SecurityScanner": pl.rule_detector})
     assert [(r.agent, r.files_analyzed, r.error) for r in done.agent_runs.collect()] == [("SecurityScanner", 1, None)]
     assert [r.agent for r in done.summary.first().agent_results] == ["SecurityScanner"]
+
+
+def test_pruned_folders_are_not_listed_and_large_files_not_read(spark, tmp_path, monkeypatch):
+    make_tree(tmp_path)
+    (tmp_path / "huge.py").write_bytes(b"x" * 2_000_001)
+    (tmp_path / "node_modules" / "deep").mkdir()
+    reader = CodeTreeReader(str(tmp_path), (".py", ".js", ".ts"), frozenset(fixed.SCAN_PRUNED_DIRS))
+    size, other = LessThanOrEqual(("size",), 2_000_000), LessThanOrEqual(("other",), 1)
+    assert list(reader.pushFilters([size, other])) == [other]
+    opened, selector = [], pyarrow.fs.FileSelector
+    monkeypatch.setattr(pyarrow.fs, "FileSelector", lambda folder: opened.append(folder) or selector(folder))
+    names = [name for name, _ in reader.listed()]
+    assert "big.py" in names and "huge.py" not in names and len(reader.partitions()) == 1
+    assert {str(folder)[len(str(tmp_path)):] for folder in opened} == {"", "/core", "/tests", "/web", "/venvx"}
+    assert readers.scan_code_files(spark, str(tmp_path)).count() == 5
+
+
+def test_code_tree_comes_in_bounded_partitions(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([(f"d{n % 7}/f{n}.py", "x" * n) for n in range(300)], "filename string, content string")
+    assert writers.write_code_tree(files.repartition(3), str(tmp_path)) == 300
+    monkeypatch.setattr(code_tree, "PARTITION_FILES", 20)
+    reader = CodeTreeReader(str(tmp_path), (".py",), frozenset())
+    parts = reader.partitions()
+    assert len(parts) == 15 and all(len(p.paths) <= 20 for p in parts)
+    found = readers.scan_code_files(spark, str(tmp_path)).collect()
+    assert {r.filename: r.content for r in found} == {r.filename: r.content for r in files.collect()}
+    assert readers.scan_code_files(spark, str(tmp_path / "d0")).count() == 43
+
+
+PRS = "repo string, number bigint, title string, updated_at timestamp, merged_at timestamp, diff string"
+
+
+def test_conventions_are_learned_and_cached(spark):
+    """A fresh profile is used, the others are learned with the model's part; failures cost that only."""
+    at = dt.datetime(2024, 1, 1)
+    added = "diff --git a/x.py b/x.py\n@@ -0,0 +1,3 @@\n+def getItem(a: int) -> int:\n+    return a + 1\n+\n"
+    prs = spark.createDataFrame(
+        [(f"o/{r}", 1, "t", at, at, added) for r in "abc"] + [("o/z", 1, "t", at, at, added)], PRS)
+    stored = spark.createDataFrame(
+        [("o/a", "PascalCase", True, True, "numpy", 9, False, False, "Test*", ["p"], [], at + dt.timedelta(hours=h))
+         for h in (1, 2)] + [("o/b", "old", True, True, "numpy", 9, False, False, "Test*", [], [], at - dt.timedelta(days=2))],
+        schemas.CONVENTIONS)
+
+    def model(prompts):
+        (prompt,) = prompts
+        if "conventions of o/c" in prompt:
+            raise RuntimeError("down")
+        return ['```json\n{"naming_style": "x", "test_naming_pattern": "Test*", "uses_black_formatting": true, '
+                '"max_function_length": "long", "common_patterns": ["one", "two"], "anti_patterns": 3}\n```']
+
+    repos = spark.createDataFrame([("o/a",), ("o/b",), ("o/c",), ("o/d",)], "repo string")
+    now = F.lit(at + dt.timedelta(hours=3))
+    profiles, learned = pl.repo_conventions(repos, prs, stored, now, model)
+    got = {r.repo: r for r in profiles.collect()}
+    assert sorted(got) == ["o/a", "o/b", "o/c", "o/d"] and sorted(r.repo for r in learned.collect()) == ["o/b", "o/c", "o/d"]
+    assert (got["o/a"].naming_style, got["o/a"].max_function_length) == ("PascalCase", 9)
+    b = got["o/b"]
+    assert (b.naming_style, b.test_naming_pattern, b.uses_black_formatting, b.common_patterns, b.anti_patterns) == (
+        "camelCase", "Test*", True, ["one", "two"], [])
+    assert (got["o/c"].naming_style, got["o/c"].test_naming_pattern, got["o/c"].common_patterns) == ("camelCase", "test_*", [])
+    assert got["o/d"].naming_style == "snake_case"
+    done = pl.review(jobs(spark, "a", "d"), changed(spark, [("a", 0, "x.py", "modified", "md5(x)")]),
+                     conventions=stored, merged_prs=prs, now=now)
+    assert [r.repo for r in done.learned.collect()] == ["o/d"] and done.findings.count() == 1
