@@ -40,11 +40,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from mergelight.llm.common import IdleTables, fresh_name, hex_sha256
 
 #: Moves over this many first bytes of a match are kept.
-KEPT_BYTES = 6
+KEPT_BYTES = 5
 #: Sizes of a worker's tables; they bound its memory and change no result.
 MOST_STATES = 100_000
 MOST_PAIRS = 300_000
-MOST_STRETCHES = 500_000
+MOST_STRETCHES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
