@@ -1,8 +1,10 @@
 """Sharding by minimax contiguous partition, with DataFrame operations only.
 
 Documents with equal texts are one atomic group; groups are ordered by their least document id
-and cut into contiguous shards so that the largest shard is as small as it can be: the smallest
-capacity for which a greedy walk needs no more shards than there are, found by binary search.
+and cut into contiguous shards at the smallest capacity for which a greedy walk needs no more
+shards than there are, found by binary search.  A group above the capacity is a shard of its own,
+still in its place, so a text with a third of all bytes doesn't decide how full the others
+may be; the largest shard is as small as it can be all the same.
 
 The walk needs prefix sums over all groups, so it runs on sums of ranges of ids.  A walk that may
 cut only between ranges gives a capacity that is surely enough; a walk that may cut ranges anywhere
@@ -11,9 +13,7 @@ are summed again, 64 times finer, down to single groups.  When they meet, that c
 minimum and the cuts between ranges keep to it.  The driver sees range sums, a few thousand in
 the first round and at most 64 for each place of a cut in later ones, never all groups.
 
-A group larger than an even share of what larger groups leave gets a shard of its own (there are
-fewer of these than shards): a text with a third of all bytes doesn't decide how full the other
-shards may be.  Rows find their group by a join that spreads heavy texts (see ``attach``).
+Rows find their group by a join that spreads heavy texts (see ``attach``).
 Slots count the rows of a shard in document order; rows are numbered in range partitions with
 offsets, so no task holds a whole shard.
 
@@ -56,7 +56,7 @@ class Piece:
 
 
 def whole_walk(pieces: list[Piece], capacity: int) -> list[int]:
-    """Starts of shards of a greedy walk that cuts between pieces; a piece alone may exceed."""
+    """Starts of shards of a greedy walk that cuts between pieces; a piece above the capacity is alone."""
     starts, held = [0], 0
     for i, piece in enumerate(pieces):
         if held and held + piece.size > capacity:
@@ -67,7 +67,10 @@ def whole_walk(pieces: list[Piece], capacity: int) -> list[int]:
 
 
 def loose_walk(pieces: list[Piece], capacity: int) -> list[int]:
-    """The same if pieces of several groups can be cut anywhere: no real walk needs fewer shards."""
+    """The same if pieces of several groups can be cut anywhere: no real walk needs fewer shards.
+
+    Pieces of several groups must hold none above the capacity.
+    """
     starts, held = [0], 0
     for i, piece in enumerate(pieces):
         left = piece.size
@@ -78,7 +81,7 @@ def loose_walk(pieces: list[Piece], capacity: int) -> list[int]:
             held += left
             continue
         while held + left > capacity:
-            left -= capacity - held
+            left -= min(left, max(0, capacity - held))
             starts.append(i)
             held = 0
         held += left
@@ -101,10 +104,13 @@ def minimax_cuts(pieces: list[Piece], shards: int, finer: Callable[[list[Piece]]
         return 0, []
     while True:
         total = sum(p.size for p in pieces)
-        bottom = max(-(-total // shards), max(p.largest for p in pieces))
-        fits = least(lambda c: max(p.size for p in pieces) <= c and len(whole_walk(pieces, c)) <= shards, bottom, total)
-        needed = least(lambda c: len(loose_walk(pieces, c)) <= shards, bottom, fits)
-        if needed == fits:
+        unsplit = [p for p in pieces if p.groups > 1]
+        several = max((p.size for p in unsplit), default=0)
+        low = max((p.largest for p in unsplit), default=1)
+        fits = least(lambda c: several <= c and len(whole_walk(pieces, c)) <= shards, 1, total)
+        needed = least(lambda c: len(loose_walk(pieces, c)) <= shards, min(low, fits), fits)
+        # below ``low`` a group would be a shard of its own, so pieces that hold such groups are split
+        if not unsplit or needed == fits > low:
             return fits, [pieces[i].low for i in whole_walk(pieces, fits)[1:]]
         # a walk's cut j lies between those of the slowest and the fastest walk
         slow, fast = whole_walk(pieces, needed), loose_walk(pieces, fits)
@@ -114,8 +120,10 @@ def minimax_cuts(pieces: list[Piece], shards: int, finer: Callable[[list[Piece]]
             b = fast[j] if j < len(fast) else len(pieces) - 1
             coarse.update(range(max(0, min(a, b) - 1), max(a, b) + 1))
         coarse.update(i for i, p in enumerate(pieces) if p.size > needed)
+        if needed == low:
+            coarse.update(i for i, p in enumerate(pieces) if p.largest == low)
         split = [pieces[i] for i in coarse if pieces[i].groups > 1]
-        if not split:
+        if not split:  # what is left unsplit decides nothing
             return fits, [pieces[i].low for i in whole_walk(pieces, fits)[1:]]
         kept = [p for i, p in enumerate(pieces) if i not in coarse or p.groups == 1]
         pieces = sorted(kept + finer(split), key=lambda p: p.low)
@@ -140,29 +148,19 @@ def finer_sums(units: DataFrame, pieces: list[Piece]) -> list[Piece]:
     return out
 
 
-def plan_shards(units: DataFrame, shards: int) -> tuple[int, list[int], list[int]]:
-    """Capacity, first keys of the contiguous shards after the first, and keys with an own shard."""
-    ends = units.agg(F.min("key"), F.max("key"), F.sum("size")).first()
+def plan_shards(units: DataFrame, shards: int) -> tuple[int, list[int]]:
+    """Least capacity, and the first key of each shard after the first."""
+    ends = units.agg(F.min("key"), F.max("key")).first()
     if ends[0] is None:
-        return 0, [], []
-    alone, rest, left = [], int(ends[2]), shards
-    for row in units.orderBy(F.desc("size"), "key").limit(shards).collect():
-        if left == 1 or row["size"] * left <= rest:
-            break
-        alone.append(row)
-        rest, left = rest - row["size"], left - 1
-    light = units.where(~F.col("key").isin([r.key for r in alone])) if alone else units
+        return 0, []
     shift = max(0, (int(ends[1]) - int(ends[0])).bit_length() - FIRST_BITS)
-    capacity, cuts = minimax_cuts(piece_sums(light, shift), left, lambda p: finer_sums(light, p))
-    return max([capacity, *(r["size"] for r in alone)]), cuts, [r.key for r in alone]
+    return minimax_cuts(piece_sums(units, shift), shards, lambda p: finer_sums(units, p))
 
 
-def shard_of(key: Column, cuts: list[int], alone: list[int]) -> Column:
+def shard_of(key: Column, cuts: list[int]) -> Column:
     place = F.lit(0)
     for cut in cuts:
         place = place + (key >= cut).cast("int")
-    for number, own in enumerate(alone, len(cuts) + 1):
-        place = F.when(key == own, number).otherwise(place)
     return place.cast("int")
 
 
@@ -195,8 +193,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.count("*").alias("n_rows"),
     ))
     units = cut_lineage(groups.groupBy("key").agg(F.sum("size").alias("size")))
-    _, cuts, alone = plan_shards(units, shards)
-    placed = groups.select("digest", shard_of(F.col("key"), cuts, alone).alias("shard"))
+    _, cuts = plan_shards(units, shards)
+    placed = groups.select("digest", shard_of(F.col("key"), cuts).alias("shard"))
     rows = attach(rows, placed, "digest", heavy_keys(groups, "digest"))
     return numbered(rows, "shard", ["doc_id", "digest"], "slot").drop("digest")
 
