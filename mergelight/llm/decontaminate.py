@@ -1,15 +1,19 @@
 """Benchmark decontamination by winnowing.
 
 A window is ``length`` consecutive words of an item; an item of fewer words (but not none) is one
-window of its own length.  Each window's fingerprint is the smallest hash of its ``gram``-word
-runs.  Documents select the same minima of the same sliding windows, so every span of ``length``
-words that a document shares with an item shares its fingerprint too.  Fingerprints are joined,
-and hits extended to the whole window, which must agree word for word.
+window of its own length.  Of every window the rightmost run of ``gram`` words with the least hash is
+selected; neighbouring windows mostly select the same one, so a text has about two records in
+``length - gram + 2`` words.  Documents and items select by the same rule, so a window that they share
+selects the same run in both, and every span of ``length`` words or more is found.
 
-A bitmap of fixed size over the items' fingerprints keeps other document windows off the shuffle.
+Selected runs of both sides are joined by their fingerprint (hash and window length).  A hit is
+extended to the left and to the right, word by word, as far as a window can reach, and counts if the
+words that agree make a window; then all of them are hit.
+
+A bitmap of fixed size over the items' fingerprints keeps other document runs off the shuffle.
 It lets a few more through, never fewer, and the join is exact, at any size of the benchmark.
-Document windows carry a salt, the (far smaller) item table is repeated for each salt: a passage
-that a third of all documents quote is spread.
+Fingerprints with more than 1/1000 of all document runs (fewer than 1000) are dealt to as many tasks
+as a shuffle has, and their item runs go to all of these.
 
 Defined results: a null or empty text has no words and is never contaminated; repeated rows
 (same id and text) give one row; rows that share an id but not the text give one row each; a
@@ -24,84 +28,173 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergelight.llm.common import FILTER_BITS, as_long, filter_bitmap, has_bits, hex_sha256, mixed, text_slices
-from mergelight.llm.words import gram_hashes, sliding_min, words_of
+from mergelight.llm.common import (
+    FILTER_BITS,
+    as_long,
+    filter_bitmap,
+    has_bits,
+    heavy_keys,
+    hex_sha256,
+    mixed,
+    text_slices,
+)
+from mergelight.llm.words import Words, gram_hashes, words_of
+from mergelight.session import cut_lineage
 
 LENGTH = 13
 GRAM = 5
-SALTS = 16
 
 
-def window_prints(hashes: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Fingerprint of every window of ``length`` words: the least hash of its runs."""
+def selected_runs(hashes: np.ndarray, text_of: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the selected runs of all windows within a text, and their fingerprints.
+
+    A run is selected if enough neighbours, larger to the right and not smaller to the left, make
+    a window with it.
+    """
     k = min(gram, length)
-    least = sliding_min(gram_hashes(hashes, k), length - k + 1)
-    return mixed(least + np.uint64(length))
+    width = length - k + 1  # runs in a window
+    runs = gram_hashes(hashes, k)
+    if not len(runs):
+        return np.zeros(0, np.int64), runs
+    of = text_of[: len(runs)]
+    whole = of == text_of[k - 1 :]
+    room = whole.astype(np.int64)
+    for side in (-1, 1):
+        alive = whole.copy()
+        for step in range(1, width):
+            here = slice(step, None) if side < 0 else slice(None, -step)
+            there = slice(None, -step) if side < 0 else slice(step, None)
+            more = np.zeros(len(runs), dtype=bool)
+            larger = runs[there] >= runs[here] if side < 0 else runs[there] > runs[here]
+            more[here] = larger & whole[there] & (of[there] == of[here])
+            alive &= more
+            room += alive
+    at = np.flatnonzero(whole & (room >= width))
+    return at, mixed(runs[at] + np.uint64(length))
+
+
+def context(words: Words, row: int, at: int, length: int, gram: int) -> tuple[list[str], str, list[str]]:
+    """Words before a run (the nearest first), the run, and words after it, as far as windows reach."""
+    k = min(gram, length)
+    low = max(int(words.first[row]), at - (length - k))
+    high = min(int(words.first[row + 1]), at + length)
+    single = [words.joined(i, 1) for i in range(low, high)]
+    return single[: at - low][::-1], " ".join(single[at - low : at - low + k]), single[at - low + k :]
+
+
+_RUN = "print long, n int, before array<string>, run string, after array<string>"
+_RUN_FIELDS = [("print", pa.int64()), ("n", pa.int32()), ("before", pa.list_(pa.string())), ("run", pa.string()),
+               ("after", pa.list_(pa.string()))]
 
 
-def item_windows(items: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Distinct (print, n, words, item_id) of all items."""
+def item_runs(items: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Distinct selected runs of all items, with their context and item."""
 
     def cut(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 words = words_of(part["text"])
                 hashes = words.hashes()
-                prints, sizes, texts, ids = [], [], [], []
+                found: list[tuple] = []
                 for row, item in enumerate(part["item_id"].to_pylist()):
-                    a, b = words.first[row], words.first[row + 1]
+                    a, b = int(words.first[row]), int(words.first[row + 1])
                     n = min(length, b - a)
                     if n == 0:
                         continue
-                    found = window_prints(hashes[a:b], n, gram)
-                    prints.extend(as_long(found).tolist())
-                    sizes.extend([int(n)] * len(found))
-                    texts.extend(words.joined(a + i, n) for i in range(len(found)))
-                    ids.extend([item] * len(found))
+                    at, prints = selected_runs(hashes[a:b], np.zeros(b - a, np.int64), n, gram)
+                    found += [(p, n, *context(words, row, a + i, n, gram), item)
+                              for i, p in zip(at.tolist(), as_long(prints).tolist(), strict=True)]
+                kinds = [*(kind for _, kind in _RUN_FIELDS), pa.int64()]
+                columns = zip(*found, strict=True) if found else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string()),
-                     pa.array(ids, pa.int64())],
-                    names=["print", "n", "words", "item_id"],
+                    [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                    names=[*(name for name, _ in _RUN_FIELDS), "item_id"],
                 )
 
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, "print long, n int, words string, item_id long").distinct()
+    return rows.mapInArrow(cut, f"{_RUN}, item_id long").distinct()
 
 
-_FOUND = "doc_id long, text_hash long, n_words long, windows array<struct<print:long,n:int,words:string,at:array<int>>>"
-
-
-def document_windows(docs: DataFrame, bitmap, lengths: list[int], gram: int = GRAM) -> DataFrame:
-    """One row per document row, with the distinct windows whose fingerprint passes the bitmap."""
+def document_runs(docs: DataFrame, bitmap, lengths: list[int], gram: int = GRAM) -> DataFrame:
+    """One row per document row, with the selected runs whose fingerprint passes the bitmap."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
+    kind = pa.list_(pa.struct([*_RUN_FIELDS, ("at", pa.int32())]))
 
     def scan(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 words = words_of(part["text"])
                 hashes, text_of = words.hashes(), words.text_of()
-                found: list[dict] = [{} for _ in range(part.num_rows)]
+                found: list[list] = [[] for _ in range(part.num_rows)]
                 for n in lengths:
-                    prints = window_prints(hashes, n, gram)
-                    whole = text_of[: len(prints)] == text_of[n - 1 :][: len(prints)]
-                    hits = np.flatnonzero(has_bits(bits.value, prints) & whole)
-                    for p in hits.tolist():
+                    at, prints = selected_runs(hashes, text_of, n, gram)
+                    passing = has_bits(bits.value, prints)
+                    for p, mark in zip(at[passing].tolist(), as_long(prints[passing]).tolist(), strict=True):
                         row = int(text_of[p])
-                        key = (int(as_long(prints[p : p + 1])[0]), n, words.joined(p, n))
-                        found[row].setdefault(key, []).append(p - int(words.first[row]))
-                windows = [[{"print": k[0], "n": k[1], "words": k[2], "at": at} for k, at in f.items()] for f in found]
-                kind = pa.list_(pa.struct([("print", pa.int64()), ("n", pa.int32()), ("words", pa.string()),
-                                           ("at", pa.list_(pa.int32()))]))
+                        before, run, after = context(words, row, p, n, gram)
+                        found[row].append({"print": mark, "n": n, "before": before, "run": run, "after": after,
+                                           "at": p - int(words.first[row])})
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text_hash"], pa.array(words.counts().astype(np.int64)),
-                     pa.array(windows, kind)],
-                    names=["doc_id", "text_hash", "n_words", "windows"],
+                    [part["doc_id"], part["text_hash"], pa.array(words.counts().astype(np.int64)), pa.array(found, kind)],
+                    names=["doc_id", "text_hash", "n_words", "runs"],
                 )
 
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash")
     )
-    return rows.mapInArrow(scan, _FOUND)
+    schema = ("doc_id long, text_hash long, n_words long, runs array<struct<print:long,n:int,before:array<string>,"
+              "run:string,after:array<string>,at:int>>")
+    return rows.mapInArrow(scan, schema)
+
+
+def agreeing(mine: list[str], theirs: list[str]) -> int:
+    """Words that agree from the start of two lists."""
+    for i, (a, b) in enumerate(zip(mine, theirs, strict=False)):
+        if a != b:
+            return i
+    return min(len(mine), len(theirs))
+
+
+def _extended(batches, gram: int):
+    """(doc_id, text_hash, item_id, a, b) of hits whose words agree over a window: words a to b."""
+    names = ["n", "run", "before", "after", "item_run", "item_before", "item_after", "at"]
+    for batch in batches:
+        keep, starts, ends = [], [], []
+        for row, (n, run, before, after, i_run, i_before, i_after, at) in enumerate(
+            zip(*(batch[c].to_pylist() for c in names), strict=True)
+        ):
+            if run == i_run:
+                k = min(gram, n)
+                left, right = agreeing(before, i_before), agreeing(after, i_after)
+                if left + k + right >= n:
+                    keep.append(row)
+                    starts.append(at - left)
+                    ends.append(at + k + right)
+        taken = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [taken["doc_id"], taken["text_hash"], taken["item_id"], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+            names=["doc_id", "text_hash", "item_id", "a", "b"],
+        )
+
+
+def hit_spans(seen: DataFrame, known: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Extended hits of document runs (rows of ``document_runs``) with item runs."""
+    spark = seen.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = cut_lineage(seen.select("doc_id", "text_hash", F.explode("runs").alias("r")).select("doc_id", "text_hash", "r.*"))
+    heavy = heavy_keys(runs.groupBy("print").agg(F.count("*").alias("n_rows")), "print")
+    heavy = F.broadcast(heavy.withColumn("repeats", F.lit(parts)))
+    own = F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.coalesce("repeats", F.lit(1))).cast("int")
+    runs = runs.join(heavy, "print", "left").withColumn("salt", own).drop("repeats")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("repeats", F.lit(1)) - 1)).alias("salt")
+    items = known.join(heavy, "print", "left").select(
+        "print", "n", "item_id", F.col("before").alias("item_before"), F.col("run").alias("item_run"),
+        F.col("after").alias("item_after"), copies,
+    )
+    met = runs.join(items, ["print", "n", "salt"]).select(
+        "doc_id", "text_hash", "item_id", "n", "at", "before", "run", "after", "item_before", "item_run", "item_after"
+    )
+    return met.mapInArrow(lambda batches: _extended(batches, gram), "doc_id long, text_hash long, item_id long, a long, b long")
 
 
 def contamination(
@@ -111,33 +204,24 @@ def contamination(
 
     Contaminated: some word is hit, and ``share`` times the hit words are all words or more.
     """
-    windows = item_windows(items, length, gram)
-    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # 1 .. length
-    bitmap = filter_bitmap(windows, "print") if lengths else np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    seen = document_windows(docs, bitmap, lengths, gram).select(
-        "doc_id", "text_hash", "n_words", F.explode_outer("windows").alias("w")
-    )
-    seen = seen.select(
-        "doc_id", "text_hash", "n_words", "w.at",
-        F.coalesce("w.n", F.lit(0)).alias("n"), F.coalesce("w.words", F.lit("")).alias("words"),
-        F.coalesce("w.print", F.xxhash64("doc_id", "text_hash")).alias("print"),
-        F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"),
+    known = cut_lineage(item_runs(items, length, gram))
+    lengths = sorted(r.n for r in known.select("n").distinct().collect())  # 1 .. length
+    bitmap = filter_bitmap(known, "print") if lengths else np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    seen = cut_lineage(document_runs(docs, bitmap, lengths, gram))
+    span = F.struct("a", "b")
+    hits = hit_spans(seen, known, gram).select(
+        "doc_id", "text_hash", F.lit(0).cast("long").alias("n_words"), "item_id", span.alias("span")
     )
-    known = windows.select(
-        "print", "n", "words", "item_id", F.lit(True).alias("known"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    rows = seen.select(
+        "doc_id", "text_hash", "n_words", F.lit(None).cast("long").alias("item_id"),
+        F.lit(None).cast("struct<a:long,b:long>").alias("span"),
     )
-    hits = seen.join(known, ["print", "n", "words", "salt"], "left")
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_set("item_id").alias("item_ids"),
-        F.collect_set(F.when(F.col("known"), F.struct("n", "at"))).alias("spans"),
+    per_doc = rows.unionByName(hits).groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.collect_set("item_id").alias("item_ids"), F.collect_set("span").alias("spans")
     )
     covered = F.expr("""
         aggregate(
-            array_sort(flatten(transform(spans, s -> transform(s.at, p ->
-                struct(cast(p as bigint) as a, cast(p + s.n as bigint) as b))))),
-            struct(0L as n, 0L as e),
+            array_sort(spans), struct(0L as n, 0L as e),
             (t, x) -> struct(t.n + greatest(0L, x.b - greatest(t.e, x.a)) as n, greatest(t.e, x.b) as e),
             t -> t.n)
     """)
