@@ -171,23 +171,49 @@ def test_stretches_are_encoded_as_whole_texts(spark):
             assert np.frombuffer(ids, own.kind).tolist() == tool.encode(text or "", add_special_tokens=False).ids
 
 
-def test_shards(docs, rows):
-    got = sharding.sharded(docs, 4).collect()
-    size, slots, of = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
-    texts = {r[0]: r[1] or "" for r in rows}
-    for r in got:
-        assert r["size"] == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
-        size[r.shard] += r["size"]
-        slots[r.shard].append(r.slot)
-        of[texts[r.doc_id]].add(r.shard)
-    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert all(len(s) == 1 for s in of.values())
+def minimax(sizes, shards):
+    """Least capacity of contiguous shards, trying all; a size above it is alone."""
+    def count(c):
+        n, held = 1, 0
+        for s in sizes:
+            if held and held + s > c:
+                n, held = n + 1, 0
+            held += s
+        return n
+
+    return next(c for c in range(1, sum(sizes) + 1) if count(c) <= shards)
+
+
+def test_shards(spark, docs, rows):
+    big = [(300 + i, "big " * 500, "en", "x", "y") for i in range(30)]
+    for some, shards in ((rows, 4), (rows + big, 7), (rows + rows[:5], 3)):
+        got = sharding.sharded(spark.createDataFrame(some, DOCS).repartition(3), shards).collect()
+        texts, keys = collections.defaultdict(set), {}
+        for i, t, *_ in some:
+            keys[t or ""] = min(keys.get(t or "", 2**62), -1 if i is None else i)
+            texts[i].add(t or "")
+        by_crc = {zlib.crc32(t.encode()): t for t in keys}
+        size, slots, of = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+        group_size = collections.Counter()
+        for r in got:
+            text = by_crc[r.text_crc32]
+            assert text in texts[r.doc_id] and r["size"] == len(text.encode()) + 1
+            size[r.shard] += r["size"]
+            slots[r.shard].append(r.slot)
+            of[keys[text]].add(r.shard)
+            group_size[keys[text]] += r["size"]
+        assert len(got) == len(some) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        in_order = [next(iter(of[k])) for k in sorted(of)]
+        assert all(len(s) == 1 for s in of.values()) and in_order == sorted(in_order) and in_order[-1] < shards
+        capacity = minimax([group_size[k] for k in sorted(of)], shards)
+        alone = {next(iter(of[k])) for k in of if group_size[k] > capacity}
+        assert all(n <= capacity or shard in alone for shard, n in size.items())
 
 
 def test_minimax_equals_brute_force():
-    for _ in range(200):
+    for _ in range(300):
         keys = sorted(RNG.sample(range(-500, 2000), RNG.randint(1, 60)))
-        sizes = [RNG.choice([1, 2, 5, RNG.randint(1, 300)]) for _ in keys]
+        sizes = [RNG.choice([1, 2, 5, RNG.randint(1, 300), RNG.choice([3, 5000])]) for _ in keys]
         shards = RNG.randint(1, 8)
 
         def sums(shift, inside=None):
@@ -200,13 +226,12 @@ def test_minimax_equals_brute_force():
         def finer(pieces):
             return [p for s in {p.shift for p in pieces} for p in sums(max(0, s - 3), [p for p in pieces if p.shift == s])]
 
-        single = [sharding.Piece(k, 0, s, s, 1) for k, s in zip(keys, sizes, strict=True)]
-        best = sharding.least(lambda c: len(sharding.whole_walk(single, c)) <= shards, max(sizes), sum(sizes))
+        best = minimax(sizes, shards)
         capacity, cuts = sharding.minimax_cuts(sums(9), shards, finer)
         held = collections.Counter()
         for k, s in zip(keys, sizes, strict=True):
             held[sum(k >= c for c in cuts)] += s
-        assert capacity == best and max(held.values()) <= best and len(cuts) < shards
+        assert capacity == best and max(held.values()) <= max(best, *sizes) and len(cuts) < shards
 
 
 def test_fingerprints(docs, rows):
