@@ -104,13 +104,13 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 def _numbered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(job_id, src, dst): distinct edges by number."""
+    """(job_id, src, dst): edges, which are distinct, by number."""
     src = nodes.select("job_id", F.col("filename").alias("src"), F.col("node").alias("src_node"))
     dst = nodes.select("job_id", F.col("filename").alias("dst"), F.col("node").alias("dst_node"))
     both = edges.join(src, ["job_id", "src"]).join(dst, ["job_id", "dst"]).filter("src_node <> dst_node")
     return cut_lineage(both.select(
         "job_id", F.col("src_node").alias("src"), F.col("dst_node").alias("dst")
-    ).distinct())
+    ))
 
 
 def _bit(node: str) -> list[Column]:
@@ -176,6 +176,7 @@ def transitive_dependents(edges: DataFrame) -> DataFrame:
     A file is never its own dependent.  The pairs are made here, from bits, for callers that ask
     for them; counts and impact don't list them.
     """
+    edges = cut_lineage(edges.select("job_id", "src", "dst").distinct())
     nodes = _nodes(edges)
     bits = _without_self(reach_bits(_numbered(edges, nodes)))
     places = F.filter(
@@ -193,6 +194,7 @@ def transitive_dependents(edges: DataFrame) -> DataFrame:
 
 def dependent_counts(edges: DataFrame) -> DataFrame:
     """Number of transitive dependents per file (files with at least one): bits are counted."""
+    edges = cut_lineage(edges.select("job_id", "src", "dst").distinct())
     nodes = _nodes(edges)
     bits = _without_self(reach_bits(_numbered(edges, nodes)))
     counts = bits.groupBy(*NODE).agg(F.sum(F.bit_count("bits")).cast("bigint").alias("dependents"))
