@@ -11,7 +11,7 @@ from mergelight.functions.findings import RULE_HITS, finding_order
 from mergelight.functions.text import capitalize, dirname, normalize_path, stem
 from mergelight.operators.findings import with_finding_defaults
 from mergelight.operators.text import file_facts
-from mergelight.session import cut_lineage
+from mergelight.session import by_merge, cut_lineage
 
 FILE = ["job_id", "ord"]
 
@@ -61,7 +61,7 @@ def _exact_matches(sources: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("job_id", "path").agg(F.min("ord").alias("test_ord"))
     )
     return (
-        _candidate_paths(sources).join(owners, ["job_id", "path"])
+        _candidate_paths(sources).join(by_merge(owners), ["job_id", "path"])
         .groupBy(*FILE).agg(F.min("test_ord").alias("exact_ord"))
     )
 
@@ -98,7 +98,7 @@ def _fallback_matches(sources: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("job_id", "name").agg(F.min("ord").alias("loose_ord"))
     )
     named = sources.select(*FILE, stem(F.col("filename")).alias("name"))
-    return named.join(owners, ["job_id", "name"]).select(*FILE, "loose_ord")
+    return named.join(by_merge(owners), ["job_id", "name"]).select(*FILE, "loose_ord")
 
 
 def match_test_files(files: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def match_test_files(files: DataFrame) -> DataFrame:
         )
         .groupBy(*FILE).agg(F.min("exact_ord").alias("exact"), F.min("loose_ord").alias("loose"))
     )
-    return sources.select(*FILE, "filename").join(found, FILE).select(
+    return sources.select(*FILE, "filename").join(by_merge(found), FILE).select(
         *FILE, "filename",
         F.coalesce("exact", "loose").alias("test_ord"),
         F.when(F.col("exact").isNotNull(), "exact").otherwise("contains").alias("match"),
@@ -135,7 +135,7 @@ def tested_files(names: DataFrame) -> DataFrame:
     filled = names.filter("has_content").select(
         "job_id", F.col("ord").alias("test_ord"), F.col("filename").alias("test_filename")
     )
-    return match_test_files(names).join(filled, ["job_id", "test_ord"]).select(
+    return match_test_files(names).join(by_merge(filled), ["job_id", "test_ord"]).select(
         *FILE, "test_filename"
     )
 
@@ -177,7 +177,8 @@ def untested_functions(
     tested = tested_files(file_names(files)) if tested is None else tested
     texts = test_texts(files) if texts is None else texts
     joined = (
-        _functions_per_file(functions).join(tested, FILE).join(texts, ["job_id", "test_filename"])
+        _functions_per_file(functions).join(by_merge(tested), FILE)
+        .join(by_merge(texts), ["job_id", "test_filename"])
     )
     missing = F.filter("functions", lambda f: ~has_test_case(f["name"], F.col("test_content")))
     return _flat_functions(joined, missing)
@@ -189,8 +190,8 @@ def functions_without_test_file(
     """Functions of source files without a test file, or with an empty one."""
     names = file_names(files)
     tested = tested_files(names) if tested is None else tested
-    alone = source_names(names).select(*FILE).join(tested, FILE, "left_anti")
-    per_file = _functions_per_file(functions).join(alone, FILE, "left_semi")
+    alone = source_names(names).select(*FILE).join(by_merge(tested), FILE, "left_anti")
+    per_file = _functions_per_file(functions).join(by_merge(alone), FILE, "left_semi")
     return _flat_functions(per_file, F.col("functions"))
 
 
