@@ -21,6 +21,7 @@ from mergelight.functions.findings import (
 from mergelight.functions.text import strip
 from mergelight.operators.findings import with_finding_defaults
 from mergelight.operators.text import chunks_of, functions_of
+from mergelight.session import by_merge
 
 FENCE = "```"
 TEXT_FIELDS = ["severity", "category", "title", "description", "suggestion"]
@@ -108,8 +109,8 @@ def style_prompts(files: DataFrame) -> DataFrame:
 def coverage_prompts(files: DataFrame, functions: DataFrame, tests: DataFrame) -> DataFrame:
     """One prompt per source file; ``tests`` gives test_filename and test_content, if any."""
     language = F.coalesce("language", F.lit("python"))
-    joined = files.join(_function_names(functions), ["job_id", "ord"]).join(
-        tests, ["job_id", "ord"], "left"
+    joined = files.join(by_merge(_function_names(functions)), ["job_id", "ord"]).join(
+        by_merge(tests), ["job_id", "ord"], "left"
     )
     tested = F.coalesce(F.col("test_content") != "", F.lit(False))
     test_part = F.when(

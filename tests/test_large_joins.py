@@ -1,6 +1,11 @@
 """Tables that grow with the input meet by a shuffle, however small the planner takes them to be."""
 
+from pyspark.sql import functions as F
+
 from mergelight.operators import coverage as ov
+from mergelight.operators import files as of
+from mergelight.operators import graph as og
+from mergelight.operators import responses as rs
 
 
 def plan(df):
@@ -33,3 +38,25 @@ def test_coverage_sends_no_table_through_the_driver(spark):
     assert [(r.ord, r.test_ord) for r in matched.collect()] == [(0, 2)]
     assert [r.name for r in alone.collect()] == ["walk"]
     assert untested.collect() == []
+
+
+def test_prompts_meet_texts_by_shuffle(spark):
+    files = code_files(spark)
+    tests = files.selectExpr("job_id", "ord", "'t.py' AS test_filename", "repeat('x', 5000) AS test_content").filter("ord = 0")
+    prompts = rs.coverage_prompts(files, functions(spark).drop("filename"), tests)
+    assert "Broadcast" not in plan(prompts)
+    assert {r.ord: r.has_test_file for r in prompts.collect()} == {0: True, 1: False}
+
+
+def test_import_graph_meets_by_shuffle(spark):
+    files = code_files(spark)
+    edges = og.build_graph(files)
+    assert "Broadcast" not in plan(edges)
+    assert [(r.src, r.dst) for r in edges.collect()] == [("pkg/a.py", "pkg/b.py")]
+    numbered = og._numbered(edges, og._nodes(edges))
+    bits = numbered.selectExpr("job_id", "dst AS node", "0 AS word", "1 AS bits")
+    assert "Broadcast" not in plan(og._sent(bits, numbered)) + plan(og._jumped(numbered))
+    scores = files.select("job_id", "filename").withColumn("impact_score", F.lit(0.5))
+    joined = of.attach_impact(files.select("job_id", "filename"), scores)
+    assert "Broadcast" not in plan(joined)
+    assert [r.impact_score for r in joined.collect()] == [0.5] * 3
