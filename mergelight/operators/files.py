@@ -12,6 +12,7 @@ from mergelight.functions.files import (
     review_reason,
 )
 from mergelight.operators.ranking import range_rank
+from mergelight.session import by_merge
 
 
 def with_review_reason(files: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def attach_impact(files: DataFrame, scores: DataFrame) -> DataFrame:
     known = scores.select("job_id", "filename", F.col("impact_score").alias("known_score"))
     return (
         files.drop("impact_score")
-        .join(known, ["job_id", "filename"], "left")
+        .join(by_merge(known), ["job_id", "filename"], "left")
         .withColumn("impact_score", F.coalesce(F.col("known_score"), F.lit(0.0)))
         .drop("known_score")
     )

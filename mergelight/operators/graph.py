@@ -9,7 +9,7 @@ from mergelight import fixed
 from mergelight.functions.text import dirname, join_path, normalize_path
 from mergelight.operators.ranking import range_rank
 from mergelight.operators.text import imports_of
-from mergelight.session import cut_lineage
+from mergelight.session import by_merge, cut_lineage
 
 
 def file_imports(files: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     )
     exact = names.select("job_id", F.col("filename").alias("import_path"), F.lit(True).alias("hit"))
     found = (
-        asked.join(exact, ["job_id", "import_path"], "left")
-        .join(import_targets(names), ["job_id", "base"], "left")
+        asked.join(by_merge(exact), ["job_id", "import_path"], "left")
+        .join(by_merge(import_targets(names)), ["job_id", "base"], "left")
         .withColumn("dst", F.when(F.col("hit"), raw).otherwise(F.col("dst")))
     )
     return found.filter(F.col("dst") != F.col("src")).select("job_id", "src", "dst").distinct()
@@ -107,7 +107,8 @@ def _numbered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(job_id, src, dst): edges, which are distinct, by number."""
     src = nodes.select("job_id", F.col("filename").alias("src"), F.col("node").alias("src_node"))
     dst = nodes.select("job_id", F.col("filename").alias("dst"), F.col("node").alias("dst_node"))
-    both = edges.join(src, ["job_id", "src"]).join(dst, ["job_id", "dst"]).filter("src_node <> dst_node")
+    both = edges.join(by_merge(src), ["job_id", "src"]).join(by_merge(dst), ["job_id", "dst"])
+    both = both.filter("src_node <> dst_node")
     return cut_lineage(both.select(
         "job_id", F.col("src_node").alias("src"), F.col("dst_node").alias("dst")
     ))
@@ -123,7 +124,7 @@ def _bit(node: str) -> list[Column]:
 
 def _sent(bits: DataFrame, along: DataFrame) -> DataFrame:
     """What the ends of edges learn: all that reaches their beginnings."""
-    return bits.withColumnRenamed("node", "src").join(along, ["job_id", "src"]).select(
+    return bits.withColumnRenamed("node", "src").join(by_merge(along), ["job_id", "src"]).select(
         "job_id", F.col("dst").alias("node"), "word", "bits"
     )
 
@@ -131,7 +132,7 @@ def _sent(bits: DataFrame, along: DataFrame) -> DataFrame:
 def _jumped(jumps: DataFrame) -> DataFrame:
     """Jump edges of double length: the origin of a jump's origin; nodes without one fall out."""
     first = jumps.select("job_id", F.col("dst").alias("src"), F.col("src").alias("origin"))
-    longer = jumps.join(first, ["job_id", "src"]).filter("origin <> dst")
+    longer = jumps.join(by_merge(first), ["job_id", "src"]).filter("origin <> dst")
     return longer.select("job_id", F.col("origin").alias("src"), "dst")
 
 
@@ -187,7 +188,7 @@ def transitive_dependents(edges: DataFrame) -> DataFrame:
     pairs = bits.select("job_id", "node", F.explode(importers).alias("importer"))
     target = nodes.select("job_id", "node", "filename")
     importer = nodes.select("job_id", F.col("node").alias("importer"), F.col("filename").alias("dependent"))
-    return pairs.join(target, NODE).join(importer, ["job_id", "importer"]).select(
+    return pairs.join(by_merge(target), NODE).join(by_merge(importer), ["job_id", "importer"]).select(
         "job_id", "filename", "dependent"
     )
 
@@ -198,7 +199,7 @@ def dependent_counts(edges: DataFrame) -> DataFrame:
     nodes = _nodes(edges)
     bits = _without_self(reach_bits(_numbered(edges, nodes)))
     counts = bits.groupBy(*NODE).agg(F.sum(F.bit_count("bits")).cast("bigint").alias("dependents"))
-    return counts.join(nodes, NODE).select("job_id", "filename", "dependents")
+    return counts.join(by_merge(nodes), NODE).select("job_id", "filename", "dependents")
 
 
 def impact_scores(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def impact_scores(files: DataFrame, edges: DataFrame) -> DataFrame:
     names = files.select("job_id", "filename").distinct()
     totals = names.groupBy("job_id").agg(F.count(F.lit(1)).alias("nodes"))
     return (
-        names.join(dependent_counts(edges), ["job_id", "filename"], "left")
+        names.join(by_merge(dependent_counts(edges)), ["job_id", "filename"], "left")
         .join(totals, "job_id")
         .select(
             "job_id", "filename",
