@@ -118,7 +118,8 @@ def call_rate_check(
     """Add ``calls_before`` (earlier calls in the last 60 seconds) and ``limited``.
 
     Calls are counted per key and microsecond first.  Counts are then cut in minutes, each
-    minute also seeing the one before, so a busy key is spread over many small windows.
+    minute also seeing the one before, so a busy key is spread over many small windows.  The calls
+    of a minute are a difference of two running sums, which each row adds to once.
     Calls without a key are those of one more key; a call without a time has none before it.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -127,11 +128,14 @@ def call_rate_check(
     spread = counted.select(
         key, "at", "n", F.explode(F.array(own, own + 1)).alias("minute")
     )
-    trailing = (
-        Window.partitionBy(key, "minute").orderBy("at").rangeBetween(-(CALL_WINDOW_MICROS - 1), -1)
-    )
+    along = Window.partitionBy(key, "minute").orderBy("at")
+
+    def calls_until(micros: int) -> Column:
+        up_to = along.rangeBetween(Window.unboundedPreceding, -micros)
+        return F.coalesce(F.sum("n").over(up_to), F.lit(0))
+
     rated = (
-        spread.withColumn("calls_before", F.coalesce(F.sum("n").over(trailing), F.lit(0)))
+        spread.withColumn("calls_before", calls_until(1) - calls_until(CALL_WINDOW_MICROS))
         .filter(F.col("minute") == own)
         .select(key, "at", "calls_before")
     )

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +223,16 @@ def test_the_result_completed_last_counts(spark):
         [("j", "failed", 1), ("j", "finished", 2)], "job_id string, status string, completed_at int")
     got = {(r.job_id, r.status) for r in oj.jobs_with_results(jobs, results).collect()}
     assert got == {("j", "finished"), ("k", "unknown")}
+
+
+def test_call_rate_windows_add_each_row_once(spark):
+    at = [0, 1, 1, 30_000_000, 59_999_999, 60_000_000, 60_000_001, 119_999_999, 200_000_000]
+    rows = [(i, k, t) for i, (k, t) in enumerate([("a", t) for t in at] + [(None, t) for t in at[3:7]])]
+    calls = spark.createDataFrame(rows, "id long, k string, micros long").selectExpr("id", "k", "timestamp_micros(micros) AS t")
+    rated = oj.call_rate_check(calls, "k", "t", limit=3)
+    plan = rated._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    want = {i: sum(kk == k and t - 60_000_000 < tt < t for _, kk, tt in rows) for i, k, t in rows}
+    assert {r.id: r.calls_before for r in rated.collect()} == want
+    assert {r.id for r in rated.collect() if r.limited} == {i for i, n in want.items() if n >= 3}
