@@ -57,7 +57,7 @@ from mergelight.operators.responses import (
     style_prompts,
 )
 from mergelight.operators.text import file_facts, scan_security_rules
-from mergelight.session import cut_lineage
+from mergelight.session import by_merge, cut_lineage
 from mergelight.sources.readers import scan_code_files
 
 Model = Callable[[list[str]], list[str]]
@@ -112,7 +112,7 @@ def rule_detector(seen: ReviewInput) -> DataFrame:
 def _ordered_facts(seen: ReviewInput) -> DataFrame:
     """Facts numbered by review order, since the first test file in that order counts."""
     order = seen.order.select("job_id", "filename", "review_ord")
-    return seen.facts.join(order, ["job_id", "filename"]).drop("ord").withColumnRenamed(
+    return seen.facts.join(by_merge(order), ["job_id", "filename"]).drop("ord").withColumnRenamed(
         "review_ord", "ord"
     )
 
@@ -196,9 +196,11 @@ def model_coverage_detector(model: Model) -> Detector:
         texts = test_texts(seen.files)
         gaps = cut_lineage(coverage_gaps(facts, texts))
         shown = texts.withColumn("test_content", F.substring("test_content", 1, fixed.PROMPT_TEST_CHARS))
-        tests = tested_files(facts).join(shown, ["job_id", "test_filename"])
+        tests = tested_files(facts).join(by_merge(shown), ["job_id", "test_filename"])
         wanted = gaps.select("job_id", "ord", "filename").distinct()
-        sources = _cut(seen.files.drop("ord"), fixed.PROMPT_CHARS["coverage"]).join(wanted, ["job_id", "filename"])
+        sources = _cut(seen.files.drop("ord"), fixed.PROMPT_CHARS["coverage"]).join(
+            by_merge(wanted), ["job_id", "filename"]
+        )
         prompts = coverage_prompts(sources, _flat_functions(facts), tests)
         asked = cut_lineage(score_with_model(prompts, model))
         good, bad = split_errors(asked)
@@ -206,7 +208,7 @@ def model_coverage_detector(model: Model) -> Detector:
             "agent": F.lit("TestCoverage"), "file_path": F.col("filename"),
             "file_ord": F.col("ord"), "chunk_index": F.lit(0), "chunk_start": F.lit(1),
         })
-        plain = gaps.join(bad.select("job_id", "ord"), ["job_id", "ord"], "left_semi")
+        plain = gaps.join(by_merge(bad.select("job_id", "ord")), ["job_id", "ord"], "left_semi")
         return Found(response_findings(answers).unionByName(basic_coverage_findings(plain)), bad)
 
     return detect
@@ -338,7 +340,7 @@ def number_files(files: DataFrame) -> DataFrame:
     """Add ``ord`` by folder and name; names only are sorted, content stays where it is."""
     names = files.select("job_id", "filename", dirname(F.col("filename")).alias("_folder"))
     numbered = range_rank(names, "job_id", ["_folder", "filename"], "ord").drop("_folder")
-    return files.join(numbered, ["job_id", "filename"])
+    return files.join(by_merge(numbered), ["job_id", "filename"])
 
 
 def review_directory(spark: SparkSession, root: str, job_id: str = "local") -> Review:

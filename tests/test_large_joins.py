@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mergelight.operators import coverage as ov
 from mergelight.operators import files as of
+from mergelight.operators import findings as fd
 from mergelight.operators import graph as og
 from mergelight.operators import responses as rs
 
@@ -60,3 +61,18 @@ def test_import_graph_meets_by_shuffle(spark):
     joined = of.attach_impact(files.select("job_id", "filename"), scores)
     assert "Broadcast" not in plan(joined)
     assert [r.impact_score for r in joined.collect()] == [0.5] * 3
+
+
+def test_findings_meet_by_shuffle(spark):
+    rows = spark.createDataFrame(
+        [("j", n, "Agent", "a.py", 10 * (n // 2), "LOW", "style", f"long line {n // 2}", f"at {n}", "cut it", "", 0.5) for n in range(4)],
+        "job_id string, seq long, agent string, file_path string, line_number long, severity string, category string, "
+        "title string, description string, suggestion string, fix_example string, confidence double",
+    )
+    clustered = fd.cluster_findings(fd.with_finding_defaults(rows))
+    merged = fd.merge_findings(clustered)
+    ranked = fd.rank_findings(merged)
+    for found in (clustered, fd.seed_member_pairs(clustered), merged, ranked):
+        assert "Broadcast" not in plan(found)
+    assert {r.seq: r.cluster_seq for r in clustered.collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert sorted((r.seq, r["rank"], r.members) for r in ranked.collect()) == [(0, 1, 2), (2, 2, 2)]
