@@ -171,6 +171,17 @@ def test_stretches_are_encoded_as_whole_texts(spark):
             assert np.frombuffer(ids, own.kind).tolist() == tool.encode(text or "", add_special_tokens=False).ids
 
 
+def test_forms_of_a_stretch_are_learnt_once(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_BPE)
+    tool, own = Tokenizer.from_file(path), token_files.StretchEncoder(path)
+    texts = ["word Word WORD. word, word!! Word.** (word", "J\u030c j\u030c. T\u0308, x\u0338< a<\u0338 ..'s a!'s a's. l'm.", "É. é!! 1. ½,. ǅ. Σ."]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, own.kind).tolist() == tool.encode(text, add_special_tokens=False).ids
+    assert sorted(s for s in own.known if "word" in s.lower()) == ["(word", "word"]
+
+
 def minimax(sizes, shards):
     """Least capacity of contiguous shards, trying all; a size above it is alone."""
     def count(c):
