@@ -185,7 +185,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, kept: str, dropped: str)
     same = (_id() == extra[names["id"]]) & (F.xxhash64(docs["text"].cast("string")) == extra[names["text_hash"]])
     joined = docs.join(extra, same, "left")
     bits = F.col(names["keep"])
-    left = F.when(bits.isNull(), docs["text"]).otherwise(_kept(docs["text"], bits))
+    changed = F.when(bits.isNotNull(), docs["text"])  # no other text goes to a Python worker
+    left = F.when(bits.isNull(), docs["text"]).otherwise(_kept(changed, bits))
     return joined.withColumns({kept: left, dropped: F.coalesce(dropped, F.lit(0))}).drop(*names.values())
 
 

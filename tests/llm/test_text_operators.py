@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from mergelight.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality, queries, sharding, spot_signatures
 from mergelight.llm import token_files, toxicity, url_filter
@@ -182,6 +183,22 @@ def test_forms_of_a_stretch_are_learnt_once(spark):
     assert sorted(s for s in own.known if "word" in s.lower()) == ["(word", "word"]
 
 
+def test_texts_that_keep_all_lines_stay_out_of_python(spark, monkeypatch):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def seen(text: pd.Series, keep: pd.Series) -> pd.Series:
+        assert not (keep.isna() & text.notna()).any()
+        return text
+
+    monkeypatch.setattr(line_dedup, "_kept", seen)
+    line = "a line of more than forty letters that all of them hold"
+    docs = spark.createDataFrame([(i, line if i < 6 else f"own {i}") for i in range(9)], "doc_id long, text string")
+    done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), "kept", "n_dropped").collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in done) == [(i, int(i < 5)) for i in range(9)]
+    assert {r.doc_id: r.kept for r in done if r.doc_id > 4} == {i: line if i < 6 else f"own {i}" for i in range(5, 9)}
+
+
 def minimax(sizes, shards):
     """Least capacity of contiguous shards, trying all; a size above it is alone."""
     def count(c):
