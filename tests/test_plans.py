@@ -45,3 +45,13 @@ def test_aggregates_combine_before_the_shuffle(plans, name):
 def test_scans_read_only_the_columns_they_need(plans):
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plans["py_imports"]
     assert "html" not in plans["explode_lines"]
+
+
+def test_narrow_tables_are_cut_by_rows(spark, tmp_path, monkeypatch):
+    from mergelight.plans import adapters
+
+    monkeypatch.setattr(adapters, "PIECE_ROWS", {"part": 5})
+    spark.range(200).coalesce(1).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    rows = adapters.table(spark, str(tmp_path), "part")
+    assert rows.rdd.getNumPartitions() == max(40, spark.sparkContext.defaultParallelism)
+    assert sorted(r.p_partkey for r in rows.collect()) == list(range(200))
