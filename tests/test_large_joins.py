@@ -107,6 +107,26 @@ def test_titles_are_taken_apart_once(spark):
     assert "array_except" not in plan(fd.cluster_findings(odd_members(spark)))
 
 
+def test_groups_of_findings_come_in_pieces_of_bounded_rows(spark, small):
+    rows = spark.range(1000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    key = adapters.GROUPED["findings_v"][1]
+    dealt = adapters.grouped_table(rows, key, 100)
+    assert dealt.rdd.getNumPartitions() == 10
+    grouped = plan(dealt.groupBy(F.expr(key)).count())
+    assert grouped.count("Exchange") == 1  # no second shuffle, whose pieces would grow
+    assert plan(adapters.grouped_table(rows, key, 1000).groupBy(F.expr(key)).count()).count("REPARTITION_BY_NUM") == 0
+
+
+def test_a_large_part_table_is_not_broadcast(spark, small, monkeypatch):
+    monkeypatch.setattr(adapters, "PIECE_ROWS", {"part": 50})
+    monkeypatch.setattr(adapters, "GROUPED", {"findings_v": (*adapters.GROUPED["findings_v"][:2], 1000)})
+    found = adapters.view(spark, small, "findings_v")
+    assert "Broadcast" not in plan(found) and "REPARTITION_BY_NUM" in plan(found)
+    monkeypatch.undo()
+    whole = adapters.view(spark, small, "findings_v")
+    assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
+
+
 def test_filters_on_texts_made_of_rows_run_where_rows_are_spread(spark, small):
     files = adapters.view(spark, small, "code_v")
     asked = files.filter(F.lower("content").contains("token")).select("filename")
