@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from threading import Lock, Timer
@@ -92,6 +93,15 @@ class IdleTables:
                 self.held.clear()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The values deflated: of a table of fixed size, one partition leaves most at zero."""
+    return zlib.compress(values.tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=kind)
+
+
 def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -133,7 +143,7 @@ def filter_bitmap(hashes: DataFrame, column: str, bits: int = FILTER_BITS, probe
         parts = bitmap.reshape(-1, min(block, len(bitmap)))
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())],
+            [pa.array(used.astype(np.int32)), pa.array([packed(parts[i]) for i in used], pa.binary())],
             names=["block", "bits"],
         )
 
@@ -142,7 +152,7 @@ def filter_bitmap(hashes: DataFrame, column: str, bits: int = FILTER_BITS, probe
         now, held = None, None
         for batch in batches:
             for number, raw in zip(batch["block"].to_pylist(), batch["bits"].to_pylist(), strict=True):
-                part = np.frombuffer(raw, dtype=np.uint8)
+                part = unpacked(raw, np.uint8)
                 if number != now:
                     if now is not None:
                         yield block_row(now, held)

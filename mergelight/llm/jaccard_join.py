@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mergelight.llm.common import attach, filter_bitmap, has_bits, heavy_keys, text_slices
+from mergelight.llm.common import attach, filter_bitmap, has_bits, heavy_keys, packed, text_slices, unpacked
 from mergelight.llm.components import components
 from mergelight.llm.words import NON_SPACE, gram_hashes, words_of
 from mergelight.session import cut_lineage
@@ -109,7 +109,7 @@ def digests_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.binary()),
-             pa.array(used.astype(np.int32)), pa.array([chunks[i].tobytes() for i in used], pa.binary())],
+             pa.array(used.astype(np.int32)), pa.array([packed(chunks[i]) for i in used], pa.binary())],
             names=names,
         )
 
@@ -118,7 +118,7 @@ def digests_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, raw in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                held[number] = held.get(number, 0) + np.frombuffer(raw, dtype=np.int64)
+                held[number] = held.get(number, 0) + unpacked(raw, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
             names=["chunk", "counts"],

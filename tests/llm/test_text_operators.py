@@ -7,13 +7,15 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from mergelight.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality, queries, sharding, spot_signatures
+from mergelight.llm import byte_bpe, common, decontaminate, jaccard_join, line_dedup, quality, queries, sharding, spot_signatures
 from mergelight.llm import token_files, toxicity, url_filter
+from mergelight.session import cut_lineage
 
 DOCS = "doc_id long, text string, lang string, _text string, id string"
 RNG = random.Random(7)
@@ -364,3 +366,29 @@ def test_idle_tables_are_dropped_and_made_anew():
     assert not tables.held
     with tables.use("a") as found:
         assert found == ["a"] and made == ["a", "a"]
+
+
+def test_partitions_send_what_they_counted_or_marked_in_few_bytes(spark, tmp_path, monkeypatch):
+    """A counted or marked table has a fixed size: with many partitions, whole tables of zeros would fill disk and memory."""
+    kept = []
+
+    def keep(df):
+        kept.append(cut_lineage(df))
+        return kept[-1]
+
+    monkeypatch.setattr(jaccard_join, "cut_lineage", keep)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8, "doc_id")
+    rows, counts = jaccard_join.digests_and_counts(docs, 5)
+    sent = kept[0].where("chunk is not null").agg(F.sum(F.length("counts")), F.count("*")).first()
+    assert sent[1] and sent[0] < 8 * (1 << jaccard_join.COUNT_BITS)  # a byte for each slot and row at most
+    want = np.zeros(1 << jaccard_join.COUNT_BITS, dtype=np.int64)
+    for _, text in texts:
+        (tokens,) = jaccard_join.shingle_sets(pa.array([text]), 5)
+        np.add.at(want, jaccard_join.slot_of(tokens), 1)
+    assert (counts == want).all() and rows.count() == 8
+    hashes = np.random.default_rng(3).integers(-(2**63), 2**63, 500)
+    ids = spark.createDataFrame([(int(h),) for h in hashes], "h long").repartition(5)
+    bitmap = np.zeros(1 << (common.FILTER_BITS - 3), dtype=np.uint8)
+    common.set_bits(bitmap, hashes.view(np.uint64))
+    assert (common.filter_bitmap(ids, "h") == bitmap).all()
