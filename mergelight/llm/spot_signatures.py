@@ -103,9 +103,10 @@ def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = rows.withColumns({"range": spot, "place": F.xxhash64("text"), "guest": F.lit(False)})
     firsts = sorted((r["range"], r["id"]) for r in rows.groupBy("range").agg(F.min("id").alias("id")).collect())
     before = {ident: firsts[i - 1][0] for i, (_, ident) in enumerate(firsts)}  # one id a range
-    home = F.lit(None).cast("int")
-    for ident, number in before.items():
-        home = F.when(F.col("id") == ident, number).otherwise(home)
+    # two flat lists: an expression nested once a range would be deeper than the driver's stack
+    idents = F.array(*map(F.lit, before)).cast("array<bigint>")
+    homes = F.array(*map(F.lit, before.values())).cast("array<int>")
+    home = F.get(homes, (F.array_position(idents, F.col("id")) - 1).cast("int"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("place"))  # an id may have several documents
     guests = rows.where(F.col("id").isin(list(before))).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     guests = guests.withColumns({"range": home, "guest": F.lit(True)})

@@ -276,6 +276,14 @@ def test_fingerprints(docs, rows):
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
 
 
+def test_edited_texts_over_very_many_ranges(spark):
+    """The place of a range is looked up in a flat list, so the plan isn't deeper with more ranges."""
+    docs = spark.createDataFrame([(i, f"text {i:05}") for i in range(900)], "doc_id long, text string")
+    pairs = spot_signatures.edited_pairs(docs, ranges=600).where("not guest")
+    got = {r.doc_id: r.edited for r in pairs.select("doc_id", "edited").collect()}
+    assert got == {i: f"text {i:05}"[:-2] + "te" for i in range(900)}
+
+
 def test_similar_sets(spark):
     sets = [(i, sorted(RNG.sample(range(30), RNG.randint(1, 12)))) for i in range(60)]
     table = spark.createDataFrame(sets, "doc_id long, signatures array<int>")
