@@ -260,7 +260,7 @@ def agent_runs(
 
 def merged_review_findings(raw_findings: DataFrame) -> DataFrame:
     """Cluster, merge and rank."""
-    return rank_findings(merge_findings(cluster_findings(raw_findings)))
+    return rank_findings(cut_lineage(merge_findings(cluster_findings(raw_findings))))
 
 
 def repo_conventions(
