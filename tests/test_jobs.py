@@ -11,11 +11,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mergelight import fixed, schemas
+from mergelight import fixed, schemas, session
 from mergelight.functions.signature import hmac_sha256
 from mergelight.functions.text import time_ago
+from mergelight.operators import clustering
 from mergelight.operators import findings as of
 from mergelight.operators import jobs as oj
+from mergelight.operators import ranking as rk
 from mergelight.operators import text as ot
 from mergelight.sources import readers, writers
 from mergelight.streaming import reviews as st
@@ -176,6 +178,22 @@ def test_findings_of_a_job_may_come_in_any_batches(spark, tmp_path):
     assert sorted(map(tuple, again), key=repr) == got
 
 
+def test_a_batch_keeps_whole_findings_once(spark, tmp_path, monkeypatch):
+    """What a batch touches was kept four times with all its texts, and nothing of it went in between."""
+    kept, keep = [], session.cut_lineage
+    for module in (clustering, of, rk, st):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: kept.append(df.columns) or keep(df), raising=False)
+    rows = [("j", f"f{n % 2}", n, "c", f"title {n}", "LOW", f"d{n}", "s", "A", (0, 0, 0, n, 0)) for n in range(8)]
+    kind = ("job_id string, file_path string, line_number bigint, category string, title string, severity string, "
+            f"description string, suggestion string, agent string, seq {schemas.FINDING_ORDER}")
+    store, merged = str(tmp_path / "store"), str(tmp_path / "merged")
+    writers.write_batch(of.with_finding_defaults(spark.createDataFrame(rows, kind)), store, 0)
+    st.merge_batch(spark, store, merged, 0)
+    assert sum("description" in names for names in kept) == 1
+    assert sorted(r.description for r in st.read_merged_findings(spark, merged).collect()) == [
+        "**A**: d0\n\n**A**: d2", "**A**: d1\n\n**A**: d3", "**A**: d4\n\n**A**: d6", "**A**: d5\n\n**A**: d7"]
+
+
 def test_an_expired_profile_is_refreshed_once(spark, tmp_path):
     """Two stored profiles of a repo leave one timer; the time is that of the profiles."""
     source, check, seen = str(tmp_path / "in"), str(tmp_path / "c"), []
