@@ -251,8 +251,10 @@ def iban(text: str, at: int) -> int | None:
         if text[spot] in _ALNUM:
             signs.append(text[spot].upper())
             spot += 1
+            if len(signs) == 4 and not ("".join(signs[:2]).isalpha() and set(signs[2:]) <= DIGITS):
+                return None  # no country and check digits: most words end here
             whole = spot >= len(text) or not text[spot].isalnum()
-            if whole and len(signs) >= 15 and "".join(signs[:2]).isalpha() and set(signs[2:4]) <= DIGITS:
+            if whole and len(signs) >= 15:
                 if int("".join(str(int(c, 36)) for c in signs[4:] + signs[:4])) % 97 == 1:
                     best = spot
         elif text[spot] == " " and signs and spot + 1 < len(text) and text[spot + 1] in _ALNUM:

@@ -246,7 +246,7 @@ PY_IMPORT_SQL = """list_concat(
 
 @query("py_imports", f"SELECT job_id, filename, unnest({PY_IMPORT_SQL}) AS import_path FROM code_v")
 def py_imports(spark: SparkSession, d: str) -> DataFrame:
-    return ot.py_imports(view(spark, d, "code_v"))
+    return ot.py_imports(view(spark, d, "code_v", kept=False))
 
 
 @query(
